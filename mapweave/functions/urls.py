@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import words
+from mapweave.functions.text import let
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -153,9 +154,9 @@ def sphere(url) -> Column:
             chain = chain.when(domain.rlike(values if kind == "regex" else _suffix_pattern(values)), number)
         return chain.otherwise(len(outcomes) - 1)
 
-    # The one-element array binds the domain to a name, so it is computed once for all rules
-    # even after the optimizer has inlined the URL expression into a pushed filter.
-    number = F.transform(F.array(bare_domain(netloc(url))), first_match)[0]
+    # The domain is bound to a name, so it is computed once for all rules even after the optimizer
+    # has inlined the URL expression into a pushed filter.
+    number = let(bare_domain(netloc(url)), first_match)
     table = F.array(
         *[
             F.struct(F.lit(s).alias("sphere"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapweave.functions import text as tx
+from mapweave.functions import words
 from mapweave.functions.skew import split_row_number
+from mapweave.operators import keywords, tfidf
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -281,3 +284,119 @@ def mentions(t: Tables) -> DataFrame:
         F.col("event_id").alias("start_pos"),
         F.least(F.col("value") / 200, F.lit(1.0)).alias("confidence"),
     )
+
+
+STOP_SQL = {code: ", ".join("'" + w + "'" for w in words.STOP_WORDS[code]) for code in words.STOP_WORDS}
+
+
+def words_sql(text: str) -> str:
+    """Array of lower-case words of ``text``."""
+    return rf"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def content_words_sql(text: str, min_length: int = 2) -> str:
+    return f"list_filter({words_sql(text)}, lambda w: length(w) >= {min_length} AND w NOT IN ({STOP_SQL['en']}))"
+
+
+@role(
+    "doc_terms",
+    (),
+    f"SELECT doc_id, text, lang, source, {content_words_sql('text')} AS terms FROM documents",
+)
+def doc_terms(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "text", "lang", "source", tx.content_words("text").alias("terms"))
+
+
+@role(
+    "doc_tfidf",
+    ("doc_terms",),
+    """SELECT c.doc_id, c.term, c.n, c.n_terms, d.df,
+              (c.n / c.n_terms) * (CASE WHEN d.df = 0 THEN 0.0 ELSE
+                 ln(((SELECT count(*) FROM documents) + 1.0) / (d.df + 1.0)) + 1.0 END) AS tfidf
+       FROM (SELECT doc_id, term, n_terms, count(*) AS n
+             FROM (SELECT doc_id, len(terms) AS n_terms, unnest(terms) AS term FROM doc_terms)
+             GROUP BY ALL) c
+       JOIN (SELECT term, count(DISTINCT doc_id) AS df
+             FROM (SELECT doc_id, unnest(terms) AS term FROM doc_terms) GROUP BY term) d ON c.term = d.term""",
+)
+def doc_tfidf(t: Tables) -> DataFrame:
+    return tfidf.tfidf(t.documents, "doc_id", tx.content_words("text"))
+
+
+@role(
+    "extracted_keywords",
+    ("doc_tfidf",),
+    """SELECT doc_id AS content_id, term AS lemma, term AS word, n AS frequency, tfidf AS tfidf_score,
+              lang AS language, 'tfidf' AS extraction_method
+       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS rn FROM doc_tfidf)
+       JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE rn <= 20""",
+)
+def extracted_keywords(t: Tables) -> DataFrame:
+    found = keywords.tfidf_keywords(t.documents, max_keywords=20)
+    languages = t.documents.select("doc_id", F.col("lang").alias("language"))
+    return found.join(languages, "doc_id").select(
+        F.col("doc_id").alias("content_id"), "lemma", "word", "frequency", "tfidf_score", "language",
+        F.lit("tfidf").alias("extraction_method"),
+    )
+
+
+@role(
+    "content_analysis",
+    (),
+    """SELECT l.doc_id AS content_id, CASE WHEN l.quality = 1 THEN 'completed' ELSE 'failed' END AS status,
+              n_chars / 1000.0 AS processing_duration, n_chars % 50 AS nouns_count, n_chars % 7 AS entities_count,
+              TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * l.doc_id AS created_at
+       FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+)
+def content_analysis(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
+        F.col("doc_id").alias("content_id"),
+        F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"),
+        (F.col("n_chars") / 1000.0).cast("double").alias("processing_duration"),
+        (F.col("n_chars") % 50).alias("nouns_count"),
+        (F.col("n_chars") % 7).alias("entities_count"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, doc_id)").alias("created_at"),
+    )
+
+
+@role(
+    "network_exports",
+    (),
+    """SELECT o_orderkey AS export_id, o_custkey % 20 AS user_id,
+              CASE o_orderkey % 3 WHEN 0 THEN 'search_website' WHEN 1 THEN 'website_noun' ELSE 'website_ner' END AS type,
+              list_value(CAST(substr(o_orderpriority,1,1) AS BIGINT), CAST(substr(o_orderpriority,1,1) AS BIGINT) % 5 + 1)
+                AS session_ids,
+              CAST(floor(o_totalprice) AS BIGINT) AS file_size, o_orderdate AS created_at
+       FROM orders""",
+)
+def network_exports(t: Tables) -> DataFrame:
+    number = F.substring("o_orderpriority", 1, 1).cast("bigint")
+    kind = F.col("o_orderkey") % 3
+    return t.orders.select(
+        F.col("o_orderkey").alias("export_id"),
+        (F.col("o_custkey") % 20).alias("user_id"),
+        F.when(kind == 0, "search_website").when(kind == 1, "website_noun").otherwise("website_ner").alias("type"),
+        F.array(number, number % 5 + 1).alias("session_ids"),
+        F.floor("o_totalprice").cast("bigint").alias("file_size"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+
+
+@role(
+    "bulk_rows",
+    (),
+    """SELECT o_custkey % 7 AS upload_id, o_orderkey AS row_number,
+              CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status,
+              CASE WHEN o_orderstatus = 'P' THEN 'engine error ' || CAST(o_orderkey % 3 AS VARCHAR) END AS error_message
+       FROM orders""",
+)
+def bulk_rows(t: Tables) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return t.orders.select(
+        (F.col("o_custkey") % 7).alias("upload_id"),
+        F.col("o_orderkey").alias("row_number"),
+        F.when(status == "F", "completed").when(status == "O", "pending").otherwise("failed").alias("status"),
+        F.when(status == "P", F.concat(F.lit("engine error "), (F.col("o_orderkey") % 3).cast("string"))).alias(
+            "error_message"
+        ),
+    )
