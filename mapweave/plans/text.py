@@ -128,9 +128,9 @@ def g5(t):
 _BIGRAM_TFIDF_SQL = f"""SELECT c.doc_id, c.term, c.n, c.n_terms, d.df,
         (c.n / c.n_terms) * (ln(((SELECT count(*) FROM documents) + 1.0) / (d.df + 1.0)) + 1.0) AS tfidf
       FROM (SELECT doc_id, term, n_terms, count(*) AS n FROM bi GROUP BY ALL) c
-      JOIN (SELECT term, count(DISTINCT doc_id) AS df FROM bi GROUP BY term) d ON c.term = d.term"""
-_BI_SQL = f"""SELECT doc_id, len(terms) + len({_BIGRAM_SQL}) AS n_terms,
-                     unnest(list_concat(terms, {_BIGRAM_SQL})) AS term FROM doc_terms"""
+      JOIN (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM bi) GROUP BY term) d ON c.term = d.term"""
+_BI_SQL = f"""SELECT doc_id, len(every) AS n_terms, unnest(every) AS term
+              FROM (SELECT doc_id, list_concat(terms, {_BIGRAM_SQL}) AS every FROM doc_terms)"""
 
 
 @register(
