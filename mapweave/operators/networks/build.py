@@ -2,12 +2,186 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mapweave.functions.urls import bare_domain
+from mapweave.functions.skew import top_n
+from mapweave.functions.urls import bare_domain, sanitize_node_id
 from mapweave.operators import tfidf
+from mapweave.operators.networks.graph import Graph
+
+
+def rank_weight(method: str | Callable[[Column], Column] = "inverse_rank") -> Callable[[Column], Column]:
+    """Edge weight from a search rank: 1/rank, exp(-rank/10), 1.0, or a user's column function."""
+    if callable(method):
+        return method
+    if method == "exponential_decay":
+        return lambda rank: F.exp(-rank / 10.0)
+    if method == "fixed":
+        return lambda rank: F.lit(1.0)
+    return lambda rank: F.lit(1.0) / rank
+
+
+def query_website_network(
+    queries: DataFrame,
+    results: DataFrame,
+    session_ids: Sequence[int] | None = None,
+    weight: str | Callable[[Column], Column] = "inverse_rank",
+    by_domain: bool = True,
+) -> Graph:
+    """Completed queries of the sessions linked to the sites they returned.
+
+    A site returned twice by a query keeps the weight of its worst rank; its attributes are those of the
+    first result in (query, rank) order. Both rules are aggregates, so a site returned by every query is
+    combined before the shuffle.
+    """
+    chosen = queries.filter(F.col("status") == "completed")
+    if session_ids:
+        chosen = chosen.filter(F.col("session_id").isin(*session_ids))
+    label = F.col("domain") if by_domain else F.col("url")
+    hits = results.join(chosen.select("query_id"), "query_id").withColumn(
+        "node_id", sanitize_node_id(F.concat(F.lit("website_"), label))
+    )
+    pairs = hits.groupBy("query_id", "node_id").agg(
+        F.max("rank").alias("rank"),
+        F.max_by("result_id", F.struct("rank", "result_id")).alias("result_id"),
+        F.count(F.lit(1)).alias("n_results"),
+    )
+    edges = pairs.select(
+        F.concat(F.lit("query_"), F.col("query_id").cast("string")).alias("src"),
+        F.col("node_id").alias("dst"),
+        rank_weight(weight)(F.col("rank")).alias("weight"),
+        "rank",
+        "result_id",
+        "n_results",
+    )
+    first = F.min_by(F.struct(label.alias("label"), "domain", "title"), F.struct("query_id", "rank", "result_id"))
+    sites = hits.groupBy("node_id").agg(first.alias("f")).select(
+        "node_id", F.lit("website").alias("node_type"), "f.label", "f.domain", "f.title",
+        F.lit(None).cast("bigint").alias("session_id"),
+    )
+    sources = chosen.select(
+        F.concat(F.lit("query_"), F.col("query_id").cast("string")).alias("node_id"),
+        F.lit("query").alias("node_type"),
+        F.col("query_text").alias("label"),
+        F.lit(None).cast("string").alias("domain"),
+        F.lit(None).cast("string").alias("title"),
+        "session_id",
+    )
+    return Graph(sources.unionByName(sites), edges)
+
+
+def completed_contents(
+    contents: DataFrame,
+    jobs: DataFrame,
+    session_ids: Sequence[int] | None = None,
+    languages: Sequence[str] | None = None,
+) -> DataFrame:
+    """Successful contents of the completed jobs of the sessions, in the chosen languages."""
+    done = jobs.filter(F.col("status") == "completed")
+    if session_ids:
+        done = done.filter(F.col("session_id").isin(*session_ids))
+    kept = contents.filter(F.col("status") == "success").join(done.select("job_id"), "job_id", "left_semi")
+    return kept.filter(F.col("language").isin(*languages)) if languages else kept
+
+
+def _website_nodes(sites: DataFrame) -> DataFrame:
+    return sites.select(
+        sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("node_id"),
+        F.lit("website").alias("node_type"),
+        F.col("site").alias("label"),
+        F.lit(None).cast("string").alias("category"),
+    )
+
+
+def website_keyword_network(
+    contents: DataFrame,
+    keywords: DataFrame,
+    top: int = 50,
+    min_score: float = 0.0,
+    method: str | None = None,
+    by_domain: bool = True,
+) -> Graph:
+    """Sites linked to their ``top`` keywords by mean TF-IDF score, which is the edge weight.
+
+    By domain, every domain is a node even without keywords. By URL, only pages with keywords are.
+    """
+    chosen = keywords.filter(F.col("extraction_method") == method) if method else keywords
+    site = F.col("domain") if by_domain else F.col("page_url")
+    sites = contents.select("content_id", site.alias("site"))
+    grouped = (
+        chosen.select("content_id", "lemma", "frequency", "tfidf_score")
+        .join(sites, "content_id")
+        .groupBy("site", "lemma")
+        .agg(
+            F.sum("frequency").alias("frequency"),
+            F.avg("tfidf_score").alias("weight"),
+            F.count(F.lit(1)).alias("content_count"),
+        )
+    )
+    best = top_n(grouped, ["site"], [F.desc("weight"), F.col("lemma")], top)
+    edges = (
+        best.filter(F.col("weight") >= min_score)
+        .groupBy(
+            sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("src"),
+            sanitize_node_id(F.concat(F.lit("keyword_"), "lemma")).alias("dst"),
+        )
+        .agg(
+            F.min("weight").alias("weight"),
+            F.min_by("frequency", "weight").alias("frequency"),
+            F.min("lemma").alias("lemma"),
+            F.min_by("content_count", "weight").alias("content_count"),
+        )
+    )
+    terms = edges.groupBy("dst").agg(F.min("lemma").alias("label")).select(
+        F.col("dst").alias("node_id"), F.lit("keyword").alias("node_type"), "label",
+        F.lit(None).cast("string").alias("category"),
+    )
+    owners = sites.select("site").distinct() if by_domain else best.select("site").distinct()
+    return Graph(_website_nodes(owners).unionByName(terms), edges.drop("lemma"))
+
+
+def website_entity_network(
+    contents: DataFrame,
+    entities: DataFrame,
+    labels: Sequence[str],
+    top: int = 50,
+    threshold: float = 0.0,
+    min_confidence: float = 0.0,
+    method: str | None = None,
+    by_domain: bool = True,
+) -> Graph:
+    """Sites linked to their ``top`` entities by confidence * frequency, which is the edge weight.
+
+    ``threshold`` drops entity rows before they are summed; ``min_confidence`` drops edges after the top cut.
+    """
+    confidence = F.coalesce("confidence", F.lit(1.0))
+    chosen = entities.filter(F.col("label").isin(*labels) & (confidence >= threshold))
+    if method:
+        chosen = chosen.filter(F.col("extraction_method") == method)
+    site = F.col("domain") if by_domain else F.col("page_url")
+    sites = contents.select("content_id", site.alias("site"))
+    grouped = (
+        chosen.select("content_id", "text", "label", "frequency", confidence.alias("confidence"))
+        .join(sites, "content_id")
+        .groupBy("site", "text", "label")
+        .agg(F.sum("frequency").alias("frequency"), F.avg("confidence").alias("confidence"))
+        .withColumn("weight", F.col("confidence") * F.col("frequency"))
+    )
+    best = top_n(grouped, ["site"], [F.desc(F.round("weight", 9)), F.col("text"), F.col("label")], top)
+    edges = best.filter(F.col("confidence") >= min_confidence).select(
+        sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("src"),
+        sanitize_node_id(F.concat(F.lit("entity_"), "label", F.lit("_"), "text")).alias("dst"),
+        "weight", "frequency", "confidence", "text", "label",
+    )
+    found = edges.groupBy("dst").agg(F.min("text").alias("text"), F.min("label").alias("category")).select(
+        F.col("dst").alias("node_id"), F.lit("entity").alias("node_type"), F.col("text").alias("label"), "category"
+    )
+    owners = sites.select("site").distinct() if by_domain else best.select("site").distinct()
+    return Graph(_website_nodes(owners).unionByName(found), edges.drop("text", "label"))
 
 
 def domain_noun_edges(nouns: DataFrame, top: float = 20, max_features: int = 1000) -> DataFrame:
