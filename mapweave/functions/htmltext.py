@@ -1,0 +1,109 @@
+"""Removing page furniture and reading visible text: the two steps that need nested elements.
+
+A small standard-library parser runs over Arrow batches; everything else about pages is a column expression.
+"""
+
+from __future__ import annotations
+
+import re
+from html import escape
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mapweave.functions import words
+
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _PageReader(HTMLParser):
+    """Keeps the stack of open elements and skips the inside of removed ones."""
+
+    def __init__(self, clean: bool):
+        super().__init__(convert_charrefs=True)
+        self.clean = clean
+        self.stack: list[str] = []
+        self.skip_from: int | None = None
+        self.texts: list[str] = []
+        self.markup: list[str] = []
+
+    def _removed(self, tag: str, classes: str) -> bool:
+        if tag in words.REMOVED_TAGS:
+            return True
+        if not classes:
+            return False
+        furniture = tag in words.FURNITURE_TAGS and any(k in classes for k in words.FURNITURE_CLASSES)
+        return furniture or any(k in classes for k in words.NOISE_CLASSES)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "li") and self.stack and self.stack[-1] == tag:
+            self.handle_endtag(tag)
+        if self.skip_from is None:
+            classes = next((v or "" for k, v in attrs if k == "class"), "").lower()
+            if self.clean and self._removed(tag, classes):
+                if tag not in _VOID:
+                    self.skip_from = len(self.stack)
+                    self.stack.append(tag)
+                return
+            inside = "".join(f' {k}="{escape(v or "")}"' for k, v in attrs)
+            self.markup.append(f"<{tag}{inside}>")
+        if tag not in _VOID:
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in self.stack:
+            return
+        while self.stack:
+            top = self.stack.pop()
+            if self.skip_from is None:
+                self.markup.append(f"</{top}>")
+            elif len(self.stack) <= self.skip_from:
+                self.skip_from = None
+            if top == tag:
+                break
+
+    def handle_data(self, data):
+        if self.skip_from is not None:
+            return
+        inside_code = bool(self.stack) and self.stack[-1] in ("script", "style")
+        self.markup.append(data if inside_code else escape(data, quote=False))
+        if not inside_code and data.strip():
+            self.texts.append(data.strip())
+
+
+def _read(html: str, clean: bool) -> _PageReader:
+    reader = _PageReader(clean)
+    reader.feed(html or "")
+    reader.close()
+    return reader
+
+
+def clean_html_value(html: str) -> str:
+    return "".join(_read(html, True).markup)
+
+
+def extract_text_value(html: str, clean: bool = True) -> str:
+    text = "\n".join(_read(html, clean).texts)
+    text = re.sub(r"\n\s*\n", "\n\n", text)
+    return re.sub(r" +", " ", text).strip()
+
+
+def clean_html(html) -> Column:
+    """Page without scripts, styles, frames, navigation blocks and advertising."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(clean_html_value)
+
+    return F.pandas_udf(run, T.StringType())(html)
+
+
+def extract_text(html, clean: bool = True) -> Column:
+    """Visible text of a page, one line per text node."""
+
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: extract_text_value(h, clean))
+
+    return F.pandas_udf(run, T.StringType())(html)

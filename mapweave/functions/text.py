@@ -92,14 +92,10 @@ def detect_language(text, markers: Mapping[str, Sequence[str]] | None = None, sa
     """
     lists = markers or words.LANGUAGE_MARKERS
     tokens = F.split(F.lower(F.substring(_col(text), 1, sample_chars)), SEPARATORS)
-    votes = F.array(
-        *[
-            F.struct(
-                (-F.size(F.filter(tokens, lambda w, ws=tuple(lists[code]): w.isin(*ws)))).alias("hits"),
-                F.lit(code).alias("code"),
-            )
-            for code in sorted(lists)
-        ]
-    )
-    best = F.array_min(votes)
+
+    def vote(ws: Column, code: str) -> Column:
+        hits = F.size(F.filter(ws, lambda w: w.isin(*lists[code])))
+        return F.struct((-hits).alias("hits"), F.lit(code).alias("code"))
+
+    best = let(tokens, lambda ws: F.array_min(F.array(*[vote(ws, code) for code in sorted(lists)])))
     return F.when((F.length(F.trim(_col(text))) >= 50) & (best["hits"] < 0), best["code"])

@@ -317,7 +317,7 @@ def _component_sql(edges: str, nodes: str, rounds: int = 30) -> dict:
     }
 
 
-_CUT_SQL = {
+CUT_SQL = {
     **_sig_sql(),
     "kept_nodes": "SELECT DISTINCT node AS node_id FROM (SELECT src AS node FROM kept UNION ALL SELECT dst FROM kept)",
 }
@@ -346,7 +346,7 @@ def cut_saved(t) -> Graph:
         GROUP BY node_type
       UNION ALL SELECT unnest(['components', 'largest', 'largest_share']),
         unnest([count(*), max(size), max(size) / sum(size)]) FROM (SELECT count(*) AS size FROM comp GROUP BY component))""",
-            **_CUT_SQL, **_component_sql("kept", "kept_nodes")),
+            **CUT_SQL, **_component_sql("kept", "kept_nodes")),
 )
 def h10(t):
     graph = cut_saved(t)
@@ -356,7 +356,7 @@ def h10(t):
 
 @register(
     "h11_components",
-    net_sql("SELECT node_id, component FROM comp", **_CUT_SQL, **_component_sql("kept", "kept_nodes")),
+    net_sql("SELECT node_id, component FROM comp", **CUT_SQL, **_component_sql("kept", "kept_nodes")),
 )
 def h11(t):
     return iterative.connected_components(cut_saved(t))
@@ -504,7 +504,7 @@ def h20(t):
                  round(backbone_edges / original_edges, 6) AS edge_retention_rate
                FROM (SELECT 'disparity_filter' AS algorithm, (SELECT count(*) FROM nodes) AS original_nodes,
                  (SELECT count(*) FROM edges) AS original_edges, (SELECT count(*) FROM kept_nodes) AS backbone_nodes,
-                 (SELECT count(*) FROM kept) AS backbone_edges)""", **_CUT_SQL),
+                 (SELECT count(*) FROM kept) AS backbone_edges)""", **CUT_SQL),
 )
 def h21(t):
     graph = net(t)
@@ -553,7 +553,7 @@ def h25(t):
 @register(
     "h26_giant_component",
     net_sql("""SELECT node_id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component
-               ORDER BY count(*) DESC, component LIMIT 1)""", **_CUT_SQL, **_component_sql("kept", "kept_nodes")),
+               ORDER BY count(*) DESC, component LIMIT 1)""", **CUT_SQL, **_component_sql("kept", "kept_nodes")),
 )
 def h26(t):
     return filters.giant_component(cut_saved(t)).nodes.select("node_id")
@@ -660,7 +660,7 @@ def h30(t):
                  TRUE AS backboning_applied, 'disparity_filter' AS backboning_algorithm,
                  (SELECT count(*) FROM kept_nodes) AS node_count, (SELECT count(*) FROM kept) AS edge_count,
                  (SELECT count(*) FROM edges) AS original_edge_count,
-                 round((SELECT count(*) FROM kept) / (SELECT count(*) FROM edges), 6) AS edge_retention_rate""", **_CUT_SQL),
+                 round((SELECT count(*) FROM kept) / (SELECT count(*) FROM edges), 6) AS edge_retention_rate""", **CUT_SQL),
 )
 def h31(t):
     path = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
@@ -674,7 +674,7 @@ def h31(t):
     "h32_two_colorable",
     net_sql("""SELECT (SELECT count(*) FROM kept_nodes) AS nodes, (SELECT count(*) FROM kept) AS edges,
                  (SELECT count(*) FROM kept WHERE NOT starts_with(src, 'query_') OR NOT starts_with(dst, 'website_')) = 0
-                   AS two_colorable""", **_CUT_SQL),
+                   AS two_colorable""", **CUT_SQL),
 )
 def h32(t):
     graph = cut_saved(t)

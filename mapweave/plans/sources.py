@@ -1,0 +1,345 @@
+"""Source and sink queries."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from mapweave.operators.networks import style
+from mapweave.operators.networks.graph import Graph
+from mapweave.plans import sqlkit as q
+from mapweave.plans.networks import CUT_SQL, cut, cut_saved, net_sql
+from mapweave.plans.registry import register
+from mapweave.plans.roles import with_roles
+from mapweave.session import checkpoint_root
+from mapweave.sources import bulk, bulk_write, exports, gexf, payloads
+
+@register(
+    "a1_table_scan",
+    with_roles("session_results", body="""SELECT query_id, rank, domain, url FROM session_results
+               WHERE session_id IN (1, 2) AND status = 'completed' AND rank <= 3"""),
+)
+def a1(t):
+    return t.session_results.filter("session_id IN (1, 2) AND status = 'completed' AND rank <= 3").select(
+        "query_id", "rank", "domain", "url"
+    )
+
+
+_BULK_SQL = """SELECT o_custkey % 11 AS file_id, o_orderkey AS line, CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE
+      ' topic ' || lower(substr(o_orderpriority, 3)) || ' ' END AS query,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'activist ' END AS framing, CASE WHEN o_orderkey % 4 = 0 THEN 'da' END AS language,
+    CASE o_orderkey % 5 WHEN 0 THEN 'many' WHEN 1 THEN CAST(o_orderkey % 130 AS VARCHAR) WHEN 2 THEN '20' END AS max_results,
+    CASE o_orderkey % 6 WHEN 0 THEN '.dk|com' WHEN 1 THEN '.dk|.com' END AS tld_filter,
+    CASE o_orderkey % 7 WHEN 0 THEN 'Serper' WHEN 1 THEN 'altavista' END AS search_engine FROM orders"""
+
+
+def bulk_lines(t):
+    k = F.col("o_orderkey")
+    return t.orders.select(
+        (F.col("o_custkey") % 11).alias("file_id"), k.alias("line"),
+        F.when(k % 23 == 0, "  ").otherwise(F.concat(F.lit(" topic "), F.lower(F.expr("substring(o_orderpriority, 3)")), F.lit(" "))).alias("query"),
+        F.when(k % 3 == 0, "activist ").alias("framing"),
+        F.when(k % 4 == 0, "da").alias("language"),
+        F.when(k % 5 == 0, "many").when(k % 5 == 1, (k % 130).cast("string")).when(k % 5 == 2, "20").alias("max_results"),
+        F.lit(None).cast("string").alias("date_from"), F.lit(None).cast("string").alias("date_to"),
+        F.when(k % 6 == 0, ".dk|com").when(k % 6 == 1, ".dk|.com").alias("tld_filter"),
+        F.when(k % 7 == 0, "Serper").when(k % 7 == 1, "altavista").alias("search_engine"),
+    )
+
+
+@register(
+    "a2_bulk_validation",
+    f"""SELECT file_id, line, concat_ws('; ', CASE WHEN trim(query) = '' THEN 'Query is required' END,
+          CASE WHEN max_results = 'many' THEN 'max_results must be a number'
+               WHEN CAST(nullif(max_results, 'many') AS INT) NOT BETWEEN 1 AND 100 THEN 'max_results must be between 1 and 100' END,
+          CASE WHEN search_engine = 'altavista' THEN 'search_engine must be one of: google_custom, serper, serpapi_google' END,
+          CASE WHEN tld_filter = '.dk|com' THEN 'TLD ''com'' must start with a dot (e.g., ''.dk'')' END) AS errors
+        FROM ({_BULK_SQL})""",
+)
+def a2(t):
+    return bulk.validate(bulk_lines(t)).select("file_id", "line", F.array_join("errors", "; ").alias("errors"))
+
+
+@register(
+    "a2b_bulk_status",
+    f"""SELECT file_id, count(*) AS row_count, count(*) FILTER (bad) AS invalid_rows,
+          CASE WHEN count(*) FILTER (bad) > 0 THEN 'invalid' ELSE 'valid' END AS validation_status
+        FROM (SELECT file_id, trim(query) = '' OR coalesce(max_results = 'many', FALSE)
+                OR coalesce(CAST(nullif(max_results, 'many') AS INT) NOT BETWEEN 1 AND 100, FALSE)
+                OR coalesce(search_engine = 'altavista', FALSE) OR coalesce(tld_filter = '.dk|com', FALSE) AS bad
+              FROM ({_BULK_SQL})) GROUP BY file_id""",
+)
+def a2b(t):
+    return bulk.validation_status(bulk.validate(bulk_lines(t)), "file_id")
+
+
+@register(
+    "a3_bulk_rows",
+    f"""SELECT file_id, line, trim(query) AS query, trim(coalesce(framing, 'neutral')) AS framing, coalesce(language, 'en') AS language,
+          coalesce(TRY_CAST(max_results AS BIGINT), 10) AS max_results, lower(coalesce(search_engine, 'google_custom')) AS search_engine,
+          replace(tld_filter, '|', ',') AS tlds FROM ({_BULK_SQL})
+        WHERE trim(query) <> '' AND coalesce(max_results <> 'many', TRUE)
+          AND coalesce(TRY_CAST(max_results AS INT) BETWEEN 1 AND 100, TRUE)
+          AND coalesce(search_engine <> 'altavista', TRUE) AND coalesce(tld_filter <> '.dk|com', TRUE)""",
+)
+def a3(t):
+    good = bulk.validate(bulk_lines(t)).filter(F.size("errors") == 0)
+    return bulk.normalize(good).select(
+        "file_id", "line", "query", "framing", "language", "max_results", "search_engine",
+        F.array_join("tld_filter", ",").alias("tlds"),
+    )
+
+
+def _pages_of_results(t, size: int, item):
+    """Payloads of ``size`` items: a query's results in rank order, page by page."""
+    page = F.floor((F.col("rank") - 1) / size).cast("bigint")
+    entry = F.struct("rank", item.alias("item"))
+    return (
+        t.search_results.groupBy("query_id", page.alias("page"))
+        .agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"]).alias("items"))
+    )
+
+
+_LINK_SQL = "CASE WHEN result_id % 11 = 0 THEN '' ELSE url END"
+_TITLE_SQL = "CASE WHEN result_id % 13 = 0 THEN NULL ELSE title END"
+
+
+def _item():
+    rid = F.col("result_id")
+    return F.struct(
+        F.when(rid % 11 == 0, "").otherwise(F.col("url")).alias("link"),
+        F.when(rid % 13 != 0, F.col("title")).alias("title"),
+        F.col("description").alias("snippet"),
+    )
+
+
+@register(
+    "a4_contiguous_payload",
+    with_roles(
+        "search_results",
+        body=f"""SELECT query_id, rank, url, title, description, {q.netloc('url')} AS domain FROM (
+                   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, url, title, description
+                   FROM search_results WHERE result_id % 11 <> 0 AND result_id % 13 <> 0) WHERE rank <= 5""",
+    ),
+)
+def a4(t):
+    pages = _pages_of_results(t, 3, _item()).select(
+        "query_id", "page", F.to_json(F.struct(F.col("items").alias("organic"))).alias("payload")
+    )
+    return payloads.parse_contiguous(pages, ["query_id"], "page", "payload", 5)
+
+
+@register(
+    "a4b_paged_payload",
+    with_roles(
+        "search_results",
+        body=f"""SELECT query_id, rank, {_LINK_SQL} AS url, coalesce({_TITLE_SQL}, '') AS title, description,
+                   {q.netloc(_LINK_SQL)} AS domain FROM search_results""",
+    ),
+)
+def a4b(t):
+    pages = _pages_of_results(t, 3, _item()).select(
+        "query_id", "page", F.to_json(F.struct("items")).alias("payload")
+    )
+    return payloads.parse_paged(pages, ["query_id"], "page", "payload")
+
+
+@register(
+    "a5_positional_payload",
+    with_roles(
+        "search_results",
+        body=f"""SELECT query_id, page, (rank - 1) % 10 + 1 AS rank, url, title, CASE WHEN result_id % 5 = 0 THEN title ELSE description END
+                   AS description, {q.netloc('url')} AS domain
+                 FROM (SELECT *, CAST(floor((rank - 1) / 10) AS BIGINT) AS page FROM search_results) WHERE result_id % 11 <> 0""",
+    ),
+)
+def a5(t):
+    rid = F.col("result_id")
+    item = F.struct(
+        F.when(rid % 2 == 0, F.when(rid % 11 == 0, "").otherwise(F.col("url"))).alias("link"),
+        F.when(rid % 11 == 0, "").otherwise(F.col("url")).alias("url"),
+        "title",
+        F.when(rid % 5 != 0, F.col("description")).alias("snippet"),
+        F.col("title").alias("description"),
+    )
+    pages = _pages_of_results(t, 10, item).select(
+        "query_id", "page", F.to_json(F.struct(F.col("items").alias("organic_results"))).alias("payload")
+    )
+    return payloads.parse_positional(pages, ["query_id", "page"], "payload")
+
+
+@register(
+    "a6_csv_edges",
+    net_sql("""SELECT a.label AS "Source", b.label AS "Target", round(weight, 6) AS "Weight" FROM kept
+               JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst""", **CUT_SQL),
+)
+def a6(t):
+    return exports.edge_rows(cut(t)).withColumn("Weight", F.round("Weight", 6))
+
+
+def _slim(graph: Graph) -> Graph:
+    """The attributes whose text form is the same in every engine."""
+    return Graph(
+        graph.nodes.select("node_id", "node_type", "label", "domain"),
+        graph.edges.select("src", "dst", "rank", "n_results"),
+    )
+
+
+_SLIM_SQL = {
+    **CUT_SQL,
+    "ke": """SELECT e.src, e.dst, e.rank, e.n_results FROM edges e JOIN kept k ON e.src = k.src AND e.dst = k.dst""",
+    "kn": """SELECT node_id, node_type, label, CASE WHEN node_type = 'website' THEN label END AS domain FROM nodes
+             WHERE node_id IN (SELECT node_id FROM kept_nodes)""",
+}
+
+
+@register(
+    "a7_edge_list",
+    net_sql("""SELECT src || chr(9) || dst || chr(9) || '{"rank":' || rank || ',"n_results":' || n_results || '}' AS line
+               FROM ke""", **_SLIM_SQL),
+)
+def a7(t):
+    return exports.edge_list_lines(_slim(cut(t)))
+
+
+@register(
+    "a8_node_link_json",
+    net_sql("""SELECT '{"kind":"node","id":"' || node_id || '","node_type":"' || node_type || '","label":"' || label || '"' ||
+                 CASE WHEN domain IS NULL THEN '' ELSE ',"domain":"' || domain || '"' END || '}' AS line FROM kn
+               UNION ALL SELECT '{"kind":"link","source":"' || src || '","target":"' || dst || '","rank":' || rank ||
+                 ',"n_results":' || n_results || '}' FROM ke""", **_SLIM_SQL),
+)
+def a8(t):
+    return exports.json_lines(_slim(cut(t))).select("line")
+
+
+def _xml_header(lines):
+    return " UNION ALL ".join(f"SELECT '{x}' AS line" for x in lines)
+
+
+@register(
+    "a9_gexf",
+    net_sql(
+        _xml_header([
+            '<?xml version="1.0" encoding="UTF-8"?>',
+            '<gexf xmlns="http://www.gexf.net/1.2draft" xmlns:viz="http://www.gexf.net/1.2draft/viz" version="1.2">',
+            '<graph defaultedgetype="undirected" mode="static">',
+            '<attributes class="node" mode="static"><attribute id="0" title="node_type" type="string" />'
+            '<attribute id="1" title="domain" type="string" /></attributes>',
+            '<attributes class="edge" mode="static"><attribute id="0" title="rank" type="long" />'
+            '<attribute id="1" title="n_results" type="long" /></attributes>',
+            "<nodes>", "</nodes>", "<edges>", "</edges>", "</graph>", "</gexf>",
+        ])
+        + """ UNION ALL SELECT '<node id="' || node_id || '" label="' || label || '"><attvalues><attvalue for="0" value="' ||
+                 node_type || '" />' || CASE WHEN domain IS NULL THEN '' ELSE '<attvalue for="1" value="' || domain || '" />' END
+                 || '</attvalues></node>' FROM kn
+              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><attvalues><attvalue for="0" value="' || rank
+                 || '" /><attvalue for="1" value="' || n_results || '" /></attvalues></edge>' FROM ke""", **_SLIM_SQL),
+)
+def a9(t):
+    return exports.gexf_lines(_slim(cut(t))).select("line")
+
+
+@register("a9b_gexf_visual")
+def a9b(t):
+    return exports.gexf_lines(cut_saved(t), visual=True, colors=style.TYPE_COLORS).select("line")
+
+
+@register(
+    "a10_graphml",
+    net_sql(
+        _xml_header([
+            '<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+            '<key id="n0" for="node" attr.name="node_type" attr.type="string" />',
+            '<key id="n1" for="node" attr.name="label" attr.type="string" />',
+            '<key id="n2" for="node" attr.name="domain" attr.type="string" />',
+            '<key id="e0" for="edge" attr.name="rank" attr.type="long" />',
+            '<key id="e1" for="edge" attr.name="n_results" attr.type="long" />',
+            '<graph edgedefault="undirected">', "</graph>", "</graphml>",
+        ])
+        + """ UNION ALL SELECT '<node id="' || node_id || '"><data key="n0">' || node_type || '</data><data key="n1">' || label ||
+                 '</data>' || CASE WHEN domain IS NULL THEN '' ELSE '<data key="n2">' || domain || '</data>' END || '</node>' FROM kn
+              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="e0">' || rank ||
+                 '</data><data key="e1">' || n_results || '</data></edge>' FROM ke""", **_SLIM_SQL),
+)
+def a10(t):
+    return exports.graphml_lines(_slim(cut(t))).select("line")
+
+
+@register(
+    "a11_export_formats",
+    net_sql("""SELECT unnest(['csv', 'edgelist', 'gexf', 'graphml', 'json']) AS format,
+                 unnest([(SELECT count(*) FROM kept), (SELECT count(*) FROM kept),
+                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 11,
+                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 10,
+                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes)]) AS n_lines""", **_SLIM_SQL),
+)
+def a11(t):
+    """Writes the graph in every format to the shared folder and counts the lines that came out."""
+    saved = cut_saved(t)
+    graph = Graph(saved.nodes.withColumn("domain", F.lit(None).cast("string")),
+                  saved.edges.withColumns({"rank": F.lit(1), "n_results": F.lit(1)}))
+    folder = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
+    counts = None
+    for fmt in sorted(exports.FORMATS):
+        exports.export_graph(_slim(graph), f"{folder}/{fmt}", fmt)
+        rows = t.spark.read.option("header", True).csv(f"{folder}/{fmt}") if fmt == "csv" else t.spark.read.text(f"{folder}/{fmt}")
+        one = rows.agg(F.count(F.lit(1)).alias("n_lines")).select(F.lit(fmt).alias("format"), "n_lines")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@register(
+    "a12_read_gexf",
+    net_sql("""SELECT 'node' AS kind, node_id AS a, label AS b, 0.0 AS weight, NULL AS rank FROM kn
+               UNION ALL SELECT 'edge', k.src, k.dst, round(k.weight, 6), CAST(k.rank AS VARCHAR) FROM kept k""", **_SLIM_SQL),
+)
+def a12(t):
+    path = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
+    graph = cut(t)
+    exports.export_graph(Graph(graph.nodes.select("node_id", "node_type", "label"),
+                               graph.edges.select("src", "dst", "weight", "rank")), path, "gexf")
+    back = gexf.read_gexf(t.spark, path)
+    nodes = back.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("label").alias("b"),
+                              F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("rank"))
+    edges = back.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"),
+                              F.round("weight", 6).alias("weight"), F.col("attributes")["0"].alias("rank"))
+    return nodes.unionByName(edges)
+
+
+_TABLE_SQL = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'"
+_NEW_SQL = """SELECT c_custkey AS id, upper(c_name) AS name, lower(c_mktsegment) AS segment, 1 AS version FROM customer
+              WHERE c_acctbal > 4000 UNION ALL SELECT c_custkey, c_name || '!', c_mktsegment, 2 FROM customer WHERE c_acctbal > 7000"""
+
+
+def _bulk_tables(t):
+    base = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    table = base.filter("segment <> 'BUILDING'").select("id", "name", "segment")
+    first = base.filter("c_acctbal > 4000").select("id", F.upper("name").alias("name"), F.lower("segment").alias("segment"), F.lit(1).alias("version"))
+    second = base.filter("c_acctbal > 7000").select("id", F.concat("name", F.lit("!")).alias("name"), "segment", F.lit(2).alias("version"))
+    return table, first.unionByName(second)
+
+
+@register(
+    "a13_bulk_write",
+    f"""WITH tab AS ({_TABLE_SQL}), new AS ({_NEW_SQL}),
+          latest AS (SELECT id, name, segment FROM new QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)
+        SELECT 'insert' AS op, id, name, segment FROM (SELECT * FROM tab UNION ALL SELECT * FROM latest)
+        UNION ALL SELECT 'update', t.id, coalesce(l.name, t.name), coalesce(l.segment, t.segment) FROM tab t LEFT JOIN latest l USING (id)
+        UNION ALL SELECT 'upsert', id, name, segment FROM tab WHERE id NOT IN (SELECT id FROM latest)
+        UNION ALL SELECT 'upsert', id, name, segment FROM latest
+        UNION ALL SELECT 'delete', id, name, segment FROM tab WHERE id NOT IN (SELECT id FROM new)""",
+)
+def a13(t):
+    table, new = _bulk_tables(t)
+    latest = new.groupBy("id").agg(F.max_by(F.struct("id", "name", "segment"), "version").alias("r")).select("r.*")
+    done = {
+        "insert": bulk_write.insert(table, latest),
+        "update": bulk_write.update(table, latest),
+        "upsert": bulk_write.upsert(table, new.select("id", "name", "segment", "version"), ["id"], ["version"]),
+        "delete": bulk_write.delete(table, new),
+    }
+    out = None
+    for op, df in done.items():
+        rows = df.select(F.lit(op).alias("op"), "id", "name", "segment")
+        out = rows if out is None else out.unionByName(rows)
+    return out
