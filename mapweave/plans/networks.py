@@ -327,10 +327,17 @@ def cut(t) -> Graph:
     return backbone.disparity_filter(net(t), ALPHA)
 
 
+def net_saved(t) -> Graph:
+    """The network with its edges written once, for queries that read them several times."""
+    graph = net(t)
+    return Graph(graph.nodes, materialize(graph.edges.select("src", "dst", "weight", "rank")))
+
+
 def cut_saved(t) -> Graph:
-    graph = cut(t)
-    return Graph(materialize(graph.nodes.select("node_id", "node_type", "label")),
-                 materialize(graph.edges.select("src", "dst", "weight")))
+    graph = backbone.disparity_filter(net_saved(t), ALPHA)
+    edges = materialize(graph.edges.select("src", "dst", "weight"))
+    nodes = graph.with_edges(edges).nodes.select("node_id", "node_type", "label")
+    return Graph(materialize(nodes), edges)
 
 
 @register(
@@ -507,10 +514,10 @@ def h20(t):
                  (SELECT count(*) FROM kept) AS backbone_edges)""", **CUT_SQL),
 )
 def h21(t):
-    graph = net(t)
-    return backbone.retention(
-        graph, backbone.apply_backbone(graph, "disparity_filter", alpha=ALPHA), "disparity_filter"
-    ).withColumn("edge_retention_rate", F.round("edge_retention_rate", 6))
+    graph = net_saved(t)
+    kept = backbone.apply_backbone(graph, "disparity_filter", alpha=ALPHA)
+    kept = graph.with_edges(materialize(kept.edges))
+    return backbone.retention(graph, kept, "disparity_filter").withColumn("edge_retention_rate", F.round("edge_retention_rate", 6))
 
 
 @register(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
 from mapweave.functions import words
-from mapweave.functions.skew import split_row_number
+from mapweave.functions.skew import split_row_number, spread_scan
 from mapweave.operators import keywords, tfidf
 
 BASE_TABLES = (
@@ -19,6 +19,9 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Tables whose rows carry long texts, with their row id.
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
 
 class Tables:
     """Lazy access to the given tables and to the roles derived from them."""
@@ -33,7 +36,8 @@ class Tables:
             raise AttributeError(name)
         if name not in self._seen:
             if name in BASE_TABLES:
-                self._seen[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._seen[name] = spread_scan(scan, *TEXT_KEYS[name]) if name in TEXT_KEYS else scan
             elif name in ROLES:
                 self._seen[name] = ROLES[name](self)
             else:
@@ -142,10 +146,15 @@ def _suffix(key):
     return out.otherwise(".dk")
 
 
-def _part_url(domain):
-    return F.concat(
-        F.lit("https://"), domain, F.lit("/"), F.regexp_replace(F.lower("p_type"), " ", "-"), F.lit("/"),
-        F.col("p_partkey").cast("string"),
+def _part_texts(parts: DataFrame) -> DataFrame:
+    """(p_partkey, p_name, host, path, snippet): texts that depend on the part alone, made before any join."""
+    kind = F.lower("p_type")
+    return parts.select(
+        "p_partkey",
+        "p_name",
+        F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("host"),
+        F.concat(F.lit("/"), F.replace(kind, F.lit(" "), F.lit("-")), F.lit("/"), F.col("p_partkey").cast("string")).alias("path"),
+        F.concat("p_name", F.lit(" "), kind, F.lit(" offer")).alias("snippet"),
     )
 
 
@@ -173,16 +182,15 @@ def search_results(t: Tables) -> DataFrame:
     ranked = split_row_number(
         lines, ["l_orderkey"], ["l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"], "rank"
     )
-    parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
-    domain = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), _suffix(F.col("l_suppkey")))
-    return ranked.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    domain = F.concat("host", _suffix(F.col("l_suppkey")))
+    return ranked.join(_part_texts(t.part), F.col("l_partkey") == F.col("p_partkey")).select(
         (F.col("l_orderkey") * 10000000 + F.col("rank")).alias("result_id"),
         F.col("l_orderkey").alias("query_id"),
         "rank",
         domain.alias("domain"),
-        _part_url(domain).alias("url"),
+        F.concat(F.lit("https://"), domain, "path").alias("url"),
         F.col("p_name").alias("title"),
-        F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" offer")).alias("description"),
+        F.col("snippet").alias("description"),
         F.col("l_shipdate").alias("created_at"),
         (F.col("l_linestatus") == "F").alias("scraped"),
     )
@@ -237,11 +245,13 @@ def website_content(t: Tables) -> DataFrame:
 )
 def content_urls(t: Tables) -> DataFrame:
     """The result URL a document was fetched from (documents and parts share key ranges)."""
-    domain = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), _suffix(F.col("doc_id")))
     return (
         t.documents.select("doc_id")
-        .join(t.part.select("p_partkey", "p_brand", "p_type"), F.col("doc_id") == F.col("p_partkey"))
-        .select(F.col("doc_id").alias("content_id"), _part_url(domain).alias("url"))
+        .join(_part_texts(t.part), F.col("doc_id") == F.col("p_partkey"))
+        .select(
+            F.col("doc_id").alias("content_id"),
+            F.concat(F.lit("https://"), "host", _suffix(F.col("doc_id")), "path").alias("url"),
+        )
     )
 
 
