@@ -100,7 +100,7 @@ def shortest_paths(graph: Graph, max_levels: int | None = None) -> tuple[DataFra
     """(source, node_id, d, paths) of all reachable pairs, level by level, and the number of levels.
 
     ``paths`` counts the shortest paths. The table has one row per connected pair: use it on graphs that were
-    cut to a backbone or aggregated to domains, as the reference does.
+    cut to a backbone or aggregated to domains first.
     """
     links = materialize(both_ways(graph.edges) if not graph.directed else graph.edges.select(
         F.col("src").alias("node_id"), F.col("dst").alias("neighbor")))
@@ -222,8 +222,8 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000
     """(node_id, component) of a directed graph: rounds of forward colouring and backward search.
 
     In a round, every open node takes the largest id that reaches it as its colour; the nodes that reach
-    their colour's root inside the colour are one component and close. Nodes without an open
-    predecessor or successor close at once, alone.
+    their colour's root inside the colour are one component and close. Nodes that lie on no cycle because
+    they have no open predecessor or successor close before, alone.
     """
     open_nodes = materialize(nodes.select("node_id"))
     open_edges = materialize(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
@@ -231,14 +231,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000
     for _ in range(max_rounds):
         if open_nodes.isEmpty():
             break
-        inner = (
-            open_nodes.join(open_edges.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi")
-            .join(open_edges.select(F.col("src").alias("node_id")).distinct(), "node_id", "left_semi")
-        )
-        inner = materialize(inner)
+        inner, links = _trim(open_nodes, open_edges)
         alone = open_nodes.join(inner, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
         closed.append(materialize(alone))
-        links = materialize(_inside(open_edges, inner))
         color = _spread_largest(inner, links)
         same = links.join(color.withColumnsRenamed({"node_id": "src", "color": "c1"}), "src").join(
             color.withColumnsRenamed({"node_id": "dst", "color": "c2"}), "dst"
@@ -264,6 +259,17 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("src", "dst")
 
 
+def _trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that keep a predecessor and a successor however often nodes without one are removed."""
+    while True:
+        ends = edges.select(F.col("src").alias("node_id")).distinct()
+        starts = edges.select(F.col("dst").alias("node_id")).distinct()
+        kept = materialize(nodes.join(starts, "node_id", "left_semi").join(ends, "node_id", "left_semi"))
+        if kept.count() == nodes.count():
+            return kept, edges
+        nodes, edges = kept, materialize(_inside(edges, kept))
+
+
 def _spread_largest(nodes: DataFrame, links: DataFrame) -> DataFrame:
     color = materialize(nodes.select("node_id", F.col("node_id").alias("color"), F.lit(True).alias("moved")))
     while True:

@@ -200,17 +200,19 @@ def clustering(graph: Graph) -> DataFrame:
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).distinct()
     ranked = deg.select("node_id", key.alias("k"))
+    lower = F.col("k1") < F.col("k2")
     oriented = (
         pairs.join(ranked.withColumnsRenamed({"node_id": "src", "k": "k1"}), "src")
         .join(ranked.withColumnsRenamed({"node_id": "dst", "k": "k2"}), "dst")
         .select(
-            F.when(F.col("k1") < F.col("k2"), F.col("src")).otherwise(F.col("dst")).alias("u"),
-            F.when(F.col("k1") < F.col("k2"), F.col("dst")).otherwise(F.col("src")).alias("v"),
+            F.when(lower, F.col("src")).otherwise(F.col("dst")).alias("u"),
+            F.when(lower, F.col("dst")).otherwise(F.col("src")).alias("v"),
+            F.greatest("k1", "k2").alias("k"),
         )
     )
-    first = oriented.select("u", F.col("v").alias("v1"))
-    second = oriented.select("u", F.col("v").alias("v2"))
-    wedges = first.join(second, "u").filter(F.col("v1") != F.col("v2"))
+    first = oriented.select("u", F.col("v").alias("v1"), F.col("k").alias("k1"))
+    second = oriented.select("u", F.col("v").alias("v2"), F.col("k").alias("k2"))
+    wedges = first.join(second, "u").filter(lower).select("u", "v1", "v2")
     closed = oriented.select(F.col("u").alias("v1"), F.col("v").alias("v2"))
     triangles = wedges.join(closed, ["v1", "v2"])
     per_node = (
