@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import words
 
-#: Fixed value: longest text that is analysed, in characters.
-MAX_TEXT_CHARS = 1_000_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 WORD = r"[\p{L}\p{N}]+"
 
@@ -20,8 +18,8 @@ def _col(value) -> Column:
 
 
 def word_array(text) -> Column:
-    """Runs of letters and digits, in order, as written."""
-    return F.filter(F.split(F.substring(_col(text), 1, MAX_TEXT_CHARS), SEPARATORS), lambda w: w != "")
+    """Runs of letters and digits of the whole text, in order, as written."""
+    return F.filter(F.split(_col(text), SEPARATORS), lambda w: w != "")
 
 
 def is_stop(word: Column, language: Column | None = None, stop_words: Mapping[str, Sequence[str]] | None = None) -> Column:
@@ -85,13 +83,13 @@ def line_count(text) -> Column:
     return F.when(body == "", 0).otherwise(lines).cast("bigint")
 
 
-def detect_language(text, markers: Mapping[str, Sequence[str]] | None = None, sample_chars: int = 10_000) -> Column:
-    """Language whose marker words hit most often in a sample; null under 50 characters or without a hit.
+def detect_language(text, markers: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """Language whose marker words hit most often in the text; null under 50 characters or without a hit.
 
     Ties go to the alphabetically first code. A stop-word vote replaces a statistical model.
     """
     lists = markers or words.LANGUAGE_MARKERS
-    tokens = F.split(F.lower(F.substring(_col(text), 1, sample_chars)), SEPARATORS)
+    tokens = F.split(F.lower(_col(text)), SEPARATORS)
 
     def vote(ws: Column, code: str) -> Column:
         hits = F.size(F.filter(ws, lambda w: w.isin(*lists[code])))

@@ -104,27 +104,32 @@ def shortest_paths(graph: Graph, max_levels: int | None = None) -> tuple[DataFra
     """
     links = materialize(both_ways(graph.edges) if not graph.directed else graph.edges.select(
         F.col("src").alias("node_id"), F.col("dst").alias("neighbor")))
-    reached = materialize(
-        graph.nodes.select(
-            F.col("node_id").alias("source"), "node_id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")
-        )
+    start = graph.nodes.select(
+        F.col("node_id").alias("source"), "node_id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")
     )
-    frontier, level = reached, 0
-    while max_levels is None or level < max_levels:
-        level += 1
+    levels = [materialize(start)]
+    while max_levels is None or len(levels) <= max_levels:
+        # A neighbour of an undirected level lies in it, before it or after it; a directed edge may lead far back.
+        near = _union(levels if graph.directed else levels[-2:]).select("source", "node_id")
         step = (
-            frontier.join(links, "node_id")
+            levels[-1].join(links, "node_id")
             .groupBy("source", F.col("neighbor").alias("node_id"))
             .agg(F.sum("paths").alias("paths"))
-            .join(reached.select("source", "node_id"), ["source", "node_id"], "left_anti")
-            .select("source", "node_id", F.lit(level).alias("d"), "paths")
+            .join(near, ["source", "node_id"], "left_anti")
+            .select("source", "node_id", F.lit(len(levels)).alias("d"), "paths")
         )
         frontier = materialize(step)
         if frontier.isEmpty():
-            level -= 1
             break
-        reached = materialize(reached.unionByName(frontier), replaces=reached if level > 1 else None)
-    return reached, level
+        levels.append(frontier)
+    return _union(levels), len(levels) - 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def closeness(graph: Graph, paths: DataFrame | None = None) -> DataFrame:
@@ -173,10 +178,7 @@ def betweenness(graph: Graph, paths: tuple[DataFrame, int] | None = None) -> Dat
     scale = F.coalesce(F.try_divide(F.lit(1.0), (n - 1) * (n - 2)), F.lit(1.0))
     if not done:
         return graph.nodes.select("node_id", F.lit(0.0).alias("centrality"))
-    every = done[0]
-    for more in done[1:]:
-        every = every.unionByName(more)
-    sums = every.filter(F.col("source") != F.col("node_id")).groupBy("node_id").agg(F.sum("delta").alias("total"))
+    sums = _union(done).filter(F.col("source") != F.col("node_id")).groupBy("node_id").agg(F.sum("delta").alias("total"))
     return graph.nodes.select("node_id").join(sums, "node_id", "left").select(
         "node_id", (F.coalesce("total", F.lit(0.0)) * scale).alias("centrality")
     )
@@ -188,7 +190,7 @@ def eigenvector(graph: Graph, max_iter: int = 100, tol: float = 1e-6) -> DataFra
     if n == 0:
         return None
     links = materialize(both_ways(graph.edges))
-    vector = materialize(graph.nodes.select("node_id", F.lit(1.0 / n).alias("x")))
+    vector, raw = graph.nodes.select("node_id", F.lit(1.0 / n).alias("x")), None
     for _ in range(max_iter):
         pulled = links.join(
             vector.withColumnRenamed("node_id", "neighbor"), "neighbor"
@@ -196,7 +198,8 @@ def eigenvector(graph: Graph, max_iter: int = 100, tol: float = 1e-6) -> DataFra
         raw = materialize(
             vector.join(pulled, "node_id", "left").select(
                 "node_id", F.col("x").alias("old"), (F.col("x") + F.coalesce("pull", F.lit(0.0))).alias("y")
-            )
+            ),
+            replaces=raw,
         )
         norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm")).first()["norm"] or 1.0
         change = raw.agg(F.sum(F.abs(F.col("y") / norm - F.col("old"))).alias("c")).first()["c"]
@@ -247,10 +250,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000
         open_edges = materialize(_inside(links, open_nodes))
     else:
         raise RuntimeError(f"strong components did not settle in {max_rounds} rounds")
-    out = closed[0] if closed else nodes.select("node_id", F.col("node_id").alias("component")).limit(0)
-    for more in closed[1:]:
-        out = out.unionByName(more)
-    return out
+    return _union(closed) if closed else nodes.select("node_id", F.col("node_id").alias("component")).limit(0)
 
 
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -292,16 +292,15 @@ def _spread_largest(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _reach_backward(roots: DataFrame, links: DataFrame) -> DataFrame:
-    seen = materialize(roots)
-    frontier = seen
+    found = [materialize(roots)]
     while True:
         step = (
-            links.join(frontier.select(F.col("node_id").alias("dst")), "dst")
+            links.join(found[-1].select(F.col("node_id").alias("dst")), "dst")
             .select(F.col("src").alias("node_id"))
             .distinct()
-            .join(seen, "node_id", "left_anti")
+            .join(_union(found), "node_id", "left_anti")
         )
         frontier = materialize(step)
         if frontier.isEmpty():
-            return seen
-        seen = materialize(seen.unionByName(frontier))
+            return _union(found)
+        found.append(frontier)

@@ -157,7 +157,7 @@ def _vote_sql():
     arms = " ".join(f"WHEN h_{c} = {best} THEN '{c}'" for c in codes)
     return f"""SELECT doc_id, CASE WHEN length(trim(text)) < 50 OR {best} = 0 THEN NULL {arms} END AS language
         FROM (SELECT doc_id, text, {hits} FROM (SELECT doc_id, text,
-              string_split_regex(lower(substr(text, 1, 10000)), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM documents))"""
+              string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM documents))"""
 
 
 @register("c9_language", _vote_sql())

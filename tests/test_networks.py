@@ -248,3 +248,29 @@ def test_empty_network_is_an_error(spark, tmp_path):
         job.run_network_job(empty, "n", "t", [], str(tmp_path / "x"))
     with pytest.raises(ValueError):
         exports.export_graph(empty, str(tmp_path / "y"), "dot")
+
+
+def test_visual_gexf(spark, tmp_path):
+    from pathlib import Path
+    import xml.etree.ElementTree as et
+
+    path = str(tmp_path / "viz")
+    exports.export_graph(make(spark, [("a", "b"), ("b", "c")]), path, "gexf", visual=True, colors={"website": "#010203"})
+    root = et.fromstring("".join(p.read_text() for p in sorted(Path(path).glob("part-*"))))
+    space = {"g": "http://www.gexf.net/1.2draft", "v": "http://www.gexf.net/1.2draft/viz"}
+    nodes = root.findall(".//g:node", space)
+    assert [n.get("id") for n in nodes] == ["a", "b", "c"]
+    assert [n.find("v:size", space).get("value") for n in nodes] == ["10.0", "100.0", "10.0"]
+    assert nodes[0].find("v:color", space).attrib == {"r": "1", "g": "2", "b": "3"}
+
+
+def test_rounds_are_written_to_the_configured_folder(spark):
+    from pathlib import Path
+
+    from mapweave.session import checkpoint_root, materialize
+
+    assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    first = materialize(spark.range(3))
+    second = materialize(first.filter("id > 0"), replaces=first)
+    assert second.count() == 2
+    assert not Path(first._mapweave_path).exists() and Path(second._mapweave_path).exists()
