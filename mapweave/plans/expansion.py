@@ -330,6 +330,6 @@ def f9(t):
                 WHERE length(term) % 2 = 0"""),
 )
 def f10(t):
-    stored = _job(t)
+    stored = materialize(_job(t))
     decisions = stored.groupBy("session_id", "term").agg((F.length(F.first("term")) % 2 == 0).alias("approved"))
     return ops.next_generation(ops.decide(stored, decisions))

@@ -323,18 +323,18 @@ CUT_SQL = {
 }
 
 
-def cut(t) -> Graph:
-    return backbone.disparity_filter(net(t), ALPHA)
-
-
 def net_saved(t) -> Graph:
     """The network with its edges written once, for queries that read them several times."""
     graph = net(t)
-    return Graph(graph.nodes, materialize(graph.edges.select("src", "dst", "weight", "rank")))
+    return Graph(graph.nodes, materialize(graph.edges))
+
+
+def cut(t) -> Graph:
+    return backbone.disparity_filter(net_saved(t), ALPHA)
 
 
 def cut_saved(t) -> Graph:
-    graph = backbone.disparity_filter(net_saved(t), ALPHA)
+    graph = cut(t)
     edges = materialize(graph.edges.select("src", "dst", "weight"))
     nodes = graph.with_edges(edges).nodes.select("node_id", "node_type", "label")
     return Graph(materialize(nodes), edges)
@@ -377,7 +377,7 @@ _PROJ_SQL = {
 
 @register("h12_projection", net_sql("SELECT a, b, weight FROM proj", **_PROJ_SQL))
 def h12(t):
-    return metrics.project(net(t), "website")
+    return metrics.project(net_saved(t), "website")
 
 
 @register(
@@ -478,7 +478,7 @@ def h17(t):
                round(greatest(alpha_src, alpha_dst), 6) AS alpha FROM sig""", **_sig_sql()),
 )
 def h18(t):
-    return backbone.edge_significance(net(t)).select(
+    return backbone.edge_significance(net_saved(t)).select(
         "src", "dst", *[F.round(c, 6).alias(c) for c in ("alpha_src", "alpha_dst", "alpha")]
     )
 
@@ -490,7 +490,7 @@ def h18(t):
                  (SELECT src FROM edges WHERE weight >= 0.5 UNION SELECT dst FROM edges WHERE weight >= 0.5)"""),
 )
 def h19(t):
-    graph = backbone.threshold_filter(net(t), 0.5)
+    graph = backbone.threshold_filter(net_saved(t), 0.5)
     edges = graph.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
     return edges.unionByName(graph.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"),
                                                 F.col("node_type").alias("b")))
@@ -596,7 +596,7 @@ _STRONG_PAIRS = {
 
 def site_graph(t) -> Graph:
     """Sites linked when they share clearly more queries than the average pair."""
-    pairs = materialize(metrics.project(net(t), "website"))
+    pairs = materialize(metrics.project(net_saved(t), "website"))
     limit = pairs.agg((F.avg("weight") * 1.3).alias("w")).scalar()
     edges = materialize(pairs.filter(F.col("weight") >= limit).select(
         F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
