@@ -12,6 +12,7 @@ their own; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -136,7 +137,7 @@ def _shard_slots(sources: list[tuple[int, int, int]], block: int, shard_slots: i
 
 def mix(
     docs: DataFrame, key: str, source: str, size: Column, weight_of: Callable[[list], list[float]], share: float = 1.5,
-    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17, cell_rows: int = 2000,
+    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` and its sizes.
 
@@ -160,7 +161,7 @@ def mix(
     named = sized.alias("d").join(F.broadcast(table).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     n_rows = sum(r["n"] for r in rows)
     keyed = named.select("key", "size", "source_no", "source_size", "target",
-                         cells(F.col("key"), max(64, n_rows // cell_rows)).alias("cell"))
+                         cells(F.col("key"), max(64, math.isqrt(n_rows))).alias("cell"))
     placed = materialize(
         numbered(keyed, ["source_no"], ["key", "size"], "size", "cell")
         .withColumn("row_no", F.monotonically_increasing_id())
