@@ -178,7 +178,8 @@ def mix(
     draw, groups = _shard_slots([(i, int(sizes[i]), round(float(targets[i]))) for i in range(len(rows))], block_words, shard_slots, seed)
     slots = spark.range(0, groups, 1, min(groups, 4096)).mapInPandas(draw, "shard long, slot long, source_no int, block long, take long")
     length = F.least(F.col("stop") - F.col("start"), F.col("take") - F.col("at"))
-    taken = slots.join(pieces, ["source_no", "block"]).select(
+    # Spark takes the slots for as few rows as the groups they are drawn from; both sides grow with the corpus
+    taken = slots.join(pieces.hint("merge"), ["source_no", "block"]).select(
         "shard", "slot", "row_no", F.col("key").alias(key), "start", length.alias("length"), "at",
     ).where("length > 0")
     return taken, placed.select("row_no", F.col("key").alias(key), "size", "source_size", "target")

@@ -29,7 +29,8 @@ from mapweave.llm.common import cells, materialize, numbered
 WINDOW, UNIT, DEPTH, MIN_CUT, END = 2048, 8, 3, 4, 1
 
 #: White space as the tokenizer's pattern sees it (the Unicode property, without the separators U+001C to U+001F).
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0" + "".join(f"{chr(a)}-{chr(b)}" for a, b in (
+    (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)))
 #: Cuts a text only where the tokenizer's own pattern cuts it, too: pieces can be encoded one by one.
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
