@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import media, mixing, packing
+from mapweave.llm import fingerprints, langid, media, mixing, packing, pii, toxicity, urlrules
 from mapweave.llm.common import documents, scratch_path
+from mapweave.llm.sampling import labelled_sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +46,73 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), "doc_id", "text")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+URL_RULES = [
+    urlrules.Rule(urlrules.BLOCK, "net/"), urlrules.Rule(urlrules.ALLOW, "example.net/en/"),
+    urlrules.Rule(urlrules.BLOCK, "example.com/de/"), urlrules.Rule(urlrules.ALLOW, "org/fr/"),
+]
+
+
+@query("op9_url_rules", """
+    WITH cut AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+        SELECT page_id,
+            translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+    ), rules(host, path, verdict) AS (
+        VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+    ), best AS (
+        SELECT p.page_id, max_by(r.host || r.path, length(r.host || r.path)) AS rule,
+            max_by(r.verdict, length(r.host || r.path)) AS verdict
+        FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+        GROUP BY p.page_id
+    )
+    SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+    FROM parts p LEFT JOIN best b ON p.page_id = b.page_id
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", URL_RULES)
+
+
+def _fold(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
+    rows = labelled_sample(docs.where("NOT held_out").select("doc_id", "text", "lang"), "lang", "doc_id", langid.PER_LANGUAGE)
+    found = langid.identify(docs, "doc_id", "text", langid.fit([(r["text"], r["lang"]) for r in rows]))
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
+    """Fitted on labelled rows of ``docs`` outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    rows = docs.select("doc_id", "text").where(_fold(5) != 0).join(labels, "doc_id")
+    found = labelled_sample(rows, "toxic", "doc_id", toxicity.PER_LABEL)
+    return toxicity.fit([(r["text"], r["toxic"]) for r in found])
+
+
+@query("op5_toxicity_cnn")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, "doc_id", "text", toxicity_model(docs, spark, sf_dir))
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_minhash_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query("op7_information_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, extra = pii.find(documents(spark, sf_dir), "doc_id", "text")
+    found = pii.with_terms(rows, extra)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        F.col("key").alias("doc_id"), *[count(k) for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"))

@@ -15,16 +15,17 @@ import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C13)  # = 3 mod 8: powers differ in all but a few low bits
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
+_SPAN = 1 << 20
 _SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
-@lru_cache(maxsize=1)
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _byte_tables(separators: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Random value of every byte after lower-casing (0 for separators), and which bytes are in words."""
     values = np.random.default_rng(20240117).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     values[65:91] = values[97:123]
     in_word = np.ones(256, dtype=bool)
-    in_word[list(_SEPARATORS)] = False
+    in_word[list(separators)] = False
     values[~in_word] = 0
     return values, in_word
 
@@ -53,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each (nulls are empty)."""
     if texts.null_count:
         texts = texts.fill_null("")
@@ -66,11 +67,17 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text where its words begin (one more entry at the end)."""
-    raw, offsets = _buffers(texts)
+    hashes, at = hash_words(texts, _SEPARATORS)
+    return hashes[0], at
+
+
+def hash_words(texts: pa.Array, separators, prefixes: tuple[int, ...] = ()) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all words, then of their first bytes (as many as ``prefixes`` says), and where each text's words begin."""
+    raw, offsets = text_buffers(texts)
     n = len(raw)
     if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    values, in_word = _byte_tables()
+        return [np.zeros(0, dtype=np.uint64)] * (1 + len(prefixes)), np.zeros(len(offsets), dtype=np.int64)
+    values, in_word = _byte_tables(tuple(separators))
     word = in_word[raw]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
@@ -81,10 +88,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[cut] = word[cut]  # texts don't run together
     ends[cut - 1] = word[cut - 1]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values[raw] * up[:n], out=sums[1:])
-    hashes = mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    hashes = [np.empty(len(starts), dtype=np.uint64) for _ in range(1 + len(prefixes))]
+    at = 0
+    while at < len(starts):  # some words at a time, to bound the memory of a long text
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + _SPAN, side="right")))
+        low, high = int(starts[at]), int(stops[to - 1])
+        up, down = _powers(high - low + 1)
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum(values[raw[low:high]] * up[: high - low], out=sums[1:])
+        a, b = starts[at:to] - low, stops[at:to] - low
+        for out, most in zip(hashes, (None, *prefixes), strict=True):
+            c = b if most is None else np.minimum(b, a + most)
+            out[at:to] = mix((sums[c] - sums[a]) * down[a] + ((c - a) * 8 + (most or 0)).astype(np.uint64))
+        at = to
     return hashes, np.searchsorted(starts, offsets)
 
 
