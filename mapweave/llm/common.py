@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mapweave.session import checkpoint_root, materialize
 
-__all__ = ["cells", "documents", "materialize", "numbered", "scratch_path", "slices"]
+__all__ = ["cells", "documents", "let", "materialize", "numbered", "scratch_path", "slices"]
 
 #: Words are maximal runs of other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,11 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/mapweave/{kind}-{uuid.uuid4().hex}"
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def slices(array: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array of about ``max_bytes`` each (a longer text stands alone)."""
     at, size = 0, 0

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import materialize
+from mapweave.llm.common import let, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -38,10 +38,6 @@ BLOCK = 64
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
-def _let(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
 
@@ -75,29 +71,30 @@ def _starts(gaps: Column, lengths: Column) -> Column:
         sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: total(F.slice(both, b * BLOCK + 1, F.lit(BLOCK))))
 
         def at(bases: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), n - 1), lambda j: _let(
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda j: let(
                 F.floor(j / BLOCK).cast("int"),
                 lambda b: F.get(bases, b) + total(F.slice(both, b * BLOCK + 1, j - b * BLOCK)) + F.get(gaps, j)))
 
-        return _let(sums, lambda s: at(F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda b: total(F.slice(s, F.lit(1), b)))))
+        return let(sums, lambda s: at(F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda b: total(F.slice(s, F.lit(1), b)))))
 
-    return _let(both, from_blocks)
+    return let(both, from_blocks)
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """Spans of one kind, in order: kind, start, stop (code points, end exclusive), value."""
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.char_length)
+def places(text: Column, pattern: str) -> Column:
+    """All matches, in order: start, stop (code points, end exclusive), value."""
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: F.when(F.size(values) > 0, F.zip_with(
+        let(gaps, lambda g: let(F.transform(values, F.char_length), lambda n: _starts(g, n))), values,
+        lambda s, v: F.struct(s.cast("int").alias("start"), (s + F.char_length(v)).cast("int").alias("stop"), v.alias("value")))).otherwise(
+        F.array().cast("array<struct<start:int,stop:int,value:string>>")))
 
-    def placed(values: Column) -> Column:
-        lengths = F.transform(values, F.char_length)
-        starts = _let(gaps, lambda g: _let(lengths, lambda n: _starts(g, n)))
-        all_ = F.zip_with(starts, values, lambda s, v: F.struct(
-            F.lit(kind).alias("kind"), s.cast("int").alias("start"), (s + F.char_length(v)).cast("int").alias("stop"), v.alias("value")))
-        return F.filter(all_, lambda x: holds(kind, x["value"]))
 
+def spans_of(kind: str, text: Column) -> Column:
+    """Spans of one kind, in order: kind, start, stop (code points, end exclusive), value."""
+    found = F.transform(places(text, PATTERNS[kind]), lambda x: F.struct(
+        F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value")))
     none = F.array().cast(SPAN)
-    return F.when(text.rlike(HINTS[kind]), _let(found, lambda v: F.when(F.size(v) > 0, placed(v)).otherwise(none))).otherwise(none)
+    return F.when(text.rlike(HINTS[kind]), F.filter(found, lambda x: holds(kind, x["value"]))).otherwise(none)
 
 
 def in_order(spans: Column) -> Column:
@@ -132,11 +129,11 @@ def _lines(found: DataFrame) -> DataFrame:
     """The lines of ``found`` that hold base spans: key, hash, begin, line, spans (in the line), terms (outside of the spans)."""
     def cut(lines: Column) -> Column:
         lengths = F.transform(lines, F.char_length)
-        ends = _let(lengths, lambda n: _starts(n, F.transform(n, lambda _: F.lit(1))))
+        ends = let(lengths, lambda n: _starts(n, F.transform(n, lambda _: F.lit(1))))
         return F.zip_with(ends, lines, lambda e, x: F.struct((e - F.char_length(x)).alias("begin"), e.alias("end"), x.alias("line")))
 
     # a span never goes over a line's end
-    rows = found.select("key", "hash", "spans", F.explode(_let(F.split("text", "\n"), lambda x: F.filter(
+    rows = found.select("key", "hash", "spans", F.explode(let(F.split("text", "\n"), lambda x: F.filter(
         cut(x), lambda c: F.exists("spans", lambda s: (s["start"] >= c["begin"]) & (s["start"] < c["end"]))))).alias("c"))
     rows = rows.select("key", "hash", "c.begin", "c.line", F.filter(
         "spans", lambda s: (s["start"] >= F.col("c.begin")) & (s["start"] < F.col("c.end"))).alias("spans"))
@@ -171,11 +168,9 @@ def _term_spans(lines: DataFrame, terms: DataFrame) -> DataFrame:
     by_line = hits.groupBy("key", "hash", "begin").agg(
         F.first("line").alias("line"), F.first("spans").alias("spans"), F.map_from_entries(F.collect_set(F.struct("term", F.lit(1)))).alias("found"),
         F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("removed"))
-    pattern = r"\p{L}+"
-    placed = _let(F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), lambda v: F.zip_with(
-        _let(F.transform(F.split("line", pattern, -1), F.char_length), lambda g: _let(F.transform(v, F.char_length), lambda n: _starts(g, n))),
-        v, lambda s, x: F.struct(F.lit(TERM).alias("kind"), (s + F.col("begin")).cast("int").alias("start"),
-                                 (s + F.col("begin") + F.char_length(x)).cast("int").alias("stop"), x.alias("value"))))
+    placed = F.transform(places(F.col("line"), r"\p{L}+"), lambda x: F.struct(
+        F.lit(TERM).alias("kind"), (x["start"] + F.col("begin")).cast("int").alias("start"), (x["stop"] + F.col("begin")).cast("int").alias("stop"),
+        x["value"].alias("value")))
     free = F.filter(placed, lambda x: F.map_contains_key("found", F.lower(x["value"])) & ~F.exists(
         "spans", lambda b: (x["start"] < b["stop"]) & (b["start"] < x["stop"])))
     marked = F.transform(free, lambda x: F.struct(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import fingerprints, langid, media, mixing, packing, pii, toxicity, urlrules
+from mapweave.llm import fingerprints, langid, media, mixing, packing, pii, secretscan, toxicity, urlrules
 from mapweave.llm.common import documents, scratch_path
 from mapweave.llm.sampling import labelled_sample
 
@@ -116,3 +116,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), *[count(k) for k in pii.KINDS],
         F.sha2(pii.joined(F.col("spans")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("all")).alias("spans"))
+
+
+@query("op8_secret_forest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secretscan.report(docs, secretscan.scan(docs, "doc_id", "text", "source"), "doc_id", "text")
