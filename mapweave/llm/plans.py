@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import fingerprints, langid, media, mixing, packing, pii, secretscan, toxicity, urlrules
+from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, secretscan, toxicity, urlrules
 from mapweave.llm.common import documents, scratch_path
 from mapweave.llm.sampling import labelled_sample
 
@@ -122,3 +122,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return secretscan.report(docs, secretscan.scan(docs, "doc_id", "text", "source"), "doc_id", "text")
+
+
+@query("op3_ngram_jaccard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_components(documents(spark, sf_dir), "doc_id", "text")
