@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def let(value: Column, then) -> Column:
 def slices(array: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array of about ``max_bytes`` each (a longer text stands alone)."""
     at, size = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(array).to_pylist()):
+    for i, n in enumerate(pc.binary_length(array).to_pylist()):
         if size and size + (n or 0) > max_bytes:
             yield at, i
             at, size = i, 0
