@@ -13,6 +13,7 @@ their own; an empty table gives an empty mix.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.common import WORD, cells, materialize, numbered
 
+_WORDS = re.compile(WORD)
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 #: Shards whose counts are drawn together; the sum of their slots is far below what numpy's sampler can take.
@@ -91,8 +93,8 @@ def _shard_slots(sources: list[tuple[int, int, int]], block: int, shard_slots: i
     slots = [slots_of(int(w), t, block) for w, t in zip(words, targets, strict=True)]
     groups = max(1, -(-sum(slots) // (shard_slots * GROUP_SHARDS)))
 
-    def blocks(s: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Block and words taken of the source's slots k."""
+    def blocks(s: int, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pass, block and words taken of the source's slots k."""
         w, whole = int(words[s]), int(words[s]) // block
         per_pass = -(-w // block)
         turn, inside = np.divmod(k, per_pass)
@@ -106,7 +108,7 @@ def _shard_slots(sources: list[tuple[int, int, int]], block: int, shard_slots: i
         passes, rest = divmod(targets[s], w)
         if rest:
             take[last] = np.minimum(take[last], rest - (-(-rest // block) - 1) * block)
-        return place, take
+        return turn, place, take
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -123,8 +125,8 @@ def _shard_slots(sources: list[tuple[int, int, int]], block: int, shard_slots: i
                     parts = []
                     for s in np.flatnonzero(counts):
                         k = at[s] + np.arange(counts[s])
-                        place, take = blocks(s, k)
-                        parts.append(pd.DataFrame({"source_no": np.int32(sources[s][0]), "block": place, "take": take}))
+                        turn, place, take = blocks(s, k)
+                        parts.append(pd.DataFrame({"source_no": np.int32(sources[s][0]), "turn": turn, "block": place, "take": take}))
                     at, left = at + counts, left - counts
                     if parts:
                         out = pd.concat(parts, ignore_index=True).iloc[rng.permutation(n)]
@@ -137,16 +139,17 @@ def _shard_slots(sources: list[tuple[int, int, int]], block: int, shard_slots: i
 
 def mix(
     docs: DataFrame, key: str, source: str, size: Column, weight_of: Callable[[list], list[float]], share: float = 1.5,
-    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17,
+    block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 17, carry: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs`` and its sizes.
 
-    First frame, one row per taken piece: shard, slot, row_no (of the document's row), ``key``, start, length (words of
+    First frame, one row per taken piece: shard, slot, turn (pass of the source), row_no (of the document's row), ``key``, start, length (words of
     the document) and at (the piece's first word in its slot). Second frame, one row per document: row_no, ``key``,
-    size, source_size, target. ``weight_of`` gets the source names by code point, null last, and gives their weights. Only
+    size, source_size, target, and the columns of ``carry``. ``weight_of`` gets the source names by code point, null last, and gives their weights. Only
     one row per source comes to the driver.
     """
-    sized = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")))
+    more = [c.alias(name) for name, c in (carry or {}).items()]
+    sized = materialize(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), *more))
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = np.array([r["size"] or 0 for r in rows], dtype=np.int64)
@@ -160,7 +163,7 @@ def mix(
     # one row per source, a table of a size that is known here
     named = sized.alias("d").join(F.broadcast(table).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     n_rows = sum(r["n"] for r in rows)
-    keyed = named.select("key", "size", "source_no", "source_size", "target",
+    keyed = named.select("key", "size", "source_no", "source_size", "target", *(carry or {}),
                          cells(F.col("key"), max(64, math.isqrt(n_rows))).alias("cell"))
     placed = materialize(
         numbered(keyed, ["source_no"], ["key", "size"], "size", "cell")
@@ -176,14 +179,46 @@ def mix(
         F.greatest(F.lit(0), F.col("before") - F.col("block") * per_block).alias("at"),
     )
     draw, groups = _shard_slots([(i, int(sizes[i]), round(float(targets[i]))) for i in range(len(rows))], block_words, shard_slots, seed)
-    slots = spark.range(0, groups, 1, min(groups, 4096)).mapInPandas(draw, "shard long, slot long, source_no int, block long, take long")
+    slots = spark.range(0, groups, 1, min(groups, 4096)).mapInPandas(draw, "shard long, slot long, source_no int, turn long, block long, take long")
     length = F.least(F.col("stop") - F.col("start"), F.col("take") - F.col("at"))
     # Spark takes the slots for as few rows as the groups they are drawn from; both sides grow with the corpus
     taken = slots.join(pieces.hint("merge"), ["source_no", "block"]).select(
-        "shard", "slot", "row_no", F.col("key").alias(key), "start", length.alias("length"), "at",
+        "shard", "slot", "turn", "row_no", F.col("key").alias(key), "start", length.alias("length"), "at",
     ).where("length > 0")
-    return taken, placed.select("row_no", F.col("key").alias(key), "size", "source_size", "target")
+    return taken, placed.select("row_no", F.col("key").alias(key), "size", "source_size", "target", *(carry or {}))
 
 
 def repeating_weights(names: list, pattern: tuple[float, ...] = (3.0, 1.0, 2.0)) -> list[float]:
     return [pattern[i % len(pattern)] for i in range(len(names))]
+
+
+def _cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
+    """The words of each range (first word, number of words), neighbours joined, with what is between them in the text."""
+    out = []
+    for text, found in zip(texts, ranges, strict=True):
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        runs: list[list[int]] = []
+        for r in found:
+            if runs and runs[-1][1] == r["start"]:
+                runs[-1][1] += r["length"]
+            else:
+                runs.append([r["start"], r["start"] + r["length"]])
+        if len(runs) == 1 and runs[0] == [0, len(spans)]:
+            out.append(text)
+        else:
+            out.append(" ".join(text[spans[a][0]: spans[b - 1][1]] for a, b in runs))
+    return pd.Series(out)
+
+
+def mixed_texts(docs: DataFrame, key: str, source: str, text: str, weight_of: Callable[[list], list[float]], **options) -> DataFrame:
+    """The mix as documents: a row for each document and pass that takes words of it, with those words in ``text`` and the
+    document's other columns."""
+    carry = {"_source": F.col(source), "_hash": F.xxhash64(text)}
+    taken, rows = mix(docs, key, source, word_count(F.col(text)), weight_of, carry=carry, **options)
+    ranges = taken.groupBy("row_no", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_ranges"))
+    ranges = ranges.join(rows.select("row_no", F.col(key).alias("_key"), *carry), "row_no").drop("row_no")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([key, source, "_text_hash"])
+    joined = hashed.join(ranges, hashed[key].eqNullSafe(ranges["_key"]) & (F.col("_text_hash") == F.col("_hash"))
+                         & hashed[source].eqNullSafe(ranges["_source"]))
+    cut = F.pandas_udf(_cut, "string")
+    return joined.withColumn(text, cut(F.col(text), F.col("_ranges"))).select(*docs.columns)

@@ -386,8 +386,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return stars.union(materialize(more.distinct()))
 
 
-def similar_components(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``key``, n_shingles and component_id of every row."""
+def classified(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """key, text_hash, n and component_id of every row."""
     sets = materialize(shingled(docs, key, text, words, percent).withColumn("row_no", F.monotonically_increasing_id()))
     near = survivors(docs, sets, text, words, percent)
     labels = components(links(near, percent)).select(F.col("node").alias("id"), "label")
@@ -397,5 +397,29 @@ def similar_components(docs: DataFrame, key: str, text: str, words: int = WORDS,
     joined = smallest.join(classes, ["s1", "s2", "n"], "left")
     of_label = joined.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("lowest"))
     named = joined.join(of_label, "label", "left").select("s1", "s2", "n", F.coalesce("lowest", "least").alias("component_id"))
-    rows = sets.select("key", "n", "s1", "s2").alias("l").join(named.alias("r"), ["s1", "s2", "n"], "left")
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    rows = sets.select("key", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    return rows.select("key", "text_hash", "n", F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similar_components(docs: DataFrame, key: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key``, n_shingles and component_id of every row."""
+    return classified(docs, key, text, words, percent).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_components(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """``docs`` without near copies: of each component the row with the smallest key stays.
+
+    Texts without words stay, repeated rows of one key and text are one row. Rows without a key go if their component has a key; in a
+    component without any key every different text stays. Only what goes is joined to the texts.
+    """
+    rows = classified(docs, key, text, words, percent).where("n > 0")
+    gone = materialize(rows.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key", "text_hash").distinct())
+    again = materialize(rows.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))
+    hashed = docs.withColumn("_hash", F.xxhash64(text))
+    left = hashed.join(gone, hashed[key].eqNullSafe(gone["key"]) & (hashed["_hash"] == gone["text_hash"]), "left_anti")
+    once = left.join(again, left[key].eqNullSafe(again["key"]), "left_anti")
+    several = left.join(again, left[key].eqNullSafe(again["key"]), "left_semi")
+    # rows of one key that stays: one of them, the null key one of each text
+    chosen = several.withColumn("_own", F.when(F.col(key).isNull(), F.col("_hash"))).dropDuplicates([key, "_own"]).drop("_own")
+    return once.unionByName(chosen).select(*docs.columns)
