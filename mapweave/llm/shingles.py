@@ -121,10 +121,9 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
             np.not_equal(found[1:], found[:-1], out=keep[1:])
             out.append(found[keep])
         elif b > a:
-            whole = np.uint64(0)
-            for k in range(a, b):
-                whole = whole + words[k] * factors[k - a]
-            out.append(mix(np.array([whole + np.uint64(0x5851F42D4C957F2D) * np.uint64(b - a)], dtype=np.uint64)))
+            weights = np.array(factors[: b - a], dtype=np.uint64)
+            length = np.array([b - a], dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)
+            out.append(mix((words[a:b] * weights).sum(dtype=np.uint64, keepdims=True) + length))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
