@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import materialize
+from mapweave.llm.common import let, materialize
 
 WORDS, BINS, BITS = 5, 256, 4
 FIRST_ATTEMPTS, ATTEMPTS = 8, 64
@@ -26,35 +26,28 @@ def _empty() -> Column:
     return F.lit(-1).cast("long")
 
 
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def shingle_hashes(text: Column, n: int = WORDS) -> Column:
     """Hashes of all n-word shingles; none without words."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    trimmed = F.btrim(F.lower(text), blank)
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
     def of(w: Column) -> Column:
         several = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
         return F.when(F.size(w) >= n, several).when(F.size(w) > 0, F.array(F.xxhash64(w, F.size(w)))).otherwise(
             F.array().cast("array<bigint>"))
 
-    return _let(words, of)
-
-
-def _bin(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 56)
+    return let(words, of)
 
 
 def bins(hashes: Column) -> Column:
     """The least value of each bin in bin order, -1 for empty bins. A sentinel above all values stands in every bin."""
     # signed order keeps the hashes of a bin together: bins 128 to 255, then 0 to 127
     ends = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), 56).bitwiseOR(F.lit(_VALUE)))
-    return _let(
+    return let(
         F.array_sort(F.concat(hashes, ends)),
         lambda s: F.transform(
-            F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, i - 1)))),
+            F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h.bitwiseXOR(F.get(s, i - 1)), 56) != 0)),
             lambda h: F.when(h.bitwiseAND(F.lit(_VALUE)) == F.lit(_VALUE), _empty()).otherwise(h.bitwiseAND(F.lit(_VALUE))),
         ),
     )
@@ -78,21 +71,21 @@ def densified(values: Column) -> Column:
             return F.transform(state, lambda v, i: F.when(v == _empty(), F.array_min(F.transform(
                 full, lambda x: F.struct(F.xxhash64(i, x["j"], F.lit(7)).alias("h"), x["v"].alias("v"))))["v"]).otherwise(v))
 
-        return _let(full, ranked)
+        return let(full, ranked)
 
     def fill(base: Column) -> Column:
-        return _let(tried(base, base, 1, FIRST_ATTEMPTS), lambda a: F.when(
+        return let(tried(base, base, 1, FIRST_ATTEMPTS), lambda a: F.when(
             F.array_contains(a, _empty()),
-            _let(tried(a, base, FIRST_ATTEMPTS + 1, ATTEMPTS), lambda b: F.when(F.array_contains(b, _empty()), rest(b, base)).otherwise(b)),
+            let(tried(a, base, FIRST_ATTEMPTS + 1, ATTEMPTS), lambda b: F.when(F.array_contains(b, _empty()), rest(b, base)).otherwise(b)),
         ).otherwise(a))
 
-    return _let(values, fill)
+    return let(values, fill)
 
 
 def fingerprint(text: Column, n: int = WORDS) -> Column:
     """256 hexadecimal digits, or nothing for a text without words."""
     digits = F.array(*[F.lit(d) for d in "0123456789abcdef"])
-    return _let(shingle_hashes(F.coalesce(text, F.lit("")), n), lambda h: F.when(
+    return let(shingle_hashes(F.coalesce(text, F.lit("")), n), lambda h: F.when(
         F.size(h) > 0,
         F.array_join(F.transform(densified(bins(h)), lambda v: F.get(digits, v.bitwiseAND(F.lit(15)).cast("int"))), ""),
     ).otherwise(F.lit("")))
@@ -106,53 +99,55 @@ def likeness(a: Column, b: Column) -> Column:
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), (same / F.lit(float(BINS)) - chance) / (1 - chance))))
 
 
-def next_keys(df: DataFrame, key: str) -> DataFrame:
-    """Each distinct non-null key and the next larger one (``next``; after the last the first).
+def ranges(df: DataFrame, key: str, n: int) -> list:
+    """Least keys of about ``n`` ranges of like numbers of rows, in order; ``n`` is bounded by the number of shuffle partitions."""
+    ranged = materialize(df.where(F.col(key).isNotNull()).select(key).repartitionByRange(n, key).withColumn("range", F.spark_partition_id()))
+    return sorted(r["least"] for r in ranged.groupBy("range").agg(F.min(key).alias("least")).collect())
+
 
-    Keys are cut into ranges, looked at range by range; one row per range carries on to the next.
+def range_of(key: Column, bounds: list) -> Column:
+    """Number of the last bound that is not above the key (null: 0), by binary search."""
+    table = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, (len(bounds) - 1).bit_length())))])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step) <= key, at + step).otherwise(at)), F.lit(0))
+
+
+def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text (null: empty) and next (text of the row after, by key, then text, nulls first; after the last the first).
+
+    Rows are dealt to ranges of keys once; a range's last row gets the first text of the next range from a table of
+    one row per range.
     """
-    ranged = materialize(
-        df.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(key).withColumn("range", F.spark_partition_id())
-    )
-    inside = Window.partitionBy("range").orderBy(key)
-    firsts = ranged.groupBy("range").agg(F.min(key).alias("first"))  # one row per partition
-    along = Window.orderBy("range")
-    least = F.min("first").over(Window.partitionBy())
-    following = firsts.select("range", F.coalesce(F.lead("first").over(along), least).alias("following"))
-    return ranged.withColumn("_next", F.lead(key).over(inside)).join(F.broadcast(following), "range").select(
-        key, F.coalesce("_next", "following").alias("next"))
+    base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = ranges(base, "key", 4 * n) or [0]
+    ranged = base.withColumn("range", range_of(F.col("key"), bounds))
+    along = Window.partitionBy("range").orderBy("key", "text")
+    within = ranged.withColumn("next", F.lead("text").over(along))
+    leasts = base.where(F.col("key").isNull() | F.col("key").isin(bounds)).withColumn("range", range_of(F.col("key"), bounds))
+    firsts = materialize(leasts.groupBy("range").agg(F.min(F.struct("key", "text")).alias("first")))
+    # the range before; before the first comes the last
+    firsts = firsts.select(F.when(F.col("range") == 0, len(bounds) - 1).otherwise(F.col("range") - 1).alias("range"), F.col("first.text").alias("after"))
+    return within.join(firsts, "range", "left").select("key", "text", F.coalesce("next", "after").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Every row's fingerprint and that of its edited text, whose last quarter is the beginning of the next document.
 
-    Returns ``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null key comes after
-    all others and is followed by the first document; of several rows with one key the smallest beginning (and
-    fingerprint) stands for the next document. A lone document is its own next one.
+    Returns ``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Documents come by key (nulls
+    first), rows of one key by their text; after the last comes the first. A lone document is its own next one.
     """
-    base = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("key")
-    order = materialize(next_keys(docs.select(F.col(key).alias("key")), "key"))
-    quarter = F.floor(F.char_length("text") / 4).cast("int")
-    # the quarter of every row, without texts, goes to its next document, and that one's beginning comes back
-    least = F.lit(order.agg(F.min("key")).first()[0])
-    wanted = docs.select(F.col(key).alias("key"), F.floor(F.char_length(F.coalesce(F.col(text), F.lit(""))) / 4).cast("int").alias("k"))
-    wanted = wanted.where("k > 0").distinct().join(order, "key", "left").select(
-        F.coalesce("next", least).alias("next"), F.col("key").alias("owner"), "k")
-    heads = base.join(wanted, base["key"] == wanted["next"]).select("owner", "k", F.expr("substring(text, 1, k)").alias("head"))
-    heads = heads.repartition("owner").groupBy("owner", "k").agg(F.min("head").alias("head"))
-    own = base.alias("l").join(heads.alias("h"), F.expr(
-        "l.key <=> h.owner AND cast(floor(char_length(l.text) / 4) AS int) - h.k = 0"), "left")
-    edited = own.select("key", "text", F.concat(
-        F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 4) AS int))"), F.coalesce("head", F.lit(""))).alias("edited"))
+    quarter = "cast(floor(char_length(text) / 4) AS int)"
+    edited = with_next(docs, key, text).withColumn("edited", F.expr(
+        f"concat(substring(text, 1, char_length(text) - {quarter}), substring(next, 1, {quarter}))"))
     prints = materialize(edited.select(
         "key", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint")))
-    following = prints.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint"))
-    following = following.withColumnRenamed("key", "next")
-    joined = prints.join(order, "key", "left").withColumn("next", F.coalesce("next", least)).join(following, "next", "left")
-    then = F.coalesce("next_fingerprint", "fingerprint")
+        fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        F.xxhash64("text").alias("own_hash"), F.xxhash64("next").alias("next_hash")))
+    by_text = prints.groupBy("own_hash").agg(F.first("fingerprint").alias("next_fingerprint"))  # equal texts, equal fingerprints
+    joined = prints.join(by_text.withColumnRenamed("own_hash", "next_hash"), "next_hash")
     return joined.select(
         F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), then).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
