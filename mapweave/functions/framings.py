@@ -19,7 +19,7 @@ FRAMINGS = {
             "{issue} business", "{issue} market", "{issue} economy", "{issue} investment", "{issue} corporate",
         ],
         "media": ["{issue} news", "{issue} coverage", "{issue} media", "{issue} report"],
-        "local": ["{issue} in {location}", "{location} {issue}", "{location} {issue}", "{issue} {location} impact"],
+        "local": ["{issue} in {location}", "{location} {issue}", "{issue} {location} impact"],
         "temporal": ["{issue} {year}", "{issue} history", "{issue} timeline", "future of {issue}"],
     },
     "da": {

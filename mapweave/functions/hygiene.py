@@ -110,7 +110,13 @@ def redact_map(values) -> Column:
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """Sensitive columns and nested fields replaced, through structs, arrays and maps."""
+    """Sensitive columns and nested fields replaced, through structs, arrays and maps of any depth.
+
+    A sensitive map entry becomes the mark where values are texts, else null, as a map has one value type.
+    """
+
+    def nested(kind: T.DataType) -> bool:
+        return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
     def clean(value: Column, kind: T.DataType, name: str) -> Column:
         if any(part in name.lower() for part in SENSITIVE_NAMES):
@@ -118,10 +124,14 @@ def redact(df: DataFrame) -> DataFrame:
         if isinstance(kind, T.StructType):
             fields = [clean(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields]
             return F.when(value.isNotNull(), F.struct(*fields))
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        if isinstance(kind, T.ArrayType) and nested(kind.elementType):
             return F.transform(value, lambda x: clean(x, kind.elementType, ""))
-        if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            return redact_map(value)
+        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            if isinstance(kind.valueType, T.StringType):
+                return redact_map(value)
+            return F.transform_values(value, lambda k, v: F.when(~is_sensitive(k), clean(v, kind.valueType, "")))
+        if isinstance(kind, T.MapType) and nested(kind.valueType):
+            return F.transform_values(value, lambda k, v: clean(v, kind.valueType, ""))
         return value
 
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])

@@ -9,7 +9,6 @@ from mapweave.functions import urls, words
 from mapweave.functions.text import let
 
 #: Longest stored text in UTF-8 bytes, and the notes of cut or binary texts.
-MAX_TEXT_BYTES = 900_000
 TRUNCATED_NOTE = "\n\n[... Content truncated due to size limits ...]"
 BINARY_NOTE = "[Binary content - could not extract text]"
 
@@ -31,11 +30,22 @@ def _filled(text: Column) -> Column:
     return F.nullif(F.trim(unescape(text)), F.lit(""))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a start tag: in double quotes, in single quotes or bare; empty without it."""
+    part = lambda group: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", group)
+    return F.concat(part(1), part(2), part(3))
+
+
+def _without_code(html: Column) -> Column:
+    """Without comments, scripts and styles: nothing in them is markup."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
+
+
 def meta_content(html, attribute: str, name: str) -> Column:
     """Content of the first meta tag with the attribute value, in either attribute order."""
     html = _col(html)
-    tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
-    return _filled(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'[^']*')""", 1))
+    tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\s{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
+    return _filled(_attribute(tag, "content"))
 
 
 def title(html) -> Column:
@@ -45,7 +55,7 @@ def title(html) -> Column:
         _filled(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
         meta_content(html, "property", "og:title"),
         meta_content(html, "name", "twitter:title"),
-        _filled(F.regexp_extract(html, r"(?is)^.*?<h1[^>]*>([^<]*)</h1>", 1)),
+        _filled(F.regexp_extract(F.regexp_extract(html, r"(?is)<h1(?:\s[^>]*)?>.*?</h1>", 0), r"(?is)^<h1[^>]*>([^<]*)</h1>$", 1)),
     )
 
 
@@ -95,10 +105,8 @@ def resolve(link: Column, base: Column) -> Column:
 
 def links(html, base) -> Column:
     """Distinct absolute http(s) links of a page in first-seen order."""
-    tags = F.regexp_extract_all(_col(html), F.lit(r"(?is)<a\s[^>]*>"), 0)
-    hrefs = F.transform(
-        tags, lambda tag: F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'>\s]*)""", 1)
-    )
+    tags = F.regexp_extract_all(_without_code(_col(html)), F.lit(r"""(?is)<a\s(?:"[^"]*"|'[^']*'|[^>"'])*>"""), 0)
+    hrefs = F.transform(tags, lambda tag: _attribute(tag, "href"))
     low = ("#", "javascript:", "mailto:", "tel:")
 
     def usable(href):
@@ -124,8 +132,8 @@ def structured_data(html) -> Column:
         entries = F.transform(
             metas,
             lambda tag: F.struct(
-                F.regexp_extract(tag, rf"""(?is)\b{attribute}\s*=\s*["']({prefix}[^"']*)["']""", 1).alias("key"),
-                F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1).alias("value"),
+                F.regexp_extract(tag, rf"""(?is)\s{attribute}\s*=\s*["']({prefix}[^"']*)["']""", 1).alias("key"),
+                _attribute(tag, "content").alias("value"),
             ),
         )
         kept = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
@@ -162,15 +170,19 @@ def is_rate_limited(html, status) -> Column:
     return F.coalesce(_col(status) == 429, F.lit(False)) | named
 
 
-def looks_binary(text) -> Column:
-    """More than 100 control characters among the first 1000."""
-    sample = F.substring(F.replace(_col(text), F.lit("\x00"), F.lit("")), 1, 1000)
-    return F.regexp_count(sample, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F]")) > 100
+def looks_binary(text, sample: int | None = 1000) -> Column:
+    """More than 100 control characters among the first ``sample`` (the rule's own number; None: the whole text)."""
+    plain = F.replace(_col(text), F.lit("\x00"), F.lit(""))
+    if sample is not None:
+        plain = F.substring(plain, 1, sample)
+    return F.regexp_count(plain, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F]")) > 100
 
 
-def clean_text(text, max_bytes: int = MAX_TEXT_BYTES) -> Column:
-    """Without NUL characters; a note in place of binary content; at most ``max_bytes`` of UTF-8 and a note."""
+def clean_text(text, max_bytes: int | None = None) -> Column:
+    """Without NUL characters; a note in place of binary content; if ``max_bytes`` is given, at most so much UTF-8 and a note."""
     plain = F.replace(_col(text), F.lit("\x00"), F.lit(""))
+    if max_bytes is None:
+        return F.when(looks_binary(text), F.lit(BINARY_NOTE)).otherwise(plain)
     head = F.substring(F.encode(plain, "UTF-8"), 1, max_bytes)
     whole = F.make_valid_utf8(head.cast("string"))
     # A character cut in two becomes one replacement mark at the end, which is dropped.

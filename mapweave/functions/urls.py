@@ -111,6 +111,13 @@ def sanitize_node_id(raw) -> Column:
     return F.substring(F.translate(_col(raw), " /:?&=", "______"), 1, 200)
 
 
+def node_identity(raw) -> Column:
+    """``sanitize_node_id`` of a text that it can hold; of a longer one the beginning and a hash of the whole."""
+    whole = _col(raw)
+    marked = F.concat(F.substring(sanitize_node_id(whole), 1, 183), F.lit("_"), F.lpad(F.lower(F.hex(F.xxhash64(whole))), 16, "0"))
+    return F.when(F.length(whole) > 200, marked).otherwise(sanitize_node_id(whole))
+
+
 def url_terms(url) -> Column:
     """Words of the path: split on '/', '-', '_', three characters or more, lower case."""
     parts = F.split(F.regexp_replace(path(url), "^/+|/+$", ""), "[/_-]")

@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from mapweave.functions.skew import top_n
 from mapweave.functions.urls import sphere
 
-MAX_SESSIONS = 60
 REPORTS = ("full", "urls", "domains", "rankings", "spheres", "discourse")
 
 
@@ -23,8 +22,6 @@ def _check(session_ids: Sequence[int]) -> list[int]:
     ids = list(dict.fromkeys(session_ids))
     if len(ids) < 2:
         raise ValueError("at least two sessions are needed")
-    if len(ids) > MAX_SESSIONS:
-        raise ValueError(f"at most {MAX_SESSIONS} sessions can be compared at once")
     return ids
 
 
@@ -32,90 +29,95 @@ def chosen(results: DataFrame, session_ids: Sequence[int]) -> DataFrame:
     return results.filter(F.col("session_id").isin(*session_ids))
 
 
-def _bit(session_ids: Sequence[int]) -> Column:
-    """The session as one bit of a number."""
-    out = None
-    for i, sid in enumerate(session_ids):
-        branch = F.col("session_id") == sid
-        out = F.when(branch, 1 << i) if out is None else out.when(branch, 1 << i)
-    return out.cast("bigint")
+def _placed(results: DataFrame, session_ids: Sequence[int]) -> DataFrame:
+    """Results of the sessions with ``place``, the session's position in the list."""
+    known = F.array(*[F.lit(s).cast("bigint") for s in session_ids])
+    return chosen(results, session_ids).withColumn("place", (F.array_position(known, F.col("session_id")) - 1).cast("int"))
 
 
-def membership(results: DataFrame, session_ids: Sequence[int], item: str) -> DataFrame:
-    """(mask, n): distinct items per set of sessions they occur in.
+def signatures(results: DataFrame, session_ids: Sequence[int], item: str) -> DataFrame:
+    """(places, n): distinct items per set of sessions they occur in.
 
-    Which sessions an item occurs in is OR-ed into one number map-side, so an item of any frequency is one
-    row per task and no list is built. At most 2^sessions rows come out.
+    An item of any frequency is one row per task, and its list is at most as long as the list of sessions.
     """
-    per_item = chosen(results, session_ids).groupBy(item).agg(F.bit_or(_bit(session_ids)).alias("mask"))
-    return per_item.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _sum_if(test: Column) -> Column:
-    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("double")
+    per_item = _placed(results, session_ids).groupBy(item).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    return per_item.groupBy("places").agg(F.count(F.lit(1)).alias("n"))
 
 
 def set_overlap(results: DataFrame, session_ids: Sequence[int], item: str) -> DataFrame:
-    """Long table (metric, label, value): sizes, exclusive parts, exclusive pairs, all, Jaccard per pair."""
+    """Long table (metric, label, value): sizes, exclusive parts, exclusive pairs, all, Jaccard per pair.
+
+    Pairs are made from the counted signatures, not from items, so any number of sessions can be compared.
+    """
     ids = _check(session_ids)
-    mask, cells = F.col("mask"), []
-    for i, a in enumerate(ids):
-        cells.append(("size", str(a), _sum_if(mask.bitwiseAND(1 << i) != 0)))
-        cells.append(("only", str(a), _sum_if(mask == 1 << i)))
-    for (i, a), (j, b) in combinations(enumerate(ids), 2):
-        both = (1 << i) | (1 << j)
-        cells.append(("and", f"{a}_{b}", _sum_if(mask == both)))
-        shared = _sum_if(mask.bitwiseAND(both) == both)
-        either = _sum_if(mask.bitwiseAND(both) != 0)
-        cells.append(("jaccard", f"{a}_{b}", F.round(F.coalesce(F.try_divide(shared, either), F.lit(0.0)), 3)))
-        cells.append(("intersection", f"{a}_{b}", shared))
-        cells.append(("union", f"{a}_{b}", either))
-    if len(ids) > 2:
-        cells.append(("all", "", _sum_if(mask == (1 << len(ids)) - 1)))
-    cells.append(("total", "", _sum_if(F.lit(True))))
-    entries = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.lit(k).alias("label"), v.alias("value")) for m, k, v in cells]
+    spark = results.sparkSession
+    cells = signatures(results, ids, item)
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
+    one = cells.select(F.explode("places").alias("place"), "n", (F.size("places") == 1).alias("alone")).groupBy("place").agg(
+        F.sum("n").alias("size"), F.sum(F.when(F.col("alone"), F.col("n"))).alias("only"))
+    names = spark.createDataFrame([(i, str(s)) for i, s in enumerate(ids)], "place int, label string")
+    one = names.join(one, "place", "left").select("place", "label", zero("size").alias("size"), zero("only").alias("only"))
+    in_pairs = F.flatten(F.transform("places", lambda x: F.transform(
+        F.filter("places", lambda y: y > x), lambda y: F.struct(x.alias("i"), y.alias("j")))))
+    two = cells.select(F.explode(in_pairs).alias("p"), "n", (F.size("places") == 2).alias("alone")).groupBy("p.i", "p.j").agg(
+        F.sum("n").alias("both"), F.sum(F.when(F.col("alone"), F.col("n"))).alias("and"))
+    pairs = spark.createDataFrame([(i, j, f"{a}_{b}") for (i, a), (j, b) in combinations(enumerate(ids), 2)], "i int, j int, label string")
+    sizes = one.select("place", "size")
+    pairs = (
+        pairs.join(two, ["i", "j"], "left")
+        .join(sizes.toDF("i", "size_i"), "i").join(sizes.toDF("j", "size_j"), "j")
+        .select("label", zero("and").alias("and"), zero("both").alias("intersection"),
+                (F.col("size_i") + F.col("size_j") - zero("both")).alias("union"))
+        .withColumn("jaccard", F.round(F.coalesce(F.try_divide("intersection", "union"), F.lit(0.0)), 3))
     )
-    return membership(results, ids, item).agg(entries.alias("e")).select(F.inline("e"))
+
+    def long(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+        cells_ = F.array(*[F.struct(F.lit(m).alias("metric"), "label", F.col(m).alias("value")) for m in metrics])
+        return df.select(F.inline(cells_))
+
+    whole = cells.agg(
+        F.sum(F.when(F.size("places") == len(ids), F.col("n"))).alias("all"), F.sum("n").alias("total")
+    ).select(F.lit("").alias("label"), zero("all").alias("all"), zero("total").alias("total"))
+    return long(one, ["size", "only"]).unionByName(long(pairs, ["and", "jaccard", "intersection", "union"])).unionByName(
+        long(whole, ["all", "total"] if len(ids) > 2 else ["total"]))
 
 
 def unique_results(results: DataFrame, session_ids: Sequence[int], session_id: int) -> DataFrame:
     """URLs found by one session only, with the last result of each."""
     ids = _check(session_ids)
-    mine = 1 << ids.index(session_id)
     last = F.max_by(F.struct("title", "domain", "rank"), F.col("result_id"))
     return (
-        chosen(results, ids)
+        _placed(results, ids)
         .groupBy("url")
-        .agg(F.bit_or(_bit(ids)).alias("mask"), last.alias("r"))
-        .filter(F.col("mask") == mine)
+        .agg(F.min("place").alias("low"), F.max("place").alias("high"), last.alias("r"))
+        .filter((F.col("low") == F.col("high")) & (F.col("low") == ids.index(session_id)))
         .select("url", "r.*")
     )
 
 
 def common_ranks(results: DataFrame, session_ids: Sequence[int]) -> DataFrame:
-    """One row per URL that every session found: r_<session> = rank of its last result there."""
+    """(url, ranks): URLs that every session found, with the rank of the last result in each, in the order of the list."""
     ids = _check(session_ids)
-    last = [
-        F.max_by(F.when(F.col("session_id") == s, F.col("rank")), F.when(F.col("session_id") == s, F.col("result_id")))
-        .alias(f"r_{s}")
-        for s in ids
-    ]
-    wide = chosen(results, ids).groupBy("url").agg(F.bit_or(_bit(ids)).alias("mask"), *last)
-    return wide.filter(F.col("mask") == (1 << len(ids)) - 1).drop("mask")
+    last = _placed(results, ids).groupBy("url", "place").agg(F.max_by("rank", "result_id").alias("rank"))
+    return (
+        last.groupBy("url")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "rank"))).alias("found"))
+        .filter(F.size("found") == len(ids))
+        .select("url", F.transform("found", lambda x: x["rank"]).alias("ranks"))
+    )
 
 
 def rank_differences(results: DataFrame, session_ids: Sequence[int], n: int = 20) -> DataFrame:
     """URLs of all sessions whose rank differs most: (url, ranks, difference)."""
     ids = _check(session_ids)
-    columns = [F.col(f"r_{s}") for s in ids]
     return (
         common_ranks(results, ids)
         .select(
             "url",
-            F.concat_ws(",", *[c.cast("string") for c in columns]).alias("ranks"),
-            (F.greatest(*columns) - F.least(*columns)).alias("difference"),
+            F.array_join(F.transform("ranks", lambda r: r.cast("string")), ",").alias("listed"),
+            (F.array_max("ranks") - F.array_min("ranks")).alias("difference"),
         )
+        .withColumnRenamed("listed", "ranks")
         .orderBy(F.desc("difference"), "url")
         .limit(n)
     )
@@ -171,27 +173,20 @@ def rank_correlation(results: DataFrame, session_ids: Sequence[int]) -> DataFram
     as one group.
     """
     ids = _check(session_ids)
-    wide = common_ranks(results, ids)
-    long = wide.select(
-        "url",
-        F.explode(F.array(*[F.struct(F.lit(s).alias("sid"), F.col(f"r_{s}").alias("rank")) for s in ids])).alias("x"),
-    ).select("url", "x.sid", "x.rank")
-    histogram = long.groupBy("sid", "rank").agg(F.count(F.lit(1)).alias("ties"))
-    lower = W.partitionBy("sid").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    long = common_ranks(results, ids).select("url", F.posexplode("ranks").alias("place", "rank"))
+    histogram = long.groupBy("place", "rank").agg(F.count(F.lit(1)).alias("ties"))
+    lower = W.partitionBy("place").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
     average = histogram.select(
-        "sid", "rank", (F.coalesce(F.sum("ties").over(lower), F.lit(0)) + (F.col("ties") + 1) / 2).alias("avg_rank")
+        "place", "rank", (F.coalesce(F.sum("ties").over(lower), F.lit(0)) + (F.col("ties") + 1) / 2).alias("avg_rank")
     )
-    ranked = long.join(average, ["sid", "rank"]).groupBy("url").agg(
-        *[F.max(F.when(F.col("sid") == s, F.col("avg_rank"))).alias(f"a_{s}") for s in ids]
-    )
-    pairs = [
-        F.struct(
-            F.lit(a).cast("bigint").alias("session_a"), F.lit(b).cast("bigint").alias("session_b"),
-            F.count(F.lit(1)).alias("n"), F.corr(f"a_{a}", f"a_{b}").alias("rho"),
-        )
-        for a, b in combinations(ids, 2)
-    ]
-    out = ranked.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    ranked = long.join(average, ["place", "rank"]).groupBy("url").agg(F.sort_array(F.collect_list(F.struct("place", "avg_rank"))).alias("found"))
+    in_pairs = F.flatten(F.transform("found", lambda x: F.transform(
+        F.filter("found", lambda y: y["place"] > x["place"]),
+        lambda y: F.struct(x["place"].alias("i"), y["place"].alias("j"), x["avg_rank"].alias("x"), y["avg_rank"].alias("y")))))
+    measured = ranked.select(F.inline(in_pairs)).groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("rho"))
+    pairs = results.sparkSession.createDataFrame(
+        [(i, j, a, b) for (i, a), (j, b) in combinations(enumerate(ids), 2)], "i int, j int, session_a bigint, session_b bigint")
+    out = pairs.join(measured, ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     p_values = F.pandas_udf(_p_values, T.DoubleType())  # one row per pair of sessions
     return out.select(
         "session_a", "session_b", "n", F.round("rho", 3).alias("rho"), F.round(p_values("rho", "n"), 4).alias("p_value")
@@ -213,11 +208,11 @@ def domain_profile(results: DataFrame, session_ids: Sequence[int]) -> DataFrame:
 def domain_sets(results: DataFrame, session_ids: Sequence[int]) -> DataFrame:
     """(domain, n_results, sessions, kind): kind is common (all sessions), unique (one) or shared."""
     ids = _check(session_ids)
-    n = F.bit_count("mask")
+    n = F.size("places")
     return (
-        chosen(results, ids)
+        _placed(results, ids)
         .groupBy("domain")
-        .agg(F.bit_or(_bit(ids)).alias("mask"), F.count(F.lit(1)).alias("n_results"))
+        .agg(F.collect_set("place").alias("places"), F.count(F.lit(1)).alias("n_results"))
         .select(
             "domain", "n_results", n.cast("bigint").alias("n_sessions"),
             F.when(n == len(ids), "common").when(n == 1, "unique").otherwise("shared").alias("kind"),
@@ -301,6 +296,8 @@ def compare(
         report["rankings"] = rank_volatility(results, ids)
     if kind in ("full", "spheres"):
         report["spheres"] = session_spheres(results, ids)
+    if kind == "discourse" and content_urls is None:
+        raise ValueError("the discourse report needs content_urls")
     if kind in ("full", "discourse") and content_urls is not None:
         pairs = session_contents(results, content_urls, ids)
         report["discourse"] = discourse(pairs, keywords, mentions, len(ids))

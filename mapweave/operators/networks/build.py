@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mapweave.functions.skew import top_n
-from mapweave.functions.urls import bare_domain, sanitize_node_id
+from mapweave.functions.urls import bare_domain, node_identity
 from mapweave.operators import tfidf
 from mapweave.operators.networks.graph import Graph
 
@@ -43,7 +43,7 @@ def query_website_network(
         chosen = chosen.filter(F.col("session_id").isin(*session_ids))
     label = F.col("domain") if by_domain else F.col("url")
     hits = results.join(chosen.select("query_id"), "query_id").withColumn(
-        "node_id", sanitize_node_id(F.concat(F.lit("website_"), label))
+        "node_id", node_identity(F.concat(F.lit("website_"), label))
     )
     pairs = hits.groupBy("query_id", "node_id").agg(
         F.max("rank").alias("rank"),
@@ -89,11 +89,9 @@ def completed_contents(
 
 
 def _website_nodes(sites: DataFrame) -> DataFrame:
-    return sites.select(
-        sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("node_id"),
-        F.lit("website").alias("node_type"),
-        F.col("site").alias("label"),
-        F.lit(None).cast("string").alias("category"),
+    named = sites.select(node_identity(F.concat(F.lit("website_"), "site")).alias("node_id"), "site")
+    return named.groupBy("node_id").agg(F.min("site").alias("label")).select(
+        "node_id", F.lit("website").alias("node_type"), "label", F.lit(None).cast("string").alias("category")
     )
 
 
@@ -126,8 +124,8 @@ def website_keyword_network(
     edges = (
         best.filter(F.col("weight") >= min_score)
         .groupBy(
-            sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("src"),
-            sanitize_node_id(F.concat(F.lit("keyword_"), "lemma")).alias("dst"),
+            node_identity(F.concat(F.lit("website_"), "site")).alias("src"),
+            node_identity(F.concat(F.lit("keyword_"), "lemma")).alias("dst"),
         )
         .agg(
             F.min("weight").alias("weight"),
@@ -172,10 +170,16 @@ def website_entity_network(
         .withColumn("weight", F.col("confidence") * F.col("frequency"))
     )
     best = top_n(grouped, ["site"], [F.desc(F.round("weight", 9)), F.col("text"), F.col("label")], top)
-    edges = best.filter(F.col("confidence") >= min_confidence).select(
-        sanitize_node_id(F.concat(F.lit("website_"), "site")).alias("src"),
-        sanitize_node_id(F.concat(F.lit("entity_"), "label", F.lit("_"), "text")).alias("dst"),
-        "weight", "frequency", "confidence", "text", "label",
+    # two entities with one id give one edge: the last in the order above
+    order = F.struct(-F.round("weight", 9), "text", "label")
+    edges = (
+        best.filter(F.col("confidence") >= min_confidence)
+        .groupBy(
+            node_identity(F.concat(F.lit("website_"), "site")).alias("src"),
+            node_identity(F.concat(F.lit("entity_"), "label", F.lit("_"), "text")).alias("dst"),
+        )
+        .agg(F.max_by(F.struct("weight", "frequency", "confidence", "text", "label"), order).alias("e"))
+        .select("src", "dst", "e.*")
     )
     found = edges.groupBy("dst").agg(F.min("text").alias("text"), F.min("label").alias("category")).select(
         F.col("dst").alias("node_id"), F.lit("entity").alias("node_type"), F.col("text").alias("label"), "category"

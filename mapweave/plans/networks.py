@@ -602,7 +602,7 @@ def site_graph(t) -> Graph:
         F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
     sites = t.search_results.select("domain").distinct()
     nodes = materialize(sites.select(
-        build.sanitize_node_id(F.concat(F.lit("website_"), "domain")).alias("node_id"),
+        build.node_identity(F.concat(F.lit("website_"), "domain")).alias("node_id"),
         F.lit("website").alias("node_type"), F.col("domain").alias("label")))
     return Graph(nodes, edges)
 

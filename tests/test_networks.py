@@ -274,3 +274,18 @@ def test_rounds_are_written_to_the_configured_folder(spark):
     second = materialize(first.filter("id > 0"), replaces=first)
     assert second.count() == 2
     assert not Path(first._mapweave_path).exists() and Path(second._mapweave_path).exists()
+
+
+def test_ids_of_nodes_and_edges_are_unique(spark):
+    contents = spark.createDataFrame([(1, "a b.org", "u1"), (2, "a/b.org", "u2"), (3, "x" * 300 + "1", "u3"), (4, "x" * 300 + "2", "u4")],
+                                     "content_id bigint, domain string, page_url string")
+    entities = spark.createDataFrame(
+        [(1, "New York", "GPE", 3, 1.0, "m"), (1, "New/York", "GPE", 1, 1.0, "m"), (2, "Oslo", "GPE", 1, 1.0, "m"), (3, "Oslo", "GPE", 1, 1.0, "m"),
+         (4, "Oslo", "GPE", 1, 1.0, "m")],
+        "content_id bigint, text string, label string, frequency bigint, confidence double, extraction_method string")
+    graph = build.website_entity_network(contents, entities, ["GPE"])
+    nodes = [r["node_id"] for r in graph.nodes.collect()]
+    edges = [(r["src"], r["dst"], r["weight"]) for r in graph.edges.collect()]
+    assert len(nodes) == len(set(nodes)) == 5
+    assert len({e[:2] for e in edges}) == len(edges) == 4
+    assert ("website_a_b.org", "entity_GPE_New_York", 1.0) in edges

@@ -45,6 +45,21 @@ def test_links(spark):
     ]
 
 
+def test_attributes_in_any_quotes(spark):
+    page = """<meta name='description' content='single "inner"'><meta data-content="no" content=bare name="twitter:title">"""
+    row = frame(spark, page).select(pg.meta_description("html").alias("d"), pg.title("html").alias("t")).first()
+    assert row["d"] == 'single "inner"' and row["t"] == "bare"
+    later = frame(spark, "<h1><b>first</b></h1><h1>second</h1>", "<h1>plain</h1>").select(pg.title("html").alias("t")).collect()
+    assert [r["t"] for r in later] == [None, "plain"]
+
+
+def test_links_of_markup_only(spark):
+    page = """<a data-href="/no" href="/a b">1</a><!-- <a href="/comment">x</a> --><script>var s = '<a href="/script">'</script>
+      <a title="x > y" href='/q'>2</a><a href=/bare>3</a><a data-href="/none">4</a>"""
+    got = frame(spark, page).select(pg.links("html", F.lit("https://example.com/")).alias("l")).first()["l"]
+    assert got == ["https://example.com/a b", "https://example.com/q", "https://example.com/bare"]
+
+
 def test_structured_data(spark):
     page = """<meta property="og:type" content="a"><meta property="og:type" content="b"><meta name="twitter:card" content="c">
       <script type="application/ld+json">{"x": 1}</script><script type="application/ld+json">{bad</script>"""

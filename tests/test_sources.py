@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave.functions.framings import FRAMINGS
 from mapweave.functions import hygiene as hy
 from mapweave.operators import formulation
 from mapweave.sources import bulk, bulk_write, payloads
@@ -67,6 +68,20 @@ def test_redaction_reaches_nested_fields(spark):
     assert row["m"] == {"Secret": hy.REDACTED, "b": "c"}
 
 
+def test_redaction_reaches_every_nested_type(spark):
+    df = spark.sql("""SELECT array(map('password', 'p', 'a', 'b')) AS am, map('x', named_struct('token', 't', 'n', 1)) AS ms,
+        map('x', map('secret', 's', 'y', 'z')) AS mm, map('password', named_struct('n', 1)) AS mp, map('k', array(map('api_key', 'q'))) AS mam,
+        map('n', 1, 'token', 2) AS mi, array(array(named_struct('secret', 's', 'v', 1))) AS aa""")
+    row = hy.redact(df).first()
+    assert row["am"] == [{"password": hy.REDACTED, "a": "b"}]
+    assert row["ms"]["x"]["token"] == hy.REDACTED and row["ms"]["x"]["n"] == 1
+    assert row["mm"] == {"x": {"secret": hy.REDACTED, "y": "z"}}
+    assert row["mp"] == {"password": None}
+    assert row["mam"] == {"k": [{"api_key": hy.REDACTED}]}
+    assert row["mi"] == {"n": 1, "token": None}
+    assert row["aa"][0][0]["secret"] == hy.REDACTED and row["aa"][0][0]["v"] == 1
+
+
 def test_templates(spark):
     issues = spark.createDataFrame([("climate", "da", None, "2020"), ("tax", "xx", "Paris", None)],
                                    "issue string, language string, location string, year string")
@@ -75,7 +90,10 @@ def test_templates(spark):
     for r in rows:
         by_issue.setdefault(r["issue"], []).append(r["query"])
     assert sorted(by_issue["climate"]) == ["climate 2020", "climate historie", "climate tidslinje", "fremtid for climate"]
-    assert len(by_issue["tax"]) == 4 + 3 and "tax in Paris" in by_issue["tax"]
+    assert len(by_issue["tax"]) == 3 + 3 and "tax in Paris" in by_issue["tax"]
+    sizes = {lang: {k: len(v) for k, v in kinds.items()} for lang, kinds in FRAMINGS.items()}
+    assert sizes["en"] == {"neutral": 3, "activist": 5, "skeptic": 5, "scientific": 5, "policy": 5, "industry": 5, "media": 4, "local": 3, "temporal": 4}
+    assert sizes["da"] == {"neutral": 3, "activist": 5, "skeptic": 4, "scientific": 4, "policy": 4, "industry": 4, "media": 3, "local": 3, "temporal": 4}
     row = spark.range(1).select(
         formulation.apply_template(F.lit("{a} or {b}"), F.create_map(F.lit("a"), F.lit("x"))).alias("r"),
         formulation.translate(F.lit("climate crisis"), "en", "da").alias("t")).first()
