@@ -216,7 +216,7 @@ def mixed_texts(docs: DataFrame, key: str, source: str, text: str, weight_of: Ca
     carry = {"_source": F.col(source), "_hash": F.xxhash64(text)}
     taken, rows = mix(docs, key, source, word_count(F.col(text)), weight_of, carry=carry, **options)
     ranges = taken.groupBy("row_no", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_ranges"))
-    ranges = ranges.join(rows.select("row_no", F.col(key).alias("_key"), *carry), "row_no").drop("row_no")
+    ranges = ranges.join(rows.select("row_no", F.col(key).alias("_key"), *carry), "row_no").drop("row_no", "turn")
     hashed = docs.withColumn("_text_hash", F.xxhash64(text)).dropDuplicates([key, source, "_text_hash"])
     joined = hashed.join(ranges, hashed[key].eqNullSafe(ranges["_key"]) & (F.col("_text_hash") == F.col("_hash"))
                          & hashed[source].eqNullSafe(ranges["_source"]))
