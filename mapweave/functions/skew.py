@@ -51,14 +51,3 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """The whole first row of every key, as an aggregate with map-side combine."""
     picked = F.min_by(F.struct(*df.columns), F.struct(*order))
     return df.groupBy(*keys).agg(picked.alias("__row")).select("__row.*")
-
-
-def spread_scan(scan: DataFrame, *keys: str) -> DataFrame:
-    """A plain table scan spread over the cores when it yields fewer partitions than there are cores.
-
-    A few files with one row group each would otherwise put all text work into a few tasks. A large table
-    has partitions enough and is returned as it is, so its texts are never shuffled. ``keys`` should be the
-    unique row id: later groupings that start with it reuse the partitioning.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan

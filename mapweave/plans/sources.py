@@ -24,7 +24,7 @@ def a1(t):
     )
 
 
-_BULK_SQL = """SELECT o_custkey % 11 AS file_id, o_orderkey AS line, CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE
+_BULK_SQL = """SELECT o_custkey AS file_id, o_orderkey AS line, CASE WHEN o_orderkey % 23 = 0 THEN '  ' ELSE
       ' topic ' || lower(substr(o_orderpriority, 3)) || ' ' END AS query,
     CASE WHEN o_orderkey % 3 = 0 THEN 'activist ' END AS framing, CASE WHEN o_orderkey % 4 = 0 THEN 'da' END AS language,
     CASE o_orderkey % 5 WHEN 0 THEN 'many' WHEN 1 THEN CAST(o_orderkey % 130 AS VARCHAR) WHEN 2 THEN '20' END AS max_results,
@@ -35,7 +35,7 @@ _BULK_SQL = """SELECT o_custkey % 11 AS file_id, o_orderkey AS line, CASE WHEN o
 def bulk_lines(t):
     k = F.col("o_orderkey")
     return t.orders.select(
-        (F.col("o_custkey") % 11).alias("file_id"), k.alias("line"),
+        F.col("o_custkey").alias("file_id"), k.alias("line"),
         F.when(k % 23 == 0, "  ").otherwise(F.concat(F.lit(" topic "), F.lower(F.expr("substring(o_orderpriority, 3)")), F.lit(" "))).alias("query"),
         F.when(k % 3 == 0, "activist ").alias("framing"),
         F.when(k % 4 == 0, "da").alias("language"),
@@ -77,13 +77,15 @@ def a2b(t):
     f"""SELECT file_id, line, trim(query) AS query, trim(coalesce(framing, 'neutral')) AS framing, coalesce(language, 'en') AS language,
           coalesce(TRY_CAST(max_results AS BIGINT), 10) AS max_results, lower(coalesce(search_engine, 'google_custom')) AS search_engine,
           replace(tld_filter, '|', ',') AS tlds FROM ({_BULK_SQL})
-        WHERE trim(query) <> '' AND coalesce(max_results <> 'many', TRUE)
+        QUALIFY bool_and(trim(query) <> '' AND coalesce(max_results <> 'many', TRUE)
           AND coalesce(TRY_CAST(max_results AS INT) BETWEEN 1 AND 100, TRUE)
-          AND coalesce(search_engine <> 'altavista', TRUE) AND coalesce(tld_filter <> '.dk|com', TRUE)""",
+          AND coalesce(search_engine <> 'altavista', TRUE) AND coalesce(tld_filter <> '.dk|com', TRUE)) OVER (PARTITION BY file_id)""",
 )
 def a3(t):
-    good = bulk.validate(bulk_lines(t)).filter(F.size("errors") == 0)
-    return bulk.normalize(good).select(
+    checked = bulk.validate(bulk_lines(t))
+    # rows of a file with one bad row are not stored
+    valid = bulk.validation_status(checked, "file_id").filter("validation_status = 'valid'").select("file_id")
+    return bulk.normalize(checked.join(valid, "file_id", "left_semi")).select(
         "file_id", "line", "query", "framing", "language", "max_results", "search_engine",
         F.array_join("tld_filter", ",").alias("tlds"),
     )
@@ -302,7 +304,7 @@ def a12(t):
     nodes = back.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("label").alias("b"),
                               F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("rank"))
     edges = back.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"),
-                              F.round("weight", 6).alias("weight"), F.col("attributes")["0"].alias("rank"))
+                              F.round("weight", 6).alias("weight"), F.col("attributes")["rank"].alias("rank"))
     return nodes.unionByName(edges)
 
 

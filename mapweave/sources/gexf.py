@@ -11,24 +11,36 @@ _VALUE = "struct<attvalue: array<struct<_for: string, _value: string>>>"
 
 
 def read_gexf(spark: SparkSession, path: str) -> Graph:
-    """Nodes and edges of a GEXF file or folder. Both scans split by row tag; attributes come as a map by
-    attribute number."""
+    """Nodes and edges of a GEXF file or folder. Both scans split by row tag; attributes come as a map by their title.
+
+    The declarations of attributes are read first: one row for each attribute of the file, few by the format. An
+    attribute without a declaration keeps its number as name.
+    """
+    declared = (
+        spark.read.format("xml").option("rowTag", "attributes")
+        .schema("_class string, attribute array<struct<_id: string, _title: string>>").load(path)
+        .select("_class", F.explode("attribute").alias("a")).select("_class", "a._id", "a._title").distinct().collect()
+    )
+    titles = {kind: {r["_id"]: r["_title"] for r in declared if r["_class"] == kind} for kind in ("node", "edge")}
 
-    def attributes(column: str):
+    def attributes(column: str, kind: str):
+        known = titles[kind]
+        title = lambda number: F.coalesce(
+            F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[number], number) if known else number
         items = F.coalesce(F.col(f"{column}.attvalue"), F.array().cast("array<struct<_for:string,_value:string>>"))
-        return F.map_from_entries(F.transform(items, lambda v: F.struct(v["_for"].alias("key"), v["_value"].alias("value"))))
+        return F.map_from_entries(F.transform(items, lambda v: F.struct(title(v["_for"]).alias("key"), v["_value"].alias("value"))))
 
     nodes = (
         spark.read.format("xml").option("rowTag", "node")
         .schema(f"_id string, _label string, attvalues {_VALUE}").load(path)
-        .select(F.col("_id").alias("node_id"), F.col("_label").alias("label"), attributes("attvalues").alias("attributes"))
+        .select(F.col("_id").alias("node_id"), F.col("_label").alias("label"), attributes("attvalues", "node").alias("attributes"))
     )
     edges = (
         spark.read.format("xml").option("rowTag", "edge")
         .schema(f"_source string, _target string, _weight double, attvalues {_VALUE}").load(path)
         .select(
             F.col("_source").alias("src"), F.col("_target").alias("dst"),
-            F.coalesce("_weight", F.lit(1.0)).alias("weight"), attributes("attvalues").alias("attributes"),
+            F.coalesce("_weight", F.lit(1.0)).alias("weight"), attributes("attvalues", "edge").alias("attributes"),
         )
     )
     return Graph(nodes, edges)
