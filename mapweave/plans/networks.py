@@ -340,33 +340,39 @@ def cut_saved(t) -> Graph:
     return Graph(materialize(nodes), edges)
 
 
+def whole_saved(t) -> Graph:
+    """The whole network, its nodes and edges written once with what the measures need."""
+    graph = net(t)
+    return Graph(materialize(graph.nodes.select("node_id", "node_type", "label")), materialize(graph.edges.select("src", "dst", "weight")))
+
+
 @register(
     "h10_statistics",
     net_sql("""SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
       SELECT unnest(['nodes', 'density', 'avg_degree', 'min_degree', 'max_degree']) AS metric,
-        unnest([count(*), 2.0 * (SELECT count(*) FROM kept) / (count(*) * (count(*) - 1)), avg(d), min(d), max(d)]) AS value
-      FROM (SELECT node, count(*) AS d FROM (SELECT src AS node FROM kept UNION ALL SELECT dst FROM kept) GROUP BY node)
+        unnest([count(*), 2.0 * (SELECT count(*) FROM edges) / (count(*) * (count(*) - 1)), avg(d), min(d), max(d)]) AS value
+      FROM (SELECT n.node_id, count(e.node) AS d FROM nodes n
+              LEFT JOIN (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) e ON e.node = n.node_id GROUP BY n.node_id)
       UNION ALL
       SELECT unnest(['edges', 'avg_weight', 'min_weight', 'max_weight', 'total_weight']),
-        unnest([count(*), avg(weight), min(weight), max(weight), sum(weight)]) FROM kept
-      UNION ALL SELECT 'type:' || node_type, count(*) FROM nodes WHERE node_id IN (SELECT node_id FROM kept_nodes)
-        GROUP BY node_type
+        unnest([count(*), avg(weight), min(weight), max(weight), sum(weight)]) FROM edges
+      UNION ALL SELECT 'type:' || node_type, count(*) FROM nodes  GROUP BY node_type
       UNION ALL SELECT unnest(['components', 'largest', 'largest_share']),
         unnest([count(*), max(size), max(size) / sum(size)]) FROM (SELECT count(*) AS size FROM comp GROUP BY component))""",
-            **CUT_SQL, **_component_sql("kept", "kept_nodes")),
+            **_component_sql("edges", "nodes")),
 )
 def h10(t):
-    graph = cut_saved(t)
+    graph = whole_saved(t)
     sizes = iterative.component_sizes(iterative.connected_components(graph))
     return metrics.statistics(graph, sizes).withColumn("value", F.round("value", 6))
 
 
 @register(
     "h11_components",
-    net_sql("SELECT node_id, component FROM comp", **CUT_SQL, **_component_sql("kept", "kept_nodes")),
+    net_sql("SELECT node_id, component FROM comp", **_component_sql("edges", "nodes")),
 )
 def h11(t):
-    return iterative.connected_components(cut_saved(t))
+    return iterative.connected_components(whole_saved(t))
 
 
 _PROJ_SQL = {
@@ -560,10 +566,10 @@ def h25(t):
 @register(
     "h26_giant_component",
     net_sql("""SELECT node_id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component
-               ORDER BY count(*) DESC, component LIMIT 1)""", **CUT_SQL, **_component_sql("kept", "kept_nodes")),
+               ORDER BY count(*) DESC, component LIMIT 1)""", **_component_sql("edges", "nodes")),
 )
 def h26(t):
-    return filters.giant_component(cut_saved(t)).nodes.select("node_id")
+    return filters.giant_component(whole_saved(t)).nodes.select("node_id")
 
 
 @register(
@@ -679,12 +685,12 @@ def h31(t):
 
 @register(
     "h32_two_colorable",
-    net_sql("""SELECT (SELECT count(*) FROM kept_nodes) AS nodes, (SELECT count(*) FROM kept) AS edges,
-                 (SELECT count(*) FROM kept WHERE NOT starts_with(src, 'query_') OR NOT starts_with(dst, 'website_')) = 0
-                   AS two_colorable""", **CUT_SQL),
+    net_sql("""SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
+                 (SELECT count(*) FROM edges WHERE NOT starts_with(src, 'query_') OR NOT starts_with(dst, 'website_')) = 0
+                   AS two_colorable"""),
 )
 def h32(t):
-    graph = cut_saved(t)
+    graph = whole_saved(t)
     return metrics.quick_statistics(graph).select(
         "nodes", "edges", F.lit(iterative.is_two_colorable(graph)).alias("two_colorable")
     )
