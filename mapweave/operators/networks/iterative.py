@@ -10,6 +10,10 @@ from mapweave.operators.networks.graph import Graph, both_ways
 from mapweave.session import materialize
 
 
+#: Bound of all loops whose rounds follow a path; a longer one is an error, not a shorter result.
+MAX_STEPS = 1000
+
+
 def connected_components(graph: Graph, max_rounds: int = 50) -> DataFrame:
     """(node_id, component): weak components, named by their smallest node id.
 
@@ -96,7 +100,7 @@ def is_two_colorable(graph: Graph) -> bool:
     return sides.filter(F.col("n") > 1).isEmpty()
 
 
-def shortest_paths(graph: Graph, max_levels: int | None = None) -> tuple[DataFrame, int]:
+def shortest_paths(graph: Graph, max_levels: int = MAX_STEPS) -> tuple[DataFrame, int]:
     """(source, node_id, d, paths) of all reachable pairs, level by level, and the number of levels.
 
     ``paths`` counts the shortest paths. The table has one row per connected pair: use it on graphs that were
@@ -108,7 +112,7 @@ def shortest_paths(graph: Graph, max_levels: int | None = None) -> tuple[DataFra
         F.col("node_id").alias("source"), "node_id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")
     )
     levels = [materialize(start)]
-    while max_levels is None or len(levels) <= max_levels:
+    while len(levels) <= max_levels:
         # A neighbour of an undirected level lies in it, before it or after it; a directed edge may lead far back.
         near = _union(levels if graph.directed else levels[-2:]).select("source", "node_id")
         step = (
@@ -259,20 +263,21 @@ def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("src", "dst")
 
 
-def _trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _trim(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_STEPS) -> tuple[DataFrame, DataFrame]:
     """Nodes that keep a predecessor and a successor however often nodes without one are removed."""
-    while True:
+    for _ in range(max_rounds):
         ends = edges.select(F.col("src").alias("node_id")).distinct()
         starts = edges.select(F.col("dst").alias("node_id")).distinct()
         kept = materialize(nodes.join(starts, "node_id", "left_semi").join(ends, "node_id", "left_semi"))
         if kept.count() == nodes.count():
             return kept, edges
         nodes, edges = kept, materialize(_inside(edges, kept))
+    raise RuntimeError(f"trimming did not settle in {max_rounds} rounds")
 
 
-def _spread_largest(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _spread_largest(nodes: DataFrame, links: DataFrame, max_rounds: int = MAX_STEPS) -> DataFrame:
     color = materialize(nodes.select("node_id", F.col("node_id").alias("color"), F.lit(True).alias("moved")))
-    while True:
+    for _ in range(max_rounds):
         offers = (
             links.join(color.filter("moved").select(F.col("node_id").alias("src"), "color"), "src")
             .groupBy(F.col("dst").alias("node_id"))
@@ -289,11 +294,12 @@ def _spread_largest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         color = color_next
         if color.filter("moved").isEmpty():
             return color.select("node_id", "color")
+    raise RuntimeError(f"colours did not settle in {max_rounds} rounds")
 
 
-def _reach_backward(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _reach_backward(roots: DataFrame, links: DataFrame, max_rounds: int = MAX_STEPS) -> DataFrame:
     found = [materialize(roots)]
-    while True:
+    for _ in range(max_rounds):
         step = (
             links.join(found[-1].select(F.col("node_id").alias("dst")), "dst")
             .select(F.col("src").alias("node_id"))
@@ -304,3 +310,4 @@ def _reach_backward(roots: DataFrame, links: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return _union(found)
         found.append(frontier)
+    raise RuntimeError(f"a path is longer than {max_rounds} steps")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[context.applicationId]
 
 
+_RUNS: dict[str, str] = {}
+_OPEN: list[list[str]] = []
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder under the shared one. It is removed when the driver's process ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _RUNS:
+        _RUNS[name] = f"{checkpoint_root(spark)}/mapweave/{name}"
+        atexit.register(_remove_at_exit, spark, _RUNS[name])
+    return _RUNS[name]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the JVM may be gone by then
+        _remove(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are removed at the end: for callers that have written their result by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -61,12 +97,13 @@ def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     an earlier round that nothing reads any more; its files are removed.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/mapweave/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved._mapweave_path = path
     old = getattr(replaces, "_mapweave_path", None)
     if old:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(old)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        _remove(spark, old)
     return saved

@@ -125,3 +125,25 @@ def test_language_votes(spark):
         [("the cat is on the mat and it was good for the dog to be there",),
          ("der Hund und die Katze sind nicht auf dem Dach des Hauses in Bonn",), ("short",)], "t string")
     assert [r[0] for r in df.select(tx.detect_language("t")).collect()] == ["en", "de", None]
+
+
+def test_offsets_of_long_texts(spark):
+    from mapweave.functions.places import matches, running_sums
+
+    text = "  é1 bb. ccc\n" * 300
+    got = spark.createDataFrame([(text,), ("",), (".",)], "t string").select(matches(F.col("t"), tx.WORD).alias("m")).collect()
+    assert all(text[m["start"]: m["start"] + len(m["token"])] == m["token"] for m in got[0]["m"]) and len(got[0]["m"]) == 900
+    assert got[1]["m"] == [] and got[2]["m"] == []
+    sums = spark.range(1).select(running_sums(F.sequence(F.lit(1), F.lit(200))).alias("s")).first()["s"]
+    assert sums == [i * (i + 1) // 2 for i in range(200)]
+
+
+def test_scratch_removes_what_was_written_inside(spark):
+    import os
+
+    from mapweave.session import materialize, scratch
+
+    with scratch(spark):
+        inside = materialize(spark.range(3))
+        assert inside.count() == 3 and os.path.isdir(inside._mapweave_path)
+    assert not os.path.isdir(inside._mapweave_path)
