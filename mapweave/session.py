@@ -79,14 +79,28 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialised inside are removed at the end: for callers that have written their result by then."""
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that are materialised inside, for a caller that removes them later."""
     _OPEN.append([])
     try:
-        yield
+        yield _OPEN[-1]
     finally:
-        for path in _OPEN.pop():
-            _remove(spark, path)
+        _OPEN.pop()
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are removed at the end: for callers that have written their result by then."""
+    with recorded() as paths:
+        try:
+            yield
+        finally:
+            remove_tables(spark, paths)
 
 
 def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
