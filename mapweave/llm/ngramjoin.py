@@ -8,8 +8,8 @@
    order, partial overlaps are shared by all sets below a node, and a subtree is left when the elements that remain
    can't reach the overlap that its smallest set needs. A subtree whose sets are all of the probe's component is left, too, so a
    group of n near copies takes about n walks, not n * n pairs.
-4. What that may have missed: two linked sets share an element among the rarest ``n - ceil(t n) + 1`` of each. Elements
-   whose sets are not all of one component by now are joined by prefix trees again, large groups in pairs of parts.
+4. What that may have missed: two linked sets share an element among the rarest ``n - ceil(t n) + 1`` of each. Components
+   that meet at such an element are joined by prefix trees again, a cluster of components at a time, large ones in pairs of parts.
 5. Components of all links.
 
 A text without words, or null, has the empty set: it is linked with nothing. Equal sets that are not empty are linked. Rows that are repeated
@@ -157,7 +157,7 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, hashes, n = ids[order], hashes[order], n[order].astype(np.int64)
         found, begins = np.unique(ids, return_index=True)
-        ends = np.append(begins[1:], len(ids))
+        ends = np.append(begins[1:], len(ids))[: len(found)]
         return pa.table({
             "id": pa.array(found, pa.int64()),
             "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()),
@@ -371,6 +371,20 @@ def _in_groups(rows: DataFrame, group: str, sets: DataFrame, pairs: bool) -> Dat
     return placed.drop("_n").join(sets.select("id", "n", "tokens"), "id")
 
 
+def _clusters(mixed: DataFrame) -> DataFrame:
+    """id, label, key: the groups in which sets that share a rare element (id, token, label) meet.
+
+    Components that share elements, however far apart, make a cluster, in which each set is once. Only a cluster so large that
+    its parts would take more rows than its elements is left as a group for each element; either way all pairs meet.
+    """
+    cluster = components(mixed.select(F.col("label").alias("a"), F.col("token").alias("b")))
+    placed = mixed.join(cluster.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label")
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("id").alias("_sets"))
+    whole = F.ceil(F.col("_sets") / GROUP) * F.col("_sets") <= F.col("_rows")
+    key = F.struct(whole.alias("whole"), F.when(whole, F.col("cluster")).otherwise(F.col("token")).alias("of"))
+    return placed.join(sizes, "cluster").select("id", "label", key.alias("key")).distinct()
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between survivors that connect each component."""
     keyed = sets.select("id", "tokens").mapInArrow(_keys, "id long, keys array<bigint>").select("id", F.posexplode("keys").alias("no", "key"))
@@ -381,8 +395,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     rare = materialize(rare.join(known.select(F.col("node").alias("id"), "label"), "id", "left").select("id", "token", F.coalesce("label", "id").alias("label")))
     # only elements whose sets are of several components can hold a new link
     mixed = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = _in_groups(rare.join(mixed, "token"), "token", sets, pairs=True)
-    more = rest.groupBy("token", "sub", "other").applyInArrow(_tree_join(percent, True), "a long, b long")
+    rest = _in_groups(_clusters(materialize(rare.join(mixed, "token"))), "key", sets, pairs=True)
+    more = rest.groupBy("key", "sub", "other").applyInArrow(_tree_join(percent, True), "a long, b long")
     return stars.union(materialize(more.distinct()))
 
 
