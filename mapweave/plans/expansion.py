@@ -170,7 +170,7 @@ def f3(t):
 def suggestions(t):
     languages = t.documents.groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
     seed = languages.select(
-        "lang", F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, 6), " ").alias("seed")
+        "lang", F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("seed")
     )
     rows = t.conversations.filter("role = 'user'").select(
         F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es")), (F.col("conv_id") % 4 + 1).cast("int")).alias("lang"),
@@ -180,8 +180,8 @@ def suggestions(t):
 
 
 _SUGGEST_SQL = {
-    "seeds": r"""SELECT lang, array_to_string(list_slice(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'),
-                   lambda w: w <> ''), 1, 6), ' ') AS seed
+    "seeds": r"""SELECT lang, array_to_string(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'),
+                   lambda w: w <> ''), ' ') AS seed
                  FROM (SELECT lang, arg_min(text, doc_id) AS text FROM documents GROUP BY lang)""",
     "sug": """SELECT (['en','de','fr','es'])[conv_id % 4 + 1] AS lang, conv_id * 1000 + turn AS suggestion_id, text
               FROM conversations WHERE role = 'user'""",
