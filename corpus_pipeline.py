@@ -7,38 +7,66 @@ folder and reads again as the next stage's ``docs``. All but the last return the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import mixing, ngramjoin, packing, pii, toxicity
 from mapweave.llm.common import documents, materialize
 from mapweave.llm.plans import toxicity_model
+from mapweave.session import recorded, remove_tables
+
+_Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def stage(fn: _Stage) -> _Stage:
+    """When a stage begins, what the one before has returned is written: the tables that it was made of go. The first stage
+    begins a run of its own, and leaves those of the last stage of another run, whose result may still be wanted."""
+
+    @wraps(fn)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if fn.__name__ != STAGES[0][1].__name__:
+            remove_tables(spark, _left)
+        with recorded() as paths:
+            found = fn(spark, docs, sf_dir)
+        _left[:] = paths
+        return found
+
+    return begun
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is fitted on labelled documents of the given tables."""
     model = toxicity_model(docs, spark, sf_dir)
     return toxicity.keep_below(docs, "text", model, 0.5)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join (five words, 0.8 or more) the document with the smallest doc_id. Documents
     without words are no copies of each other and stay."""
     return ngramjoin.first_of_components(docs, "doc_id", "text", words=5, percent=80)
 
 
+@stage
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind, terms that give it away are generalised or removed."""
     clean = pii.sanitise(docs, "doc_id", "text")
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each document and pass that takes words of it, with those words as text."""
     return mixing.mixed_texts(docs, "doc_id", "source", "text", mixing.repeating_weights).withColumn(
         "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@stage
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as pieces of windows of 2048 tokens."""
     pieces = packing.pack(docs, "doc_id", "text")

@@ -17,11 +17,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.where("a <> b").select("a", "b")
     edges = materialize(edges.union(edges.select("b", "a")).distinct())
     state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    if state.isEmpty():
+        return state
     for _ in range(rounds):
         near = edges.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = state.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
         roots = lower.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        stepped = materialize(lower.join(roots, "label").select("node", F.col("root").alias("label"), "before"), replaces=None)
+        stepped = materialize(lower.join(roots, "label").select("node", F.col("root").alias("label"), "before"))
         changed = stepped.where("label <> before").limit(1).count()
         state = stepped.drop("before")
         if not changed:

@@ -38,7 +38,7 @@ _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 class _Known(dict):
     """Ids of the pieces of text seen last, as packed integers; emptied when full."""
 
-    def __init__(self, encode, dtype, most=400_000):
+    def __init__(self, encode, dtype, most=150_000):
         super().__init__()
         self.encode, self.dtype, self.most = encode, dtype, most
 
@@ -59,27 +59,38 @@ def encoder(vocabulary: str, ranks: str | None):
     vocabulary as merge ranks, which encode single words faster.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     place = lambda name: name if "/" in name else public_tokenizers.path(name)
-    whole = Tokenizer.from_file(place(vocabulary))
-    dtype = np.dtype("<u2") if whole.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(place(vocabulary), encoding="utf-8") as file:
+        parts = json.load(file)
+    special = [t["content"] for t in parts["added_tokens"]]
+    size = 1 + max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts["added_tokens"])])
+    dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+    del parts
+    loaded: list[Tokenizer] = []  # only where a text needs it: it takes much memory
+
+    def whole(text: str) -> list[int]:
+        if not loaded:
+            loaded.append(Tokenizer.from_file(place(vocabulary)))
+        return loaded[0].encode(text, add_special_tokens=False).ids
+
     if ranks:
         with open(place(ranks), "rb") as file:
             merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
         words = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
         encode = words.encode_ordinary
     else:
-        encode = lambda piece: whole.encode(piece, add_special_tokens=False).ids
+        encode = whole
     known = _Known(encode, dtype)
 
     def packed(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype=dtype).tobytes()
+            return np.asarray(whole(text), dtype=dtype).tobytes()
         return b"".join(map(known.__getitem__, _COARSE.findall(text)))
 
     return packed, dtype

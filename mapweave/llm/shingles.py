@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _P = np.uint64(0x9E3779B97F4A7C13)  # = 3 mod 8: powers differ in all but a few low bits
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 _SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -36,7 +36,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i for i < n, mod 2**64; kept for the process."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", _P), ("down", _PINV)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
