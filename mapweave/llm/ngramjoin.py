@@ -31,7 +31,7 @@ from mapweave.llm.components import components
 from mapweave.llm.shingles import mix, shingle_sets
 
 WORDS, PERCENT = 4, 85
-BUCKET_ENTRIES = 2_000_000  # elements that one task counts at a time, 16 bytes each
+BUCKET_ENTRIES = 500_000  # elements that one task counts at a time, 16 bytes each
 GROUP = 2048  # sets in one prefix tree
 FILTER_BITS = 1 << 26  # 8 MB; more candidates than it tells apart only let more sets through to the exact join
 KEYS = 3
@@ -131,7 +131,7 @@ def _count_shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _buckets_for(entries: int) -> int:
-    return max(8, -(-entries // BUCKET_ENTRIES))
+    return max(64, -(-entries // BUCKET_ENTRIES))
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -289,7 +289,15 @@ def _joined(ids: list[int], sizes: list[int], tokens: list[np.ndarray], labels:
     for number, i in enumerate(order):
         tree.parent.append(number if labels is None else first.setdefault(labels[i], number))
         tree.add(number, paths[i], sizes[i])
-    return [(ids[order[a]], ids[order[b]]) for a, b in tree.links]
+    if not tree.links:
+        return []
+    # a star for each component that has grown, its smallest id in the middle: few rounds name all
+    grown = {tree.find(a) for a, _ in tree.links}
+    members: dict[int, list[int]] = {}
+    for number, i in enumerate(order):
+        if (root := tree.find(number)) in grown:
+            members.setdefault(root, []).append(ids[i])
+    return [(low, x) for group in members.values() for low in [min(group)] for x in group if x != low]
 
 
 def _tree_join(percent: int, labelled: bool):
@@ -385,8 +393,8 @@ def _clusters(mixed: DataFrame) -> DataFrame:
     return placed.join(sizes, "cluster").select("id", "label", key.alias("key")).distinct()
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between survivors that connect each component."""
+def labels_of(sets: DataFrame, percent: int) -> DataFrame:
+    """id, label of the survivors that are linked: the smallest id of the component."""
     keyed = sets.select("id", "tokens").mapInArrow(_keys, "id long, keys array<bigint>").select("id", F.posexplode("keys").alias("no", "key"))
     keyed = keyed.select("id", F.struct("no", "key").alias("key"))
     stars = materialize(_in_groups(keyed, "key", sets, pairs=False).groupBy("key", "sub", "other").applyInArrow(_tree_join(percent, False), "a long, b long"))
@@ -397,14 +405,24 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     mixed = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     rest = _in_groups(_clusters(materialize(rare.join(mixed, "token"))), "key", sets, pairs=True)
     more = rest.groupBy("key", "sub", "other").applyInArrow(_tree_join(percent, True), "a long, b long")
-    return stars.union(materialize(more.distinct()))
+    # links between components: what is known of them is not looked for again
+    ends = more.select("a", "b")
+    for end in ("a", "b"):
+        named = known.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        ends = ends.join(named, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    joined = components(ends.where("a <> b").distinct())
+    both = known.join(joined.withColumnRenamed("label", "_low").withColumnRenamed("node", "label"), "label", "left").select(
+        F.col("node").alias("id"), F.coalesce("_low", "label").alias("label"))
+    # sets that were alone until now
+    alone = joined.join(known, "node", "left_anti").select(F.col("node").alias("id"), "label")
+    return both.union(alone)
 
 
 def classified(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """key, text_hash, n and component_id of every row."""
     sets = materialize(shingled(docs, key, text, words, percent).withColumn("row_no", F.monotonically_increasing_id()))
     near = survivors(docs, sets, text, words, percent)
-    labels = components(links(near, percent)).select(F.col("node").alias("id"), "label")
+    labels = labels_of(near, percent)
     classes = near.select("id", "s1", "s2", "n").join(labels, "id")
     # every row's class, then the smallest key of the class, then of its component
     smallest = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("least"))

@@ -94,8 +94,8 @@ def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicit
     picked = labelled_sample(labels, "toxic", "doc_id", toxicity.PER_LABEL)
     sample = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int").dropDuplicates(["doc_id"])
     # at most 1.5 * PER_LABEL rows a label
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return toxicity.fit([(r["text"], r["toxic"]) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    return toxicity.fit_in_task(rows, "doc_id", "text", "toxic")
 
 
 @query("op5_toxicity_cnn")
