@@ -7,9 +7,11 @@ start, and take runs possessively.
 
 Sanitisation adds terms: the lines that hold a base span are contexts of its value (the protected entity). Over all lines
 of the corpus, PMI(term; entity) = log(n(term, entity) * lines / (n(term) * n(entity))), against the entity's own information
-log(lines / n(entity)), says how much of the entity a term reveals. A term that reveals at least ``generalise_at`` of it, and
-does so in at least ``support`` different lines, is generalised in the entity's lines (replaced by its kind), and from
-``remove_at`` on removed.
+log(lines / n(entity)), says how much of the entity a term reveals. A term that reveals at least ``generalise_at`` of it is
+generalised in the entity's lines (replaced by its kind), and from ``remove_at`` on removed. Every value and term is judged,
+those seen once too: in fewer than ``support`` different lines the joint count is an estimate, and its lower bound
+n(term, entity) * different / support is taken instead (copies of one line are no evidence). So a term and a value that only
+ever meet in one line are told from chance if the corpus has more than some forty lines for each line of the value.
 
 Null and empty texts have no spans; equal rows have equal spans; an empty table gives no rows.
 """
@@ -121,54 +123,62 @@ def entity(span: Column) -> Column:
 
 
 def _terms(line: Column) -> Column:
-    """Distinct lower-cased words of at least three letters."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3))
+    """Distinct lower-cased runs of letters and digits."""
+    return F.array_distinct(F.transform(F.filter(F.split(line, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""), F.lower))
 
 
 def _lines(found: DataFrame) -> DataFrame:
-    """The lines of ``found`` that hold base spans: key, hash, begin, line, spans (in the line), terms (outside of the spans)."""
+    """The lines of ``found`` that hold base spans: key, hash, rows (that are equal), begin, line, spans (in the
+    line), terms (outside of the spans)."""
     def cut(lines: Column) -> Column:
         lengths = F.transform(lines, F.char_length)
         ends = let(lengths, lambda n: _starts(n, F.transform(n, lambda _: F.lit(1))))
         return F.zip_with(ends, lines, lambda e, x: F.struct((e - F.char_length(x)).alias("begin"), e.alias("end"), x.alias("line")))
 
     # a span never goes over a line's end
-    rows = found.select("key", "hash", "spans", F.explode(let(F.split("text", "\n"), lambda x: F.filter(
+    rows = found.select("key", "hash", "rows", "spans", F.explode(let(F.split("text", "\n"), lambda x: F.filter(
         cut(x), lambda c: F.exists("spans", lambda s: (s["start"] >= c["begin"]) & (s["start"] < c["end"]))))).alias("c"))
-    rows = rows.select("key", "hash", "c.begin", "c.line", F.filter(
+    rows = rows.select("key", "hash", "rows", "c.begin", "c.line", F.filter(
         "spans", lambda s: (s["start"] >= F.col("c.begin")) & (s["start"] < F.col("c.end"))).alias("spans"))
     rest = F.aggregate("spans", F.col("line"), lambda t, s: F.replace(t, s["value"], F.lit(" ")))
     return rows.withColumn("terms", _terms(rest))
 
 
-def disclosing_terms(docs: DataFrame, lines: DataFrame, text: str, generalise_at: float, remove_at: float, support: int) -> DataFrame:
+def _contexts(lines: DataFrame) -> DataFrame:
+    """The different lines that hold base spans: line_hash, copies, entities, terms."""
+    return lines.groupBy(F.xxhash64("line").alias("line_hash")).agg(
+        F.sum("rows").alias("copies"), F.array_distinct(F.transform(F.first("spans"), entity)).alias("entities"), F.first("terms").alias("terms"))
+
+
+def _pairs(contexts: DataFrame) -> DataFrame:
+    """(line_hash, copies, entity, term) of each different line."""
+    return contexts.select("line_hash", "copies", "terms", F.explode("entities").alias("entity")).select(
+        "line_hash", "copies", "entity", F.explode("terms").alias("term"))
+
+
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, text: str, generalise_at: float, remove_at: float, support: int) -> DataFrame:
     """(entity, term, action) of terms that reveal too much of an entity."""
-    contexts = lines.select(F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"), F.xxhash64("line").alias("line_hash"), "terms")
-    pairs = contexts.select("entity", "line_hash", F.explode("terms").alias("term"))
-    # copies of one line give no support
-    candidates = materialize(pairs.groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("n_both"), F.count_distinct("line_hash").alias("different")).where(F.col("different") >= support))
-    wanted = materialize(candidates.select("term").distinct())
+    candidates = _pairs(contexts).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("different"))
     whole = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    # all lines of the corpus are counted for the terms in question; the size of their table is known when the join is planned
-    words = docs.select(F.explode(whole).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term"))
-    of_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    # all lines of the corpus are counted, term by term, before anything is joined
+    of_term = docs.select(F.explode(whole).alias("line")).select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_term"))
     total = float(docs.agg(F.sum(F.size(whole))).first()[0] or 1)
-    of_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pmi = F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
+    of_entity = contexts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    sure = F.col("n_both") * F.least(F.lit(1.0), F.col("different") / float(support))
+    pmi = F.log(sure * total / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.greatest(F.log(total / F.col("n_entity")), F.lit(1e-9))
     return candidates.join(of_term, "term").join(of_entity, "entity").withColumn("share", share).where(F.col("share") >= generalise_at).select(
         "entity", "term", F.when(F.col("share") >= remove_at, "remove").otherwise("generalise").alias("action"))
 
 
-def _term_spans(lines: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_spans(lines: DataFrame, contexts: DataFrame, terms: DataFrame) -> DataFrame:
     """key, hash, extra: spans of disclosing terms in the lines of their entities, not inside of base spans."""
-    hits = lines.select("key", "hash", "begin", "line", "spans", "terms", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-    hits = hits.join(terms, "entity").where(F.array_contains("terms", F.col("term")))
-    by_line = hits.groupBy("key", "hash", "begin").agg(
-        F.first("line").alias("line"), F.first("spans").alias("spans"), F.map_from_entries(F.collect_set(F.struct("term", F.lit(1)))).alias("found"),
-        F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("removed"))
-    placed = F.transform(places(F.col("line"), r"\p{L}+"), lambda x: F.struct(
+    hits = materialize(_pairs(contexts).join(terms, ["entity", "term"]).groupBy("line_hash").agg(
+        F.map_from_entries(F.collect_set(F.struct("term", F.lit(1)))).alias("found"),
+        F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("removed")))
+    by_line = lines.withColumn("line_hash", F.xxhash64("line")).join(hits, "line_hash")
+    placed = F.transform(places(F.col("line"), r"[\p{L}\p{M}\p{N}]+"), lambda x: F.struct(
         F.lit(TERM).alias("kind"), (x["start"] + F.col("begin")).cast("int").alias("start"), (x["stop"] + F.col("begin")).cast("int").alias("stop"),
         x["value"].alias("value")))
     free = F.filter(placed, lambda x: F.map_contains_key("found", F.lower(x["value"])) & ~F.exists(
@@ -185,9 +195,11 @@ def find(docs: DataFrame, key: str, text: str, generalise_at: float = 0.7, remov
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("hash"), base_spans(whole).alias("spans"), whole.alias("text"))
     found = materialize(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
-    lines = materialize(_lines(found.where(F.col("text").isNotNull()).dropDuplicates(["key", "hash"])))
-    terms = materialize(disclosing_terms(docs, lines, text, generalise_at, remove_at, support))
-    return found.drop("text"), materialize(_term_spans(lines, terms))
+    lines = materialize(_lines(found.where(F.col("text").isNotNull()).groupBy("key", "hash").agg(
+        F.count(F.lit(1)).alias("rows"), F.first("spans").alias("spans"), F.first("text").alias("text"))))
+    contexts = materialize(_contexts(lines))
+    terms = materialize(disclosing_terms(docs, contexts, text, generalise_at, remove_at, support))
+    return found.drop("text"), materialize(_term_spans(lines, contexts, terms))
 
 
 def with_terms(rows: DataFrame, extra: DataFrame) -> DataFrame:

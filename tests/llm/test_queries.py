@@ -284,6 +284,20 @@ def test_disclosing_terms_are_taken_out(spark):
     assert pii.sanitise(df, "doc_id", "text").columns == df.columns
 
 
+def test_terms_beside_a_value_seen_once_or_twice_are_generalised(spark):
+    docs = [(i, f"plain words stand here\nline of words number {i % 7}") for i in range(60)]
+    docs += [(100, "Wrenna Li (badge k42) is at once@corp.org\nWords stand here"), (101, "write Tamsin at 10.9.8.7 here"),
+             (102, "here Tamsin has 10.9.8.7"), (103, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, "doc_id", "text").collect()}
+    # "is" and "write" stand beside one value only as well: nothing tells them from names
+    assert clean[100] == "[term] [term] ([term] [term]) [term] at [email]\nWords stand here"
+    assert clean[101] == "[term] [term] at [ip] here" and clean[102] == "here [term] [term] [ip]"
+    assert all(clean[i] == text for i, text in docs if i < 60) and clean[103] is None
+    copies = df.where("doc_id = 100").crossJoin(spark.range(2)).select("doc_id", "text").union(df)
+    assert {r["text"] for r in pii.sanitise(copies, "doc_id", "text").where("doc_id = 100").collect()} == {clean[100]}
+
+
 def test_secrets(spark, tables):
     rows = {r["doc_id"]: r for r in run(spark, tables, "op8_secret_forest") if r["doc_id"] is not None}
     assert len(run(spark, tables, "op8_secret_forest")) == len(awkward_rows())
