@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import materialize
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long) to (node, label): the smallest node that can be reached. Only linked nodes have a row.
 
-    Every round a node takes the smallest label around it, then the label of that label; the longest way to a label about
-    halves. Raises if that isn't done after ``rounds`` rounds.
+    Every round all nodes of a label take the smallest label that any of them sees, then the label of that label, by the
+    same step. So whole clusters meet, in any order of the ids: a path of n nodes takes about log2 n rounds. It ends
+    when no node sees a smaller label than its own; until then each round lowers some label.
     """
     edges = links.where("a <> b").select("a", "b")
     edges = materialize(edges.union(edges.select("b", "a")).distinct())
     state = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     if state.isEmpty():
         return state
-    for _ in range(rounds):
+    while True:
         near = edges.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = state.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before"))
-        roots = lower.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        stepped = materialize(lower.join(roots, "label").select("node", F.col("root").alias("label"), "before"))
-        changed = stepped.where("label <> before").limit(1).count()
-        state = stepped.drop("before")
-        if not changed:
+        hooks = materialize(state.join(near, "node").groupBy("label").agg(F.min("near").alias("near")).select(
+            "label", F.least("label", "near").alias("hook")))
+        if hooks.where("hook < label").isEmpty():
             return state
-    raise RuntimeError(f"components are not complete after {rounds} rounds")
+        # a hook is a node with a label of its own, and that label has a hook
+        onward = hooks.select("label", F.col("hook").alias("node")).join(state.withColumnRenamed("label", "next"), "node")
+        roots = onward.join(hooks.select(F.col("label").alias("next"), F.col("hook").alias("root")), "next").select("label", "root")
+        state = materialize(state.join(roots, "label").select("node", F.col("root").alias("label")), replaces=state)

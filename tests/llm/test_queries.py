@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from mapweave.llm import media, mixing, ngramjoin, pii, plans
 from mapweave.llm.common import scratch_path
+from mapweave.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, hash long, row_no long, turn int, spans string, ids int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,6 +161,18 @@ def test_ngram_join_with_small_groups(spark, tables, monkeypatch):
     assert sorted_rows([tuple(r) for r in found]) == sorted_rows(plain_components(docs, 4, 85))
 
 
+def test_a_shuffled_chain_of_drifting_texts_is_one_component(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2100)]
+    ids = rng.sample(range(10**6), 2000)
+    docs = [(d, " ".join(words[i: i + 60])) for i, d in enumerate(ids)]  # each shares 56 of 58 shingles with the next
+    links = spark.createDataFrame(list(zip(ids, ids[1:])) + [(10**7, 10**7 + 1), (10**7 + 2, 10**7 + 2)], "a long, b long")
+    labels = {r["node"]: r["label"] for r in components(links).collect()}
+    assert labels == {d: min(ids) for d in ids} | {10**7: 10**7, 10**7 + 1: 10**7}
+    found = ngramjoin.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(r[0] for r in found) == sorted(ids) and {r["component_id"] for r in found} == {min(ids)}
+
+
 def test_packing_keeps_every_id_once(spark, tables):
     import public_tokenizers
     from tokenizers import Tokenizer
