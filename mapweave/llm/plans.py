@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, secretscan, toxicity, urlrules
+from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, runs, secretscan, toxicity, urlrules
 from mapweave.llm.common import documents, scratch_path
 from mapweave.llm.sampling import labelled_sample
 
@@ -129,3 +129,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_ngram_jaccard")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar_components(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = runs.periodic_runs(docs, "doc_id", runs.with_planted_runs(F.col("doc_id"), F.col("text")))
+    return runs.digests(found, "doc_id")
