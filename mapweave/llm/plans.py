@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, runs, secretscan, toxicity, urlrules
+from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, ranked, runs, secretscan, toxicity, urlrules
 from mapweave.llm.common import documents, scratch_path
 from mapweave.llm.sampling import labelled_sample
 
@@ -136,3 +136,32 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = runs.periodic_runs(docs, "doc_id", runs.with_planted_runs(F.col("doc_id"), F.col("text")))
     return runs.digests(found, "doc_id")
+
+
+@query("op12_best_position", r"""
+    WITH words AS (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents
+    ), asked AS (
+        SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark) GROUP BY item_id, term
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY term
+    ), impacts AS (
+        SELECT c.doc_id, c.term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)) AS impact
+        FROM counts c JOIN sizes s ON c.doc_id = s.doc_id, corpus
+    ), scores AS (
+        SELECT a.item_id, i.doc_id, CAST(sum(w * impact * times) AS BIGINT) AS score
+        FROM asked a JOIN impacts i ON a.term = i.term JOIN weights w ON a.term = w.term GROUP BY a.item_id, i.doc_id
+    ), ranked AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(documents(spark, sf_dir), "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return found.select(F.col("query_key").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
