@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, ranked, runs, secretscan, toxicity, urlrules
+from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, ranked, runs, secretscan, toxicity, urlrules, warc
 from mapweave.llm.common import documents, scratch_path
 from mapweave.llm.sampling import labelled_sample
 
@@ -165,3 +165,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ranked.search(documents(spark, sf_dir), "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
     return found.select(F.col("query_key").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+#: Longer blocks than this are written as segments.
+SEGMENT_BYTES = 32 << 10
+
+
+@query("op13_warc_segments", """
+    WITH hashed AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+            min(page_id) OVER (PARTITION BY coalesce(html, '')) AS origin FROM pages
+    )
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((CAST('0x' || substr(hex, CAST(j // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+        CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> origin THEN origin END AS refers_to FROM hashed
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", "url", "html", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("row_id"))
+    warc.write_warc(pages, path, "page_id", "url", F.col("html"), F.col("row_id"), segmentBytes=SEGMENT_BYTES)
+    found = warc.rebuild(spark, path)
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
