@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mapweave.functions import urls, words
+from mapweave.functions import pageindex, urls, words
 from mapweave.functions.text import let
 
 #: Longest stored text in UTF-8 bytes, and the notes of cut or binary texts.
@@ -26,10 +26,6 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _filled(text: Column) -> Column:
-    return F.nullif(F.trim(unescape(text)), F.lit(""))
-
-
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of a start tag: in double quotes, in single quotes or bare; empty without it."""
     part = lambda group: F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", group)
@@ -41,31 +37,25 @@ def _without_code(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", "")
 
 
-def meta_content(html, attribute: str, name: str) -> Column:
-    """Content of the first meta tag with the attribute value, in either attribute order."""
-    html = _col(html)
-    tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\s{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
-    return _filled(_attribute(tag, "content"))
+def clean_html(html) -> Column:
+    """Page without scripts, styles, frames, navigation blocks and advertising; its other bytes as they are."""
+    return pageindex.read(html, "clean_html")["clean_html"]
+
+
+def extract_text(html, clean: bool = True) -> Column:
+    """Visible text of a page, one line per text node; ``clean``: without navigation blocks and advertising."""
+    part = "text" if clean else "whole_text"
+    return pageindex.read(html, part)[part]
 
 
 def title(html) -> Column:
-    """<title>, else og:title, else twitter:title, else a first <h1> of plain text."""
-    html = _col(html)
-    return F.coalesce(
-        _filled(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
-        meta_content(html, "property", "og:title"),
-        meta_content(html, "name", "twitter:title"),
-        _filled(F.regexp_extract(F.regexp_extract(html, r"(?is)<h1(?:\s[^>]*)?>.*?</h1>", 0), r"(?is)^<h1[^>]*>([^<]*)</h1>$", 1)),
-    )
+    """<title>, else og:title, else twitter:title, else a first <h1> that holds one string."""
+    return pageindex.read(html, "title")["title"]
 
 
 def meta_description(html) -> Column:
-    html = _col(html)
-    return F.coalesce(
-        meta_content(html, "name", "description"),
-        meta_content(html, "property", "og:description"),
-        meta_content(html, "name", "twitter:description"),
-    )
+    """Meta description, else og:description, else twitter:description."""
+    return pageindex.read(html, "description")["description"]
 
 
 def _without_dot_segments(path: Column) -> Column:
@@ -121,41 +111,21 @@ def links(html, base) -> Column:
 
 def structured_data(html) -> Column:
     """Struct (json_ld array of valid JSON texts, open_graph map, twitter_card map)."""
-    html = _col(html)
-    scripts = F.regexp_extract_all(
-        html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1
-    )
-    valid = F.filter(F.transform(scripts, lambda s: F.trim(s)), lambda s: F.try_parse_json(s).isNotNull())
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0)
-
-    def tagged(attribute: str, prefix: str) -> Column:
-        entries = F.transform(
-            metas,
-            lambda tag: F.struct(
-                F.regexp_extract(tag, rf"""(?is)\s{attribute}\s*=\s*["']({prefix}[^"']*)["']""", 1).alias("key"),
-                _attribute(tag, "content").alias("value"),
-            ),
-        )
-        kept = F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != ""))
-        # The last tag of a name wins, so earlier ones are dropped before the map is built.
-        return let(
-            kept,
-            lambda ks: F.map_from_entries(
-                F.filter(ks, lambda e, i: ~F.exists(F.slice(ks, i + 2, F.size(ks)), lambda o: o["key"] == e["key"]))
-            ),
-        )
-
-    return F.struct(
-        valid.alias("json_ld"), tagged("property", "og:").alias("open_graph"), tagged("name", "twitter:").alias("twitter_card")
-    )
+    parts = pageindex.read(html, "json_ld", "open_graph", "twitter_card")
+    return let(parts, lambda p: F.struct(
+        F.filter(p["json_ld"], lambda s: F.try_parse_json(s).isNotNull()).alias("json_ld"),
+        p["open_graph"].alias("open_graph"), p["twitter_card"].alias("twitter_card")))
 
 
-def is_content_page(html, text, min_length: int = 500) -> Column:
+def has_content(length, paragraphs, container, min_length: int = 500) -> Column:
     """Enough text, and an article or main element or three paragraphs."""
-    html = _col(html)
-    container = html.rlike(r"(?i)<(article|main)[\s>]")
-    paragraphs = F.regexp_count(html, F.lit(r"(?i)<p[\s>]"))
-    return (F.length(_col(text)) >= min_length) & (container | (paragraphs >= 3))
+    return (_col(length) >= min_length) & (_col(container) | (_col(paragraphs) >= 3))
+
+
+def is_content_page(html, text, min_length: int = 500) -> Column:
+    """``has_content`` of a page whose text is known."""
+    return let(pageindex.read(html, "paragraphs", "container"),
+               lambda p: has_content(F.length(_col(text)), p["paragraphs"], p["container"], min_length))
 
 
 def is_challenge_page(html) -> Column:
@@ -170,19 +140,20 @@ def is_rate_limited(html, status) -> Column:
     return F.coalesce(_col(status) == 429, F.lit(False)) | named
 
 
-def looks_binary(text, sample: int | None = 1000) -> Column:
-    """More than 100 control characters among the first ``sample`` (the rule's own number; None: the whole text)."""
+def looks_binary(text, sample: int | None = None) -> Column:
+    """More than 100 control characters in the text, or among its first ``sample`` characters if that is given."""
     plain = F.replace(_col(text), F.lit("\x00"), F.lit(""))
     if sample is not None:
         plain = F.substring(plain, 1, sample)
     return F.regexp_count(plain, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F]")) > 100
 
 
-def clean_text(text, max_bytes: int | None = None) -> Column:
-    """Without NUL characters; a note in place of binary content; if ``max_bytes`` is given, at most so much UTF-8 and a note."""
+def clean_text(text, max_bytes: int | None = None, sample: int | None = None) -> Column:
+    """Without NUL characters; a note in place of binary content (``looks_binary``); if ``max_bytes`` is given, at most so much
+    UTF-8 and a note."""
     plain = F.replace(_col(text), F.lit("\x00"), F.lit(""))
     if max_bytes is None:
-        return F.when(looks_binary(text), F.lit(BINARY_NOTE)).otherwise(plain)
+        return F.when(looks_binary(text, sample), F.lit(BINARY_NOTE)).otherwise(plain)
     head = F.substring(F.encode(plain, "UTF-8"), 1, max_bytes)
     whole = F.make_valid_utf8(head.cast("string"))
     # A character cut in two becomes one replacement mark at the end, which is dropped.
@@ -190,7 +161,7 @@ def clean_text(text, max_bytes: int | None = None) -> Column:
         F.regexp_replace(whole, "�$", "")
     )
     return (
-        F.when(looks_binary(text), F.lit(BINARY_NOTE))
+        F.when(looks_binary(text, sample), F.lit(BINARY_NOTE))
         .when(F.octet_length(plain) > max_bytes, F.concat(cut, F.lit(TRUNCATED_NOTE)))
         .otherwise(plain)
     )

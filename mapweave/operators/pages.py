@@ -14,9 +14,14 @@ from mapweave.functions.text import word_count
 from mapweave.session import materialize
 
 
-def clean_contents(contents: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """Cleaned html and text; a page whose html and text are both binary fails with nulls."""
-    cleaned = contents.withColumns({html_col: pg.clean_text(html_col), text_col: pg.clean_text(text_col)})
+def clean_contents(
+    contents: DataFrame, html_col: str = "html", text_col: str = "text", max_bytes: int | None = None, sample: int | None = None
+) -> DataFrame:
+    """Cleaned html and text; a page whose html and text are both binary fails with nulls.
+
+    ``max_bytes`` and ``sample`` are those of ``pages.clean_text``: whole texts are kept and judged unless they are given.
+    """
+    cleaned = contents.withColumns({c: pg.clean_text(c, max_bytes, sample) for c in (html_col, text_col)})
     binary = F.contains(html_col, F.lit("[Binary content")) & F.contains(text_col, F.lit("[Binary content"))
     binary = F.coalesce(binary, F.lit(False))
     return cleaned.select(

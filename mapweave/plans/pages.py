@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from mapweave.functions import htmltext, words
+from mapweave.functions import pageindex, words
 from mapweave.functions import pages as pg
 from mapweave.functions import text as tx
 from mapweave.operators import pages as ops
@@ -11,9 +11,28 @@ from mapweave.plans.registry import register
 from mapweave.plans.roles import with_roles
 
 
-@register("c1_clean_html")
+# What no reader of pages may take for markup: a comment, a script, quotes around ">".
+_COMMENT = ("<!-- <title>old</title><meta name='description' content='old'><script type='application/ld+json'>{\"id\": 0}</script>"
+            "<p><p><p><article><h1>old</h1></article> -->")
+_SCRIPT = "<script data-x=\"a > b\">var s = '<title>js</title><meta property=\"og:title\" content=\"js\"><article><p><p><p>';</script>"
+# Blocks that are taken out of a page, with tags that are left open, void elements and class names in any case.
+_FURNITURE = ("<NAV title='x > y' class='Top-Menu'><ul><li>menu<li>more <b>bold</ul><p>open</NAV><div class=\"big Popup\"><div>gone<br></div>"
+              "<img class='ad-1' src=x>also</div><hr class=comment><noscript>no <i>script</noscript>")
+
+
+def decoys(html="html"):
+    """Pages with such markup put in front of their head's and body's content."""
+    head = F.replace(F.col(html) if isinstance(html, str) else html, F.lit("<head>"), F.lit(f"<head>{_COMMENT}{_SCRIPT}"))
+    return F.replace(head, F.lit("<body>"), F.lit(f"<body>{_FURNITURE}"))
+
+
+@register(
+    "c1_clean_html",
+    """SELECT page_id, replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '<head>', '<head>%s')
+          AS html FROM pages""" % _COMMENT.replace("'", "''"),
+)
 def c1(t):
-    return t.pages.select("page_id", htmltext.clean_html("html").alias("html"))
+    return t.pages.select("page_id", pg.clean_html(decoys()).alias("html"))
 
 
 # The given pages hold no removed blocks besides scripts and styles, so their text is plain tag removal.
@@ -26,7 +45,7 @@ _TEXT_SQL = r"""SELECT page_id, html, trim(regexp_replace(array_to_string(list_f
 
 @register("c2_extract_text", f"SELECT page_id, text FROM ({_TEXT_SQL})")
 def c2(t):
-    return t.pages.select("page_id", htmltext.extract_text("html").alias("text"))
+    return t.pages.select("page_id", pg.extract_text(decoys()).alias("text"))
 
 
 def _unescape_sql(x):
@@ -67,21 +86,21 @@ def _content_sql(prefix):
         FROM ({_VARIANT_SQL})""",
 )
 def c3(t):
-    return variants(t).select("page_id", pg.title("html").alias("title"))
+    return variants(t).select("page_id", pg.title(decoys()).alias("title"))
 
 
 @register(
     "c4_meta_description",
-    f"""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN trim({_unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")})
+    f"""SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN 'a > b: ' || trim({_unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)")})
         END AS description FROM pages""",
 )
 def c4(t):
     kind = F.col("page_id") % 4
     pattern = "<title>([^<]*)</title>"
-    html = F.when(kind == 1, F.regexp_replace("html", pattern, '<meta name="description" content="$1"/>')).when(
-        kind == 2, F.regexp_replace("html", pattern, '<meta content="$1" property="og:description">')
+    html = F.when(kind == 1, F.regexp_replace("html", pattern, '<meta name="description" content="a > b: $1"/>')).when(
+        kind == 2, F.regexp_replace("html", pattern, "<META content='a > b: $1' property=og:description>")
     ).otherwise(F.col("html"))
-    return t.pages.select("page_id", pg.meta_description(html).alias("description"))
+    return t.pages.select("page_id", pg.meta_description(decoys(html)).alias("description"))
 
 
 @register(
@@ -97,24 +116,27 @@ def c5(t):
 
 @register(
     "c6_structured_data",
-    """SELECT page_id, 1::BIGINT AS n_json_ld, 'page ' || CAST(page_id AS VARCHAR) AS og_title, 'summary' AS twitter_card,
-          CAST(page_id AS VARCHAR) AS json_id FROM pages""",
+    """SELECT page_id, page_id % 3 AS n_json_ld, 'page ' || CAST(page_id AS VARCHAR) || ' > 0' AS og_title,
+          CASE WHEN page_id % 2 = 0 THEN 'summary ' || CAST(page_id % 7 AS VARCHAR) END AS twitter_card,
+          CASE WHEN page_id % 3 > 0 THEN CAST(page_id AS VARCHAR) END AS json_id FROM pages""",
 )
 def c6(t):
     number = F.col("page_id").cast("string")
+    script = F.concat(F.lit('<script type="application/ld+json">{"id": '), number, F.lit("}</script>"))
+    card = F.concat(F.lit("<meta name='twitter:card' content='summary "), (F.col("page_id") % 7).cast("string"), F.lit("'>"))
     block = F.concat(
-        F.lit('<head><meta property="og:title" content="page '), number,
-        F.lit('"><meta name="twitter:card" content="summary"><script type="application/ld+json">{"id": '), number,
-        F.lit('}</script><script type="application/ld+json">{broken</script>'),
+        F.lit('<head><meta property="og:title" content="first"><meta property="og:title" content="page '), number, F.lit(' > 0">'),
+        F.when(F.col("page_id") % 2 == 0, card).otherwise(F.lit("")), F.lit('<script type="application/ld+json">{broken</script>'),
+        F.repeat(script, (F.col("page_id") % 3).cast("int")),
     )
     html = F.replace(F.col("html"), F.lit("<head>"), block)
-    found = t.pages.select("page_id", pg.structured_data(html).alias("s"))
+    found = t.pages.select("page_id", pg.structured_data(decoys(html)).alias("s"))
     return found.select(
         "page_id",
         F.size("s.json_ld").cast("bigint").alias("n_json_ld"),
         F.col("s.open_graph")["og:title"].alias("og_title"),
         F.col("s.twitter_card")["twitter:card"].alias("twitter_card"),
-        F.get_json_object(F.col("s.json_ld")[0], "$.id").alias("json_id"),
+        F.get_json_object(F.get("s.json_ld", 0), "$.id").alias("json_id"),
     )
 
 
@@ -124,16 +146,18 @@ def c6(t):
           OR len(regexp_extract_all(html, '(?i)<p[\\s>]')) >= 3) AS by_markup FROM pages""",
 )
 def c7(t):
-    return t.pages.select("page_id", pg.is_content_page("html", "html", 4000).alias("by_markup"))
+    furniture_has = F.regexp_replace(decoys(), r"<p>open", "open")  # the block's own paragraph
+    return t.pages.select("page_id", pg.is_content_page(furniture_has, "html", 4000).alias("by_markup"))
 
 
 @register(
     "c7b_content_page_text",
-    f"""SELECT page_id, length(text) >= 500 AND (regexp_matches(html, '(?i)<(article|main)[\\s>]')
+    f"""SELECT page_id, text, length(text) >= 500 AND (regexp_matches(html, '(?i)<(article|main)[\\s>]')
           OR len(regexp_extract_all(html, '(?i)<p[\\s>]')) >= 3) AS is_content FROM ({_TEXT_SQL})""",
 )
 def c7b(t):
-    return t.pages.select("page_id", pg.is_content_page("html", htmltext.extract_text("html")).alias("is_content"))
+    found = t.pages.select("page_id", pageindex.read("html", "text", "paragraphs", "container").alias("p")).select("page_id", "p.*")
+    return found.select("page_id", "text", pg.has_content(F.length("text"), "paragraphs", "container").alias("is_content"))
 
 
 @register(
@@ -200,7 +224,9 @@ def c11(t):
     binary = F.col("doc_id") % 10 == 0
     body = F.when(binary, noise).otherwise(F.concat(F.lit("\x00"), "text"))
     rows = t.documents.select("doc_id", body.alias("html"), body.alias("text"), F.lit("success").alias("status"))
-    return ops.clean_contents(rows).select("doc_id", "status", F.md5("text").alias("text_hash"))
+    # the rule's own numbers: 900,000 bytes are stored, the first 1000 characters tell
+    found = ops.clean_contents(rows, max_bytes=900_000, sample=1000)
+    return found.select("doc_id", "status", F.md5("text").alias("text_hash"))
 
 
 _FETCHED_SQL = """SELECT u.url, CASE WHEN length(d.text) < 800 THEN 'failed' ELSE 'success' END AS status, 1 + d.doc_id % 2 AS depth,
