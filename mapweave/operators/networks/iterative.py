@@ -3,10 +3,14 @@ checkpoint folder, so lineage does not grow and a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mapweave.operators.networks.graph import Graph, both_ways
+from mapweave.operators.networks.graph import Graph
+from mapweave.operators.networks.rounds import Links, both_ways_numbered, component_labels, number_nodes
+from mapweave.operators.networks.searches import betweenness, closeness
 from mapweave.session import materialize
 
 
@@ -14,63 +18,14 @@ from mapweave.session import materialize
 MAX_STEPS = 1000
 
 
-def connected_components(graph: Graph, max_rounds: int = 50) -> DataFrame:
-    """(node_id, component): weak components, named by their smallest node id.
-
-    Alternates the two star steps of Kiveris et al. (2014): each node hands its larger neighbours, then its
-    smaller ones, to the smallest neighbour. O(log^2 n) rounds; every step is a grouped minimum and a join
-    with one row per node, so a hub's edges combine map-side and its join partition can be split by AQE.
-    """
-    pairs = graph.edges.filter(F.col("src") != F.col("dst")).select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    )
-    current = materialize(pairs.distinct())
-    mark = _fingerprint(current)
-    for _ in range(max_rounds):
-        previous = current
-        current = materialize(_small_star(_large_star(previous)), replaces=previous)
-        before, mark = mark, _fingerprint(current)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    labels = current.groupBy(F.col("u").alias("node_id")).agg(F.min("v").alias("component"))
-    return graph.nodes.select("node_id").join(labels, "node_id", "left").select(
-        "node_id", F.coalesce("component", "node_id").alias("component")
-    )
-
-
-def _fingerprint(pairs: DataFrame) -> tuple:
-    row = pairs.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))
-    ).first()
-    return tuple(row)
-
-
-def _large_star(pairs: DataFrame) -> DataFrame:
-    ways = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("u").alias("a"), F.col("v").alias("b")),
-                F.struct(F.col("v").alias("a"), F.col("u").alias("b")),
-            )
-        ).alias("p")
-    ).select("p.a", "p.b")
-    lowest = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (
-        ways.filter(F.col("b") > F.col("a"))
-        .join(lowest, "a")
-        .select(F.col("b").alias("u"), F.col("m").alias("v"))
-        .filter(F.col("u") != F.col("v"))
-        .distinct()
-    )
-
-
-def _small_star(pairs: DataFrame) -> DataFrame:
-    # Pairs are stored larger end first, so the smaller neighbours of u are exactly its v's.
-    lowest = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(lowest, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return moved.filter(F.col("u") != F.col("v")).distinct()
+def connected_components(graph: Graph) -> DataFrame:
+    """(node_id, component): weak components, named by their smallest node id."""
+    ids = number_nodes(graph.nodes)
+    labels = component_labels(both_ways_numbered(graph.edges, ids))
+    # numbers follow the order of node ids: the smallest number is that of the smallest id
+    names = ids.select(F.col("id").alias("label"), F.col("node_id").alias("component"))
+    found = labels.join(names, "label").select(F.col("node").alias("id"), "component")
+    return ids.join(found, "id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:
@@ -82,51 +37,12 @@ def is_two_colorable(graph: Graph) -> bool:
 
     Components of the double cover: a node and its mirror meet exactly when an odd cycle exists.
     """
-    plus = F.concat(F.lit("+"), F.col("src")), F.concat(F.lit("+"), F.col("dst"))
-    minus = F.concat(F.lit("-"), F.col("src")), F.concat(F.lit("-"), F.col("dst"))
-    cover = graph.edges.select(
-        F.explode(
-            F.array(
-                F.struct(plus[0].alias("src"), minus[1].alias("dst")),
-                F.struct(minus[0].alias("src"), plus[1].alias("dst")),
-            )
-        ).alias("e")
-    ).select("e.src", "e.dst")
-    nodes = cover.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    labels = connected_components(Graph(nodes, cover))
-    sides = labels.groupBy(F.expr("substring(node_id, 2)").alias("node"), "component").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return sides.filter(F.col("n") > 1).isEmpty()
-
-
-def shortest_paths(graph: Graph, max_levels: int = MAX_STEPS) -> tuple[DataFrame, int]:
-    """(source, node_id, d, paths) of all reachable pairs, level by level, and the number of levels.
-
-    ``paths`` counts the shortest paths. The table has one row per connected pair: use it on graphs that were
-    cut to a backbone or aggregated to domains first.
-    """
-    links = materialize(both_ways(graph.edges) if not graph.directed else graph.edges.select(
-        F.col("src").alias("node_id"), F.col("dst").alias("neighbor")))
-    start = graph.nodes.select(
-        F.col("node_id").alias("source"), "node_id", F.lit(0).alias("d"), F.lit(1.0).alias("paths")
-    )
-    levels = [materialize(start)]
-    while len(levels) <= max_levels:
-        # A neighbour of an undirected level lies in it, before it or after it; a directed edge may lead far back.
-        near = _union(levels if graph.directed else levels[-2:]).select("source", "node_id")
-        step = (
-            levels[-1].join(links, "node_id")
-            .groupBy("source", F.col("neighbor").alias("node_id"))
-            .agg(F.sum("paths").alias("paths"))
-            .join(near, ["source", "node_id"], "left_anti")
-            .select("source", "node_id", F.lit(len(levels)).alias("d"), "paths")
-        )
-        frontier = materialize(step)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    return _union(levels), len(levels) - 1
+    links = both_ways_numbered(graph.edges, number_nodes(graph.nodes), loops=True)
+    mirrored = F.array(F.struct((F.col("a") * 2).alias("a"), (F.col("b") * 2 + 1).alias("b")),
+                       F.struct((F.col("a") * 2 + 1).alias("a"), (F.col("b") * 2).alias("b")))
+    labels = component_labels(links.select(F.explode(mirrored).alias("e")).select("e.a", "e.b"))
+    sides = labels.groupBy(F.shiftright("node", 1).alias("of"), "label").agg(F.count(F.lit(1)).alias("n"))
+    return sides.filter("n > 1").isEmpty()
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -136,80 +52,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def closeness(graph: Graph, paths: DataFrame | None = None) -> DataFrame:
-    """Closeness with the component-size correction: (r-1)/sum(d) * (r-1)/(n-1), 0 for isolated nodes."""
-    table = paths if paths is not None else shortest_paths(graph)[0]
-    n = graph.nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # Distances run towards the node, as incoming distances do in a directed graph.
-    sums = table.groupBy("node_id").agg(F.sum("d").alias("total"), (F.count(F.lit(1)) - 1).alias("others"))
-    return sums.select(
-        "node_id",
-        F.coalesce(
-            F.try_divide(F.col("others") * 1.0, F.col("total")) * F.try_divide(F.col("others") * 1.0, n - 1),
-            F.lit(0.0),
-        ).alias("centrality"),
-    )
-
-
-def betweenness(graph: Graph, paths: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """Normalised betweenness by Brandes' accumulation, from the farthest level to the nearest.
+def eigenvector(graph: Graph, max_iter: int = 100, tol: float = 1e-6) -> DataFrame | None:
+    """Eigenvector centrality by power iteration on A + I, unweighted; None without convergence.
 
-    All sources advance together: each level is one join of a node's pairs with its edges.
+    A round is one action: its table holds the vector before and after normalising and the next raw vector, and what the
+    driver needs of it (its norm, and by how much the vector has changed) is observed while it is written.
     """
-    table, levels = paths if paths is not None else shortest_paths(graph)
-    links = both_ways(graph.edges) if not graph.directed else graph.edges.select(
-        F.col("src").alias("node_id"), F.col("dst").alias("neighbor"))
-    credit = None
-    done = []
-    for level in range(levels, 0, -1):
-        far = table.filter(F.col("d") == level)
-        if credit is None:
-            far = far.withColumn("delta", F.lit(0.0))
-        else:
-            far = far.join(credit, ["source", "node_id"], "left").na.fill(0.0, ["delta"])
-        share = far.select(
-            "source", F.col("node_id").alias("neighbor"), ((1.0 + F.col("delta")) / F.col("paths")).alias("share")
-        )
-        near = table.filter(F.col("d") == level - 1)
-        credit = materialize(
-            share.join(links, "neighbor")
-            .join(near.select("source", "node_id", "paths"), ["source", "node_id"])
-            .groupBy("source", "node_id")
-            .agg(F.sum(F.col("paths") * F.col("share")).alias("delta"))
-        )
-        done.append(credit)
-    n = graph.nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    scale = F.coalesce(F.try_divide(F.lit(1.0), (n - 1) * (n - 2)), F.lit(1.0))
-    if not done:
-        return graph.nodes.select("node_id", F.lit(0.0).alias("centrality"))
-    sums = _union(done).filter(F.col("source") != F.col("node_id")).groupBy("node_id").agg(F.sum("delta").alias("total"))
-    return graph.nodes.select("node_id").join(sums, "node_id", "left").select(
-        "node_id", (F.coalesce("total", F.lit(0.0)) * scale).alias("centrality")
-    )
-
-
-def eigenvector(graph: Graph, max_iter: int = 100, tol: float = 1e-6) -> DataFrame | None:
-    """Eigenvector centrality by power iteration on A + I, unweighted; None without convergence."""
-    n = graph.nodes.count()
+    ids = number_nodes(graph.nodes)
+    n = ids.count()
     if n == 0:
         return None
-    links = materialize(both_ways(graph.edges))
-    vector, raw = graph.nodes.select("node_id", F.lit(1.0 / n).alias("x")), None
-    for _ in range(max_iter):
-        pulled = links.join(
-            vector.withColumnRenamed("node_id", "neighbor"), "neighbor"
-        ).groupBy("node_id").agg(F.sum("x").alias("pull"))
-        raw = materialize(
-            vector.join(pulled, "node_id", "left").select(
-                "node_id", F.col("x").alias("old"), (F.col("x") + F.coalesce("pull", F.lit(0.0))).alias("y")
-            ),
-            replaces=raw,
-        )
-        norm = raw.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm")).first()["norm"] or 1.0
-        change = raw.agg(F.sum(F.abs(F.col("y") / norm - F.col("old"))).alias("c")).first()["c"]
-        vector = raw.select("node_id", (F.col("y") / norm).alias("x"))
-        if change < n * tol:
-            return vector.withColumnRenamed("x", "centrality")
+    links = Links(both_ways_numbered(graph.edges, ids))
+    raw, vector = None, ids.select(F.col("id").alias("node"), F.lit(None).cast("double").alias("before"), F.lit(1.0 / n).alias("x"))
+    for _ in range(max_iter + 1):
+        pulled = links.pull(vector, "x", F.sum)
+        seen = Observation()
+        step = vector.join(pulled, "node", "left").select(
+            "node", "before", "x", (F.col("x") + F.coalesce("pulled", F.lit(0.0))).alias("y"))
+        raw = materialize(step.observe(seen, F.sum(F.col("y") * F.col("y")).alias("square"),
+                                       F.sum(F.abs(F.col("x") - F.col("before"))).alias("change")), replaces=raw)
+        if seen.get["change"] is not None and seen.get["change"] < n * tol:
+            return ids.join(raw.select(F.col("node").alias("id"), "x"), "id").select("node_id", F.col("x").alias("centrality"))
+        vector = raw.select("node", F.col("x").alias("before"), (F.col("y") / (math.sqrt(seen.get["square"]) or 1.0)).alias("x"))
     return None
 
 

@@ -394,13 +394,11 @@ def h13(t):
     return metrics.degree_centrality(net(t)).withColumn("centrality", F.round("centrality", 9))
 
 
-def _bfs_sql(depth: int = 14) -> dict:
-    """Shortest path lengths and counts on the keyword network, one common table expression per level."""
+def _bfs_sql(edges: str = "edges", nodes: str = "kn", depth: int = 14) -> dict:
+    """Shortest path lengths and counts, one common table expression per level."""
     out = {
-        "kn": f"""SELECT DISTINCT {q.sanitized("'website_' || domain")} AS node_id FROM done
-                  UNION SELECT DISTINCT dst FROM edges""",
-        "ways": "SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges",
-        "r0": "SELECT node_id AS s, node_id AS v, 0 AS d, 1.0::DOUBLE AS p FROM kn",
+        "ways": f"SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges}",
+        "r0": f"SELECT node_id AS s, node_id AS v, 0 AS d, 1.0::DOUBLE AS p FROM {nodes}",
         "f0": "SELECT * FROM r0",
     }
     for k in range(1, depth + 1):
@@ -411,68 +409,82 @@ def _bfs_sql(depth: int = 14) -> dict:
     return out
 
 
-def _kw_sql(body: str, **more: str) -> str:
-    ctes = {**_keyword_sql("domain", 10), **more}
+def _credit_sql(nodes: str = "kn", depth: int = 14) -> dict:
+    """Brandes' accumulation over the levels of ``_bfs_sql``, from the farthest to the nearest."""
+    out = {f"c{depth + 1} AS MATERIALIZED": "SELECT s, v, 0.0::DOUBLE AS delta FROM paths LIMIT 0"}
+    for k in range(depth, 0, -1):
+        out[f"c{k} AS MATERIALIZED"] = f"""SELECT n.s, n.v, sum(n.p * (1 + coalesce(c.delta, 0)) / f.p) AS delta
+            FROM f{k} f LEFT JOIN c{k + 1} c ON c.s = f.s AND c.v = f.v JOIN ways w ON w.b = f.v
+            JOIN f{k - 1} n ON n.s = f.s AND n.v = w.a GROUP BY n.s, n.v"""
+    every = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(1, depth + 1))
+    return {**out, "dependency": f"SELECT v AS node_id, sum(delta) AS c FROM ({every}) WHERE s <> v GROUP BY v"}
+
+
+_KN = f"""SELECT DISTINCT {q.sanitized("'website_' || domain")} AS node_id FROM done UNION SELECT DISTINCT dst FROM edges"""
+
+
+def _kw_sql(body: str, top: int, **more: str) -> str:
+    ctes = {**_keyword_sql("domain", top), "kn": _KN, **more}
     return with_roles(*_KW_ROLES, **ctes, body=body).replace("AS MATERIALIZED AS (", "AS MATERIALIZED (")
 
 
-@register(
-    "h14_closeness",
-    _kw_sql("""SELECT v AS node_id, round(CASE WHEN count(*) = 1 THEN 0.0 ELSE
-                 ((count(*) - 1.0) / sum(d)) * ((count(*) - 1.0) / ((SELECT count(*) FROM kn) - 1)) END, 6) AS centrality
-               FROM paths GROUP BY v""", **_bfs_sql()),
-)
+#: The builder's own number of keywords for a site.
+KEYWORDS = 50
+
+
+def saved_keyword_net(t) -> Graph:
+    graph = keyword_net(t, KEYWORDS)
+    return Graph(materialize(graph.nodes), materialize(graph.edges))
+
+
+_CLOSENESS = """SELECT v AS node_id, round(CASE WHEN count(*) = 1 THEN 0.0 ELSE
+      ((count(*) - 1.0) / sum(d)) * ((count(*) - 1.0) / ((SELECT count(*) FROM {nodes}) - 1)) END, 6) AS centrality FROM paths GROUP BY v"""
+_BETWEENNESS = """SELECT n.node_id, round(coalesce(c, 0.0) / (((SELECT count(*) FROM {nodes}) - 1.0) * ((SELECT count(*) FROM {nodes}) - 2.0)), 6)
+      AS centrality FROM {nodes} n LEFT JOIN dependency USING (node_id)"""
+
+
+@register("h14_closeness", _kw_sql(_CLOSENESS.format(nodes="kn"), KEYWORDS, **_bfs_sql()))
 def h14(t):
-    graph = keyword_net(t, 10)
-    graph = Graph(materialize(graph.nodes), materialize(graph.edges))
-    return iterative.closeness(graph).withColumn("centrality", F.round("centrality", 6))
+    return iterative.closeness(saved_keyword_net(t)).withColumn("centrality", F.round("centrality", 6))
 
 
-@register(
-    "h15_betweenness",
-    _kw_sql("""SELECT kn.node_id, round(coalesce(sum(c), 0.0) / (((SELECT count(*) FROM kn) - 1.0)
-                 * ((SELECT count(*) FROM kn) - 2.0)), 6) AS centrality
-               FROM kn LEFT JOIN (
-                 SELECT a.v AS node_id, sum(a.p * b.p / st.p) AS c FROM paths a JOIN paths b ON a.v = b.s
-                 JOIN paths st ON st.s = a.s AND st.v = b.v AND st.d = a.d + b.d
-                 WHERE a.d > 0 AND b.d > 0 GROUP BY a.v) x ON kn.node_id = x.node_id GROUP BY kn.node_id""", **_bfs_sql()),
-)
+@register("h15_betweenness", _kw_sql(_BETWEENNESS.format(nodes="kn"), KEYWORDS, **_bfs_sql(), **_credit_sql()))
 def h15(t):
-    graph = keyword_net(t, 10)
-    graph = Graph(materialize(graph.nodes), materialize(graph.edges))
-    return iterative.betweenness(graph).withColumn("centrality", F.round("centrality", 6))
+    return iterative.betweenness(saved_keyword_net(t)).withColumn("centrality", F.round("centrality", 6))
 
 
-_POWER_SQL = {
-    "kn": f"""SELECT DISTINCT {q.sanitized("'website_' || domain")} AS node_id FROM done
-              UNION SELECT DISTINCT dst FROM edges""",
-    "ways": "SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges",
-    "power": """SELECT 0 AS i, node_id, 1.0::DOUBLE / (SELECT count(*) FROM kn) AS x FROM kn
+def _power_sql(edges: str, nodes: str) -> dict:
+    return {
+        "ways": f"SELECT src AS a, dst AS b FROM {edges} UNION ALL SELECT dst, src FROM {edges}",
+        "power": f"""SELECT 0 AS i, node_id, 1.0::DOUBLE / (SELECT count(*) FROM {nodes}) AS x FROM {nodes}
                 UNION ALL
                 SELECT i + 1, node_id, y / sqrt(sum(y * y) OVER ()) FROM (
                   SELECT min(i) AS i, node_id, sum(x) AS y FROM (
                     SELECT i, node_id, x FROM power WHERE i < 100
                     UNION ALL SELECT i, w.a, p.x FROM power p JOIN ways w ON w.b = p.node_id WHERE i < 100)
                   GROUP BY node_id)""",
-    "change": """SELECT a.i, sum(abs(a.x - b.x)) AS c FROM power a JOIN power b ON a.node_id = b.node_id AND b.i = a.i - 1
-                 GROUP BY a.i""",
-}
+        "change": """SELECT a.i, sum(abs(a.x - b.x)) AS c FROM power a JOIN power b ON a.node_id = b.node_id AND b.i = a.i - 1
+                     GROUP BY a.i""",
+    }
 
 
-@register(
-    "h16_eigenvector",
-    _kw_sql("""SELECT node_id, round(x, 6) AS centrality FROM power
-               WHERE i = (SELECT min(i) FROM change WHERE c < (SELECT count(*) FROM kn) * 1e-6)""", **_POWER_SQL),
-)
-def h16(t):
-    graph = keyword_net(t, 10)
-    graph = Graph(materialize(graph.nodes), materialize(graph.edges))
+_EIGENVECTOR = """SELECT node_id, round(x, 6) AS centrality FROM power
+    WHERE i = (SELECT min(i) FROM change WHERE c < (SELECT count(*) FROM {nodes}) * 1e-6)"""
+
+
+def _eigenvector(graph: Graph):
     found = iterative.eigenvector(graph)
     if found is None:
         found = graph.nodes.select("node_id", F.lit(None).cast("double").alias("centrality")).limit(0)
     return found.withColumn("centrality", F.round("centrality", 6))
 
 
+# The whole query-site network does not converge in the rule's 100 rounds: it has no result.
+@register("h16_eigenvector", _kw_sql(_EIGENVECTOR.format(nodes="kn"), KEYWORDS, **_power_sql("edges", "kn")))
+def h16(t):
+    return _eigenvector(saved_keyword_net(t))
+
+
 @register("h17_disparity_filter", net_sql("SELECT src, dst, round(weight, 6) AS weight, rank FROM kept", **_sig_sql()))
 def h17(t):
     return cut(t).edges.select("src", "dst", F.round("weight", 6).alias("weight"), "rank")
@@ -593,19 +605,9 @@ def h28(t):
     )
 
 
-_STRONG_PAIRS = {
-    **_PROJ_SQL,
-    "limitw": "SELECT avg(weight) * 1.3 AS w FROM proj",
-    "pe": "SELECT a AS src, b AS dst, weight FROM proj WHERE weight >= (SELECT w FROM limitw)",
-}
-
-
 def site_graph(t) -> Graph:
-    """Sites linked when they share clearly more queries than the average pair."""
-    pairs = materialize(metrics.project(net_saved(t), "website"))
-    limit = pairs.agg((F.avg("weight") * 1.3).alias("w")).scalar()
-    edges = materialize(pairs.filter(F.col("weight") >= limit).select(
-        F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
+    """Sites linked when they share a query."""
+    edges = materialize(metrics.project(net_saved(t), "website").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"))
     sites = t.search_results.select("domain").distinct()
     nodes = materialize(sites.select(
         build.node_identity(F.concat(F.lit("website_"), "domain")).alias("node_id"),
@@ -613,45 +615,63 @@ def site_graph(t) -> Graph:
     return Graph(nodes, edges)
 
 
+_SITE_SQL = {
+    **_PROJ_SQL,
+    "pe": "SELECT a AS src, b AS dst, weight FROM proj",
+    "sites": f"SELECT DISTINCT {_SITE} AS node_id FROM search_results",
+}
+
+
+@register("h14b_site_closeness", net_sql(_CLOSENESS.format(nodes="sites"), **_SITE_SQL, **_bfs_sql("pe", "sites", 6)).replace(
+    "AS MATERIALIZED AS (", "AS MATERIALIZED ("))
+def h14b(t):
+    return iterative.closeness(site_graph(t)).withColumn("centrality", F.round("centrality", 6))
+
+
+@register("h15b_site_betweenness", net_sql(
+    _BETWEENNESS.format(nodes="sites"), **_SITE_SQL, **_bfs_sql("pe", "sites", 6), **_credit_sql("sites", 6)).replace(
+    "AS MATERIALIZED AS (", "AS MATERIALIZED ("))
+def h15b(t):
+    return iterative.betweenness(site_graph(t)).withColumn("centrality", F.round("centrality", 6))
+
+
+@register("h16b_site_eigenvector", net_sql(_EIGENVECTOR.format(nodes="sites"), **_SITE_SQL, **_power_sql("pe", "sites")))
+def h16b(t):
+    return _eigenvector(site_graph(t))
+
+
 @register(
     "h29_clustering",
     net_sql("""SELECT n.node_id, coalesce(tri, 0) AS triangles,
                  round(CASE WHEN coalesce(d, 0) < 2 THEN 0.0 ELSE 2.0 * coalesce(tri, 0) / (d * (d - 1)) END, 6) AS clustering
-               FROM sites n LEFT JOIN (SELECT v, count(*) AS d FROM pw GROUP BY v) USING (v)
+               FROM (SELECT node_id, node_id AS v FROM sites) n LEFT JOIN (SELECT v, count(*) AS d FROM pw GROUP BY v) USING (v)
                LEFT JOIN (SELECT x.v, count(*) AS tri FROM pw x JOIN pw y ON x.v = y.v AND x.w < y.w
                  JOIN pw z ON z.v = x.w AND z.w = y.w GROUP BY x.v) USING (v)""",
-            **_STRONG_PAIRS, pw="SELECT src AS v, dst AS w FROM pe UNION ALL SELECT dst, src FROM pe",
-            sites=f"SELECT DISTINCT {_SITE} AS node_id, {_SITE} AS v FROM search_results"),
+            **_SITE_SQL, pw="SELECT src AS v, dst AS w FROM pe UNION ALL SELECT dst, src FROM pe"),
 )
 def h29(t):
     return metrics.clustering(site_graph(t)).withColumn("clustering", F.round("clustering", 6))
 
 
 def _follow_graph(t):
-    """Directed: a site to the site that most often follows it as the next result of a query."""
+    """Directed: a site to every site that follows it as the next result of a query."""
     current = t.search_results.select("query_id", "rank", F.col("domain").alias("src"))
     following = t.search_results.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("domain").alias("dst"))
-    steps = current.join(following, ["query_id", "rank"]).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    best = steps.filter("src <> dst").groupBy("src").agg(F.min_by("dst", F.struct(-F.col("n"), "dst")).alias("dst"))
-    edges = materialize(best)
+    edges = materialize(current.join(following, ["query_id", "rank"]).where("src <> dst").select("src", "dst").distinct())
     return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), edges
 
 
-@register(
-    "h29b_strong_components",
-    with_roles(
-        "search_results",
-        steps="""SELECT a.domain AS src, b.domain AS dst, count(*) AS n FROM search_results a JOIN search_results b
-                 ON a.query_id = b.query_id AND b.rank = a.rank + 1 WHERE a.domain <> b.domain GROUP BY ALL""",
-        best="""SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS rn FROM steps)
-                WHERE rn = 1""",
-        reach="SELECT src, dst FROM best UNION SELECT r.src, b.dst FROM reach r JOIN best b ON r.dst = b.src",
-        everyone="SELECT src AS node_id FROM best UNION SELECT dst FROM best",
-        body="""SELECT e.node_id, greatest(e.node_id, coalesce(max(f.dst), e.node_id)) AS component FROM everyone e
-                LEFT JOIN (SELECT x.src, x.dst FROM reach x JOIN reach y ON x.src = y.dst AND x.dst = y.src) f
-                  ON f.src = e.node_id GROUP BY e.node_id""",
-    ),
-)
+_FOLLOW_SQL = {
+    "steps": """SELECT DISTINCT a.domain AS src, b.domain AS dst FROM search_results a JOIN search_results b
+                ON a.query_id = b.query_id AND b.rank = a.rank + 1 WHERE a.domain <> b.domain""",
+    "reach": "SELECT src, dst FROM steps UNION SELECT r.src, b.dst FROM reach r JOIN steps b ON r.dst = b.src",
+    "everyone": "SELECT src AS node_id FROM steps UNION SELECT dst FROM steps",
+}
+_STRONG = """SELECT e.node_id, greatest(e.node_id, coalesce(max(f.dst), e.node_id)) AS component FROM everyone e
+    LEFT JOIN (SELECT x.src, x.dst FROM reach x JOIN reach y ON x.src = y.dst AND x.dst = y.src) f ON f.src = e.node_id GROUP BY e.node_id"""
+
+
+@register("h29b_strong_components", with_roles("search_results", **_FOLLOW_SQL, body=_STRONG))
 def h29b(t):
     return iterative.strong_components(*_follow_graph(t))
 

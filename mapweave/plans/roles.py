@@ -21,7 +21,7 @@ BASE_TABLES = (
 )
 
 #: Roles that most queries read, some of them several times: written once for a session and folder of tables.
-WRITTEN_ONCE = ("search_results", "session_results")
+WRITTEN_ONCE = ("search_results", "session_results", "extracted_keywords")
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -42,7 +42,7 @@ class Tables:
             elif name in WRITTEN_ONCE:
                 place = (self.spark.sparkContext.applicationId, self.sf_dir, name)
                 if place not in _WRITTEN:
-                    _WRITTEN[place] = materialize(ROLES[name](self))
+                    _WRITTEN[place] = materialize(ROLES[name](self), keep=True)
                 self._seen[name] = _WRITTEN[place]
             elif name in ROLES:
                 self._seen[name] = ROLES[name](self)

@@ -68,13 +68,21 @@ def run_folder(spark: SparkSession) -> str:
     return _RUNS[name]
 
 
+#: Names of the bucketed tables, by their paths.
+_TABLES: dict[str, str] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     with suppress(Exception):  # the JVM may be gone by then
+        for name in _TABLES.values():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         _remove(spark, path)
 
 
@@ -103,16 +111,32 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove_tables(spark, paths)
 
 
-def materialize(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def materialize_bucketed(df: DataFrame, column: str) -> DataFrame:
+    """``materialize`` as a table that is bucketed and sorted by ``column``: joins on it don't move its rows again."""
+    spark = df.sparkSession
+    name = f"mapweave_{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    _TABLES[path] = name
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).sortBy(column).option("path", path).saveAsTable(name)
+    saved = spark.table(name)
+    saved._mapweave_path = path
+    return saved
+
+
+def materialize(df: DataFrame, replaces: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     A written table cuts the lineage, survives the loss of executors, is computed
     once and keeps column pruning for its readers. ``replaces`` names the table of
-    an earlier round that nothing reads any more; its files are removed.
+    an earlier round that nothing reads any more; its files are removed. ``keep``: until the application ends, also
+    inside ``scratch`` or ``recorded``.
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-    if _OPEN:
+    if _OPEN and not keep:
         _OPEN[-1].append(path)
     df.write.parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)

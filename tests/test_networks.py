@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mapweave.operators.networks import backbone, build, filters, iterative, job, metrics, style
+from mapweave.operators.networks import backbone, build, filters, iterative, job, metrics, searches, style
 from mapweave.operators.networks.graph import Graph
 from mapweave.operators.networks.overlap import QueryOverlap
 from mapweave.sources import exports, gexf
@@ -116,6 +116,15 @@ def test_components(spark, edges):
     assert got == {n: min(reach[n][0]) for n in names}
 
 
+def test_components_of_hubs_and_shuffled_chains(spark):
+    rng = np.random.default_rng(4)
+    order = [f"c{i:04d}" for i in rng.permutation(400)]
+    chain = list(zip(order, order[1:], strict=False))
+    edges = chain + [("hub", f"leaf{i:04d}") for i in range(1500)] + [("leaf0003", order[200]), ("x", "x")]
+    got = {r["node_id"]: r["component"] for r in iterative.connected_components(make(spark, edges)).collect()}
+    assert got.pop("x") == "x" and set(got.values()) == {"c0000"} and len(got) == 400 + 1501
+
+
 def test_two_coloring(spark):
     assert not iterative.is_two_colorable(make(spark, RING_AND_TAIL))
     assert iterative.is_two_colorable(make(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]))
@@ -126,13 +135,12 @@ def test_closeness_and_betweenness_against_brute_force(spark):
     graph = make(spark, edges, extra_nodes=["alone"])
     names = [r["node_id"] for r in graph.nodes.collect()]
     n, table = len(names), distances(names, edges)
-    paths = iterative.shortest_paths(graph)
-    near = {r["node_id"]: r["centrality"] for r in iterative.closeness(graph, paths[0]).collect()}
+    near = {r["node_id"]: r["centrality"] for r in iterative.closeness(graph).collect()}
     for v in names:
         d = table[v][0]
         r = len(d) - 1
         assert near[v] == pytest.approx((r / sum(d.values())) * (r / (n - 1)) if r else 0.0)
-    between = {r["node_id"]: r["centrality"] for r in iterative.betweenness(graph, paths).collect()}
+    between = {r["node_id"]: r["centrality"] for r in iterative.betweenness(graph).collect()}
     for v in names:
         total = 0.0
         for s, t in itertools.permutations([x for x in names if x != v], 2):
@@ -142,6 +150,61 @@ def test_closeness_and_betweenness_against_brute_force(spark):
         assert between[v] == pytest.approx(total / ((n - 1) * (n - 2)))
 
 
+def brute_force(names, edges, directed):
+    """Closeness and betweenness by a search from every node."""
+    table = {v: [{v: 0}, {v: 1}] for v in names}
+    out = {v: [] for v in names}
+    for a, b in set(edges):
+        out[a].append(b)
+        if not directed:
+            out[b].append(a)
+    for s in names:
+        dist, count, layer = table[s][0], table[s][1], [s]
+        while layer:
+            nxt = []
+            for v in layer:
+                for w in set(out[v]):
+                    if w not in dist:
+                        dist[w], count[w] = dist[v] + 1, 0
+                        nxt.append(w)
+                    if dist[w] == dist[v] + 1:
+                        count[w] += count[v]
+            layer = nxt
+    n, near, between = len(names), {}, dict.fromkeys(names, 0.0)
+    for v in names:
+        far = [table[s][0][v] for s in names if v in table[s][0] and s != v]
+        near[v] = (len(far) / sum(far)) * (len(far) / (n - 1)) if far else 0.0
+    for s in names:
+        ds, ps = table[s]
+        for t in ds:
+            for v in ds:
+                if len({s, t, v}) == 3 and t in table[v][0] and ds[v] + table[v][0][t] == ds[t]:
+                    between[v] += ps[v] * table[v][1][t] / ps[t] / ((n - 1) * (n - 2))
+    return near, between
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_searches_of_many_sources_in_batches(spark, directed):
+    rng = np.random.default_rng(8)
+    names = [f"n{i:03d}" for i in range(90)]  # more than the bits of a word
+    edges = sorted({(names[a], names[b]) for a, b in rng.integers(0, 80, (110, 2)) if a < b} | {(names[i], names[80]) for i in range(0, 60, 3)})
+    graph = make(spark, edges, directed=directed, extra_nodes=names)
+    near, between = brute_force(names, edges, directed)
+    assert {r["node_id"]: r["centrality"] for r in iterative.closeness(graph, batch=40).collect()} == pytest.approx(near)
+    assert {r["node_id"]: r["centrality"] for r in iterative.betweenness(graph, batch=40).collect()} == pytest.approx(between)
+    assert {r["node_id"]: r["centrality"] for r in iterative.betweenness(graph, sources=500).collect()} == pytest.approx(between)
+
+
+def test_sampled_betweenness_is_near(spark):
+    rng = np.random.default_rng(3)
+    names = [f"n{i:03d}" for i in range(150)]
+    edges = sorted({(names[min(a, b)], names[max(a, b)]) for a, b in rng.integers(0, 150, (400, 2)) if a != b})
+    between = brute_force(names, edges, False)[1]
+    found = {r["node_id"]: r["centrality"] for r in iterative.betweenness(make(spark, edges, extra_nodes=names), sources=75, seed=2).collect()}
+    assert max(abs(found[v] - between[v]) for v in names) < 0.1
+    assert searches.sources_for(0.1) == 185
+
+
 def test_eigenvector_against_numpy(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
     graph = make(spark, edges)
@@ -167,6 +230,16 @@ def test_strong_components(spark):
 def test_clustering_and_projection(spark):
     rows = {r["node_id"]: (r["triangles"], r["clustering"]) for r in metrics.clustering(make(spark, RING_AND_TAIL)).collect()}
     assert rows["a"] == (1, 1.0) and rows["c"] == (1, pytest.approx(1 / 3)) and rows["e"] == (0, 0.0)
+    rng = np.random.default_rng(11)
+    dense = sorted({(f"v{min(a, b):03d}", f"v{max(a, b):03d}") for a, b in rng.integers(0, 130, (2500, 2)) if a != b})
+    near = {}
+    for a, b in dense:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {v: sum(len(near[v] & near[w]) for w in near[v]) // 2 for v in near}
+    got = metrics.clustering(make(spark, dense, extra_nodes=["lonely"])).collect()
+    assert {r["node_id"]: r["triangles"] for r in got} == want | {"lonely": 0}
+    assert all(r["clustering"] == pytest.approx(2 * want[r["node_id"]] / (len(near[r["node_id"]]) * (len(near[r["node_id"]]) - 1))) for r in got if r["node_id"] in near)
     types = {"q1": "query", "q2": "query", "s1": "website", "s2": "website", "s3": "website"}
     graph = make(spark, [("q1", "s1"), ("q1", "s2"), ("q2", "s1"), ("q2", "s2"), ("q2", "s3")], types=types)
     for chunk in (1, 2, 2000):
