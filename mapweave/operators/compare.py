@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 import pandas as pd
@@ -290,7 +291,8 @@ def compare(
     if kind in ("full", "urls"):
         report["urls"] = set_overlap(results, ids, "url")
     if kind in ("full", "domains"):
-        report["domains"] = domain_sets(results, ids)
+        report["domains"] = set_overlap(results, ids, "domain")
+        report["domain_sets"] = domain_sets(results, ids)
         report["domain_profile"] = domain_profile(results, ids)
     if kind in ("full", "rankings"):
         report["rankings"] = rank_volatility(results, ids)
@@ -302,3 +304,26 @@ def compare(
         pairs = session_contents(results, content_urls, ids)
         report["discourse"] = discourse(pairs, keywords, mentions, len(ids))
     return report
+
+
+def long_report(report: dict[str, DataFrame]) -> DataFrame:
+    """All sections of a report as (section, metric, label, value)."""
+
+    def unpivoted(df: DataFrame, label: Column, names: Sequence[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select(label.alias("label"), F.explode(pairs).alias("p")).select("p.metric", "label", "p.value")
+
+    session = F.col("session_id").cast("string")
+    shape = {
+        "urls": lambda df: df, "domains": lambda df: df,
+        "domain_sets": lambda df: df.select(F.col("kind").alias("metric"), F.col("domain").alias("label"), F.col("n_results").alias("value")),
+        "domain_profile": lambda df: unpivoted(df, session, ("n_domains", "n_results", "entropy")),
+        "rankings": lambda df: unpivoted(df, F.col("url"), ("appearances", "best", "worst", "volatility")),
+        "spheres": lambda df: df.select(F.col("sphere").alias("metric"), session.alias("label"), F.col("n_results").alias("value")),
+        "discourse": lambda df: df.select(
+            F.concat("kind", F.when(F.col("is_shared"), F.lit(" shared")).otherwise(F.lit(""))).alias("metric"),
+            F.concat_ws(" ", session, F.col("position").cast("string"), "term").alias("label"), F.col("weight").alias("value")),
+    }
+    parts = [shape[name](df).select(F.lit(name).alias("section"), "metric", "label", F.col("value").cast("double").alias("value"))
+             for name, df in report.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -196,24 +196,43 @@ def i9(t):
     return ops.discourse(pairs, t.extracted_keywords, t.mentions, len(IDS))
 
 
+def _section(name: str, rows: str) -> str:
+    return f"SELECT '{name}' AS section, metric, label, CAST(value AS DOUBLE) AS value FROM ({rows})"
+
+
+_SPHERES_SQL = f"""SELECT sphere AS metric, CAST(session_id AS VARCHAR) AS label, count(*) AS value FROM (SELECT session_id,
+    {q.sphere_case("url", "sphere")} AS sphere FROM chosen) GROUP BY ALL"""
+_PROFILE_SQL = """SELECT unnest(['n_domains', 'n_results', 'entropy']) AS metric, CAST(session_id AS VARCHAR) AS label,
+    unnest([CAST(count(*) AS DOUBLE), sum(c), round(-sum(p * log2(p)), 3)]) AS value FROM (SELECT *, c / sum(c) OVER (PARTITION BY session_id) AS p
+      FROM (SELECT session_id, domain, count(*) AS c FROM chosen GROUP BY ALL)) GROUP BY session_id"""
+_SETS_SQL = """SELECT CASE count(DISTINCT session_id) WHEN 3 THEN 'common' WHEN 1 THEN 'unique' ELSE 'shared' END AS metric, domain AS label,
+    count(*) AS value FROM chosen GROUP BY domain"""
+_VOLATILE_SQL = """SELECT unnest(['appearances', 'best', 'worst', 'volatility']) AS metric, url AS label, unnest([n, lo, hi, hi - lo]) AS value
+    FROM (SELECT url, count(*) AS n, min(rank) AS lo, max(rank) AS hi FROM chosen GROUP BY url HAVING count(*) > 1
+          ORDER BY max(rank) - min(rank) DESC, url LIMIT 10)"""
+_TALK_SQL = """SELECT kind || CASE WHEN count(*) OVER (PARTITION BY kind, term) = 3 THEN ' shared' ELSE '' END AS metric,
+    CAST(session_id AS VARCHAR) || ' ' || CAST(position AS VARCHAR) || ' ' || term AS label, weight AS value FROM best"""
+
+
+def _overlap_part(item: str) -> tuple[str, str]:
+    """The statement of ``overlap_sql`` as its common table expressions, named for the item, and its body."""
+    ctes, body = overlap_sql(item).split("\nSELECT 'size'", 1)
+    return ctes, "SELECT 'size'" + body
+
+
+_URL_CTES, _URL_BODY = _overlap_part("url")
+_DOMAIN_CTES, _DOMAIN_BODY = _overlap_part("domain")
+
+
 @register(
     "i10_comparison_report",
-    overlap_sql("url").replace("\nSELECT 'size'", "\nSELECT 'urls' AS section, * FROM (SELECT 'size'", 1)
-    + ") UNION ALL SELECT 'spheres', sphere, CAST(session_id AS VARCHAR), CAST(count(*) AS DOUBLE) FROM (SELECT session_id, "
-    + q.sphere_case("url", "sphere")
-    + """ AS sphere FROM session_results WHERE session_id IN (1, 2, 3)) GROUP BY ALL
-      UNION ALL SELECT 'domains', 'n_domains', CAST(session_id AS VARCHAR), CAST(count(DISTINCT domain) AS DOUBLE)
-      FROM session_results WHERE session_id IN (1, 2, 3) GROUP BY session_id""",
+    with_roles("session_results", "content_urls", "extracted_keywords", "mentions", **_DISCOURSE_SQL,
+               chosen="SELECT * FROM session_results WHERE session_id IN (1, 2, 3)",
+               body=" UNION ALL ".join([
+                   f"SELECT 'urls' AS section, * FROM ({_URL_CTES}\n{_URL_BODY})",
+                   f"SELECT 'domains' AS section, * FROM ({_DOMAIN_CTES}\n{_DOMAIN_BODY})",
+                   _section("domain_sets", _SETS_SQL), _section("domain_profile", _PROFILE_SQL), _section("rankings", _VOLATILE_SQL),
+                   _section("spheres", _SPHERES_SQL), _section("discourse", _TALK_SQL)])),
 )
 def i10(t):
-    report = ops.compare(t.session_results, IDS, "full")
-    rows = report["urls"].select(F.lit("urls").alias("section"), "metric", "label", "value")
-    spheres = report["spheres"].select(
-        F.lit("spheres").alias("section"), F.col("sphere").alias("metric"),
-        F.col("session_id").cast("string").alias("label"), F.col("n_results").cast("double").alias("value"),
-    )
-    domains = report["domain_profile"].select(
-        F.lit("domains").alias("section"), F.lit("n_domains").alias("metric"),
-        F.col("session_id").cast("string").alias("label"), F.col("n_domains").cast("double").alias("value"),
-    )
-    return rows.unionByName(spheres).unionByName(domains)
+    return ops.long_report(ops.compare(t.session_results, IDS, "full", t.content_urls, t.extracted_keywords, t.mentions))

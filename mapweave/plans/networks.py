@@ -205,6 +205,30 @@ def h4(t):
     )
 
 
+@register(
+    "h4b_top_keywords",
+    with_roles(*_KW_ROLES, **_keyword_sql("domain", 20),
+               body="""SELECT dst AS node_id, min(lemma) AS label, count(*) AS degree, round(avg(weight), 6) AS avg_weight
+                       FROM edges GROUP BY dst ORDER BY degree DESC, dst LIMIT 20"""),
+)
+def h4b(t):
+    return metrics.top_nodes(keyword_net(t), "keyword", 20).select(
+        "node_id", "label", "degree", F.round("avg_weight", 6).alias("avg_weight")
+    )
+
+
+@register(
+    "h4c_top_entities",
+    with_roles(*_ENT_ROLES, **_ENTITY_SQL,
+               body="""SELECT dst AS node_id, min(text) AS label, min(label) AS category, count(*) AS degree,
+                         round(avg(weight), 6) AS avg_weight FROM edges GROUP BY dst ORDER BY degree DESC, dst LIMIT 20"""),
+)
+def h4c(t):
+    return metrics.top_nodes(entity_net(t), "entity", 20).select(
+        "node_id", "label", "category", "degree", F.round("avg_weight", 6).alias("avg_weight")
+    )
+
+
 @register(
     "h5_entity_label_counts",
     with_roles(*_ENT_ROLES, **_ENTITY_SQL,

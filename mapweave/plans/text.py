@@ -1,5 +1,8 @@
 """Text analytics queries: tokens, term weights, keywords, entities and their aggregates."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
@@ -248,11 +251,27 @@ def g11(t):
     return keywords.rake_keywords(t.documents)
 
 
+def _tagged_sql(tags: str, kind: str) -> dict:
+    """Keywords of parts of speech, ranked, as common table expressions with names of their own."""
+    return {
+        f"{kind}_lem": f"SELECT doc_id, lemma, count(*) AS frequency FROM tokens WHERE upos IN ({tags}) AND NOT is_stop GROUP BY ALL",
+        f"{kind}_all": f"""SELECT doc_id, lemma AS keyword, frequency / n_terms * (ln(((SELECT count(DISTINCT doc_id) FROM tokens) + 1.0)
+                 / (df + 1.0)) + 1.0) AS score FROM {kind}_lem JOIN (SELECT lemma, count(*) AS df FROM {kind}_lem GROUP BY lemma) USING (lemma)
+               JOIN (SELECT doc_id, sum(frequency) AS n_terms FROM {kind}_lem GROUP BY doc_id) USING (doc_id)
+               WHERE length(lemma) >= 2 AND frequency >= 2""",
+    }
+
+
+def _ranked_sql(kind: str) -> str:
+    return f"""SELECT doc_id, keyword, round(score, 6) AS score, '{kind}' AS extraction_method,
+        row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS position FROM {kind}_all"""
+
+
 @register(
     "g12_keyword_methods",
     with_roles(
-        "doc_tfidf", **_rake_ctes(),
-        body="""SELECT * FROM (
+        "doc_tfidf", tokens=_TOKENS_SQL, **_rake_ctes(), **_tagged_sql("'NOUN'", "noun"), **_tagged_sql("'NOUN', 'VERB', 'ADJ'", "all_pos"),
+        body=f"""SELECT * FROM ({_ranked_sql("noun")} UNION ALL {_ranked_sql("all_pos")} UNION ALL
                   SELECT doc_id, term AS keyword, round(tfidf, 6) AS score, 'tfidf' AS extraction_method,
                     row_number() OVER (PARTITION BY doc_id ORDER BY tfidf DESC, term) AS position FROM doc_tfidf
                   UNION ALL
@@ -262,8 +281,9 @@ def g11(t):
     ),
 )
 def g12(t):
-    found = [keywords.extract_keywords(t.documents, m, max_keywords=5) for m in ("tfidf", "rake")]
-    return found[0].unionByName(found[1]).withColumn("score", F.round("score", 6))
+    tagged = _tokens(t)
+    found = [keywords.extract_keywords(t.documents, m, tagged, max_keywords=5) for m in keywords.METHODS]
+    return reduce(DataFrame.unionByName, found).withColumn("score", F.round("score", 6))
 
 
 @register(
