@@ -10,7 +10,7 @@ from mapweave.operators.networks.overlap import QueryOverlap
 from mapweave.plans import sqlkit as q
 from mapweave.plans.registry import register
 from mapweave.plans.roles import with_roles
-from mapweave.session import checkpoint_root, materialize
+from mapweave.session import materialize, run_folder
 
 # -- the query-website network as SQL ----------------------------------------------------------
 
@@ -720,7 +720,7 @@ def h30(t):
                  round((SELECT count(*) FROM kept) / (SELECT count(*) FROM edges), 6) AS edge_retention_rate""", **CUT_SQL),
 )
 def h31(t):
-    path = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
+    path = f"{run_folder(t.spark)}/exports-{uuid.uuid4().hex}"
     row = job.run_network_job(
         net(t), "issue map", "search_website", (1, 2, 3, 4, 5), path, algorithm="disparity_filter", alpha=ALPHA
     )

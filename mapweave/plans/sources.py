@@ -4,13 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from mapweave.operators.networks import style
+from mapweave.operators.networks import metrics, style
 from mapweave.operators.networks.graph import Graph
 from mapweave.plans import sqlkit as q
 from mapweave.plans.networks import CUT_SQL, cut, cut_saved, net_sql
 from mapweave.plans.registry import register
 from mapweave.plans.roles import with_roles
-from mapweave.session import checkpoint_root
+from mapweave.session import materialize, run_folder
 from mapweave.sources import bulk, bulk_write, exports, gexf, payloads
 
 @register(
@@ -178,17 +178,18 @@ def a6(t):
     return exports.edge_rows(cut(t)).withColumn("Weight", F.round("Weight", 6))
 
 
-def _slim(graph: Graph) -> Graph:
-    """The attributes whose text form is the same in every engine."""
-    return Graph(
+def _fixed(graph: Graph) -> Graph:
+    """All attributes of edges, and those of nodes that a query network has; weights with six digits."""
+    return exports.fixed_digits(Graph(
         graph.nodes.select("node_id", "node_type", "label", "domain"),
-        graph.edges.select("src", "dst", "rank", "n_results"),
-    )
+        graph.edges.select("src", "dst", "weight", "rank", "n_results"),
+    ))
 
 
 _SLIM_SQL = {
     **CUT_SQL,
-    "ke": """SELECT e.src, e.dst, e.rank, e.n_results FROM edges e JOIN kept k ON e.src = k.src AND e.dst = k.dst""",
+    "ke": """SELECT e.src, e.dst, e.rank, e.n_results, printf('%.6f', e.weight) AS weight
+             FROM edges e JOIN kept k ON e.src = k.src AND e.dst = k.dst""",
     "kn": """SELECT node_id, node_type, label, CASE WHEN node_type = 'website' THEN label END AS domain FROM nodes
              WHERE node_id IN (SELECT node_id FROM kept_nodes)""",
 }
@@ -196,22 +197,25 @@ _SLIM_SQL = {
 
 @register(
     "a7_edge_list",
-    net_sql("""SELECT src || chr(9) || dst || chr(9) || '{"rank":' || rank || ',"n_results":' || n_results || '}' AS line
+    net_sql("""SELECT src || chr(9) || dst || chr(9) || '{"weight":' || weight || ',"rank":' || rank || ',"n_results":' || n_results || '}' AS line
                FROM ke""", **_SLIM_SQL),
 )
 def a7(t):
-    return exports.edge_list_lines(_slim(cut(t)))
+    return exports.edge_list_lines(_fixed(cut(t)))
 
 
 @register(
     "a8_node_link_json",
-    net_sql("""SELECT '{"kind":"node","id":"' || node_id || '","node_type":"' || node_type || '","label":"' || label || '"' ||
-                 CASE WHEN domain IS NULL THEN '' ELSE ',"domain":"' || domain || '"' END || '}' AS line FROM kn
-               UNION ALL SELECT '{"kind":"link","source":"' || src || '","target":"' || dst || '","rank":' || rank ||
+    net_sql("""SELECT unnest(['{"directed": false, "multigraph": false, "graph": {}, "nodes": [', '], "links": [', ']}']) AS line
+               UNION ALL SELECT CASE WHEN node_id = (SELECT min(node_id) FROM kn) THEN '' ELSE ',' END || '{"id":"' || node_id ||
+                 '","node_type":"' || node_type || '","label":"' || label || '"' ||
+                 CASE WHEN domain IS NULL THEN '' ELSE ',"domain":"' || domain || '"' END || '}' FROM kn
+               UNION ALL SELECT CASE WHEN src || chr(9) || dst = (SELECT min(src || chr(9) || dst) FROM ke) THEN '' ELSE ',' END ||
+                 '{"source":"' || src || '","target":"' || dst || '","weight":' || weight || ',"rank":' || rank ||
                  ',"n_results":' || n_results || '}' FROM ke""", **_SLIM_SQL),
 )
 def a8(t):
-    return exports.json_lines(_slim(cut(t))).select("line")
+    return exports.json_lines(_fixed(cut(t))).select("line")
 
 
 def _xml_header(lines):
@@ -234,11 +238,11 @@ def _xml_header(lines):
         + """ UNION ALL SELECT '<node id="' || node_id || '" label="' || label || '"><attvalues><attvalue for="0" value="' ||
                  node_type || '" />' || CASE WHEN domain IS NULL THEN '' ELSE '<attvalue for="1" value="' || domain || '" />' END
                  || '</attvalues></node>' FROM kn
-              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><attvalues><attvalue for="0" value="' || rank
+              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '" weight="' || weight || '"><attvalues><attvalue for="0" value="' || rank
                  || '" /><attvalue for="1" value="' || n_results || '" /></attvalues></edge>' FROM ke""", **_SLIM_SQL),
 )
 def a9(t):
-    return exports.gexf_lines(_slim(cut(t))).select("line")
+    return exports.gexf_lines(_fixed(cut(t))).select("line")
 
 
 @register("a9b_gexf_visual")
@@ -254,17 +258,18 @@ def a9b(t):
             '<key id="n0" for="node" attr.name="node_type" attr.type="string" />',
             '<key id="n1" for="node" attr.name="label" attr.type="string" />',
             '<key id="n2" for="node" attr.name="domain" attr.type="string" />',
-            '<key id="e0" for="edge" attr.name="rank" attr.type="long" />',
-            '<key id="e1" for="edge" attr.name="n_results" attr.type="long" />',
+            '<key id="e0" for="edge" attr.name="weight" attr.type="double" />',
+            '<key id="e1" for="edge" attr.name="rank" attr.type="long" />',
+            '<key id="e2" for="edge" attr.name="n_results" attr.type="long" />',
             '<graph edgedefault="undirected">', "</graph>", "</graphml>",
         ])
         + """ UNION ALL SELECT '<node id="' || node_id || '"><data key="n0">' || node_type || '</data><data key="n1">' || label ||
                  '</data>' || CASE WHEN domain IS NULL THEN '' ELSE '<data key="n2">' || domain || '</data>' END || '</node>' FROM kn
-              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="e0">' || rank ||
-                 '</data><data key="e1">' || n_results || '</data></edge>' FROM ke""", **_SLIM_SQL),
+              UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="e0">' || weight ||
+                 '</data><data key="e1">' || rank || '</data><data key="e2">' || n_results || '</data></edge>' FROM ke""", **_SLIM_SQL),
 )
 def a10(t):
-    return exports.graphml_lines(_slim(cut(t))).select("line")
+    return exports.graphml_lines(_fixed(cut(t))).select("line")
 
 
 @register(
@@ -272,35 +277,36 @@ def a10(t):
     net_sql("""SELECT unnest(['csv', 'edgelist', 'gexf', 'graphml', 'json']) AS format,
                  unnest([(SELECT count(*) FROM kept), (SELECT count(*) FROM kept),
                    (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 11,
-                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 10,
-                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes)]) AS n_lines""", **_SLIM_SQL),
+                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 11,
+                   (SELECT count(*) FROM kept) + (SELECT count(*) FROM kept_nodes) + 3]) AS n_lines""", **_SLIM_SQL),
 )
 def a11(t):
-    """Writes the graph in every format to the shared folder and counts the lines that came out."""
-    saved = cut_saved(t)
-    graph = Graph(saved.nodes.withColumn("domain", F.lit(None).cast("string")),
-                  saved.edges.withColumns({"rank": F.lit(1), "n_results": F.lit(1)}))
-    folder = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
+    """Writes the graph in every format to the run's folder and counts the lines that came out."""
+    saved = cut(t)
+    graph = Graph(materialize(saved.nodes), materialize(saved.edges))
+    folder = f"{run_folder(t.spark)}/exports-{uuid.uuid4().hex}"
     counts = None
     for fmt in sorted(exports.FORMATS):
-        exports.export_graph(_slim(graph), f"{folder}/{fmt}", fmt)
+        exports.export_graph(_fixed(graph), f"{folder}/{fmt}", fmt)
         rows = t.spark.read.option("header", True).csv(f"{folder}/{fmt}") if fmt == "csv" else t.spark.read.text(f"{folder}/{fmt}")
         one = rows.agg(F.count(F.lit(1)).alias("n_lines")).select(F.lit(fmt).alias("format"), "n_lines")
         counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
+def _written_gexf(t) -> str:
+    path = f"{run_folder(t.spark)}/exports-{uuid.uuid4().hex}/graph.gexf"
+    exports.export_graph(_fixed(cut(t)), path, "gexf")
+    return path
+
+
 @register(
     "a12_read_gexf",
     net_sql("""SELECT 'node' AS kind, node_id AS a, label AS b, 0.0 AS weight, NULL AS rank FROM kn
                UNION ALL SELECT 'edge', k.src, k.dst, round(k.weight, 6), CAST(k.rank AS VARCHAR) FROM kept k""", **_SLIM_SQL),
 )
 def a12(t):
-    path = f"{checkpoint_root(t.spark)}/mapweave/exports/{uuid.uuid4().hex}"
-    graph = cut(t)
-    exports.export_graph(Graph(graph.nodes.select("node_id", "node_type", "label"),
-                               graph.edges.select("src", "dst", "weight", "rank")), path, "gexf")
-    back = gexf.read_gexf(t.spark, path)
+    back = gexf.read_gexf(t.spark, _written_gexf(t))
     nodes = back.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), F.col("label").alias("b"),
                               F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("rank"))
     edges = back.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"),
@@ -308,6 +314,27 @@ def a12(t):
     return nodes.unionByName(edges)
 
 
+@register(
+    "a12b_convert_and_measure",
+    net_sql("""SELECT metric, round(value, 6) AS value FROM (
+                 SELECT unnest(['nodes', 'edges', 'density', 'average_degree', 'total_rank', 'total_weight', 'domains', 'graphml_lines']) AS metric,
+                   unnest([n, m, 2.0 * m / (n * (n - 1)), 2.0 * m / n, r, w, d, n + m + 11]) AS value
+                 FROM (SELECT (SELECT count(*) FROM kn) AS n, count(*) AS m, CAST(sum(rank) AS DOUBLE) AS r, sum(CAST(weight AS DOUBLE)) AS w,
+                         (SELECT count(domain) FROM kn) AS d FROM ke))""", **_SLIM_SQL),
+)
+def a12b(t):
+    """Reads a graph file, writes it in another format and measures what was read."""
+    path = _written_gexf(t)
+    graph = gexf.convert(t.spark, path, f"{path}.graphml", "graphml")
+    row = metrics.quick_statistics(graph).select(
+        "*", graph.edges.agg(F.sum("rank")).scalar().alias("total_rank"), graph.edges.agg(F.sum("weight")).scalar().alias("total_weight"),
+        graph.nodes.agg(F.count("domain")).scalar().alias("domains"),
+        t.spark.read.text(f"{path}.graphml").agg(F.count(F.lit(1))).scalar().alias("graphml_lines"))
+    names = ["nodes", "edges", "density", "average_degree", "total_rank", "total_weight", "domains", "graphml_lines"]
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.round(F.col(n).cast("double"), 6).alias("value")) for n in names])
+    return row.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")
+
+
 _TABLE_SQL = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'"
 _NEW_SQL = """SELECT c_custkey AS id, upper(c_name) AS name, lower(c_mktsegment) AS segment, 1 AS version FROM customer
               WHERE c_acctbal > 4000 UNION ALL SELECT c_custkey, c_name || '!', c_mktsegment, 2 FROM customer WHERE c_acctbal > 7000"""

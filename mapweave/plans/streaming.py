@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mapweave.plans import sqlkit as q
 from mapweave.plans.registry import register
-from mapweave.session import checkpoint_root
+from mapweave.session import run_folder
 from mapweave.streaming.dedup import unseen_results
 
 _URL_SQL = "'https://Topic.example.org/' || event_type || '/' || json_extract_string(props, '$.k') || '/'"
@@ -28,7 +28,7 @@ def s1(t):
             F.col("ts").cast("timestamp").alias("created_at"),
         )
     )
-    folder = f"{checkpoint_root(spark)}/mapweave/streams/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/streams-{uuid.uuid4().hex}"
     running = (
         unseen_results(arriving, delay="40 days")
         .select("session_id", "url_hash")

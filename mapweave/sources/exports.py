@@ -1,7 +1,7 @@
 """Graph files: CSV, edge list, JSON, GEXF, GraphML.
 
-A file is written as ordered parts whose concatenation is the document (``hadoop fs -getmerge``): lines carry
-a section and a sort key, Spark range-sorts them, and no task or driver holds the whole graph.
+Lines carry a section and a sort key, Spark range-sorts them, and ``documents.write_document`` makes one file of the sorted
+partitions: no task or driver holds the whole graph, and any reader of the format opens the file.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mapweave.operators.networks import style
 from mapweave.operators.networks.graph import Graph
+from mapweave.sources.documents import write_document
 
 FORMATS = ("gexf", "graphml", "edgelist", "csv", "json")
 _NUMERIC = ("int", "bigint", "smallint", "tinyint")
@@ -37,6 +38,14 @@ def edge_rows(graph: Graph) -> DataFrame:
     )
 
 
+def fixed_digits(graph: Graph, digits: int = 6) -> Graph:
+    """The graph with its fractional attributes as decimals of so many digits: their text is the same everywhere."""
+    def fixed(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).cast(f"decimal(38,{digits})").alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+    return Graph(fixed(graph.nodes), fixed(graph.edges), graph.directed)
+
+
 def _attributes(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns)) if columns else F.lit("{}")
 
@@ -59,27 +68,31 @@ def _document(header: list[str], between: list[str], footer: list[str], nodes: D
 
 
 def json_lines(graph: Graph) -> DataFrame:
-    """Node-link records, one JSON object per line: nodes first, then links."""
+    """Lines of a node-link document: an object with ``nodes`` and ``links``, one to a line."""
     rest = [c for c in graph.nodes.columns if c != "node_id"]
-    nodes = graph.nodes.select(
-        F.lit(1).alias("section"), F.col("node_id").alias("key"),
-        F.to_json(F.struct(F.lit("node").alias("kind"), F.col("node_id").alias("id"), *rest)).alias("line"),
-    )
     more = [c for c in graph.edges.columns if c not in ("src", "dst")]
+    nodes = graph.nodes.select(
+        F.col("node_id").alias("key"), F.to_json(F.struct(F.col("node_id").alias("id"), *rest)).alias("line"))
     links = graph.edges.select(
-        F.lit(3).alias("section"), F.concat_ws("\t", "src", "dst").alias("key"),
-        F.to_json(
-            F.struct(F.lit("link").alias("kind"), F.col("src").alias("source"), F.col("dst").alias("target"), *more)
-        ).alias("line"),
-    )
-    return nodes.unionByName(links)
+        F.concat_ws("\t", "src", "dst").alias("key"),
+        F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), *more)).alias("line"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        """A comma before every line but the first."""
+        first = rows.agg(F.min("key").alias("k")).scalar()
+        return rows.select("key", F.concat(F.when(F.col("key") == first, F.lit("")).otherwise(F.lit(",")), "line").alias("line"))
+
+    directed = "true" if graph.directed else "false"
+    header = [f'{{"directed": {directed}, "multigraph": false, "graph": {{}}, "nodes": [']
+    return _document(header, ['], "links": ['], ["]}"], listed(nodes), listed(links))
 
 
 def _columns(df: DataFrame, skip: tuple[str, ...]) -> list[tuple[int, str, str]]:
     types = dict(df.dtypes)
     names = [c for c in df.columns if c not in skip]
     kind = {"double": "double", "float": "double", "boolean": "boolean"}
-    return [(i, n, "long" if types[n] in _NUMERIC else kind.get(types[n], "string")) for i, n in enumerate(names)]
+    fraction = lambda t: "double" if t.startswith("decimal") else kind.get(t, "string")
+    return [(i, n, "long" if types[n] in _NUMERIC else fraction(types[n])) for i, n in enumerate(names)]
 
 
 def _values(columns, tag: str, key: str, offset: int = 0) -> Column:
@@ -188,21 +201,14 @@ def graphml_lines(graph: Graph) -> DataFrame:
     return _document(header, [], ["</graph>", "</graphml>"], nodes, edges)
 
 
-def _write_document(lines: DataFrame, path: str) -> None:
-    lines.orderBy("section", "key").select("line").write.mode("overwrite").text(path)
-
-
 def export_graph(graph: Graph, path: str, fmt: str = "gexf", **options) -> None:
-    """Write a graph in one of :data:`FORMATS`."""
+    """Write a graph in one of :data:`FORMATS`, as one file (csv: a folder of files with headers)."""
     if fmt == "csv":
         edge_rows(graph).write.mode("overwrite").option("header", True).csv(path)
     elif fmt == "edgelist":
-        edge_list_lines(graph, **options).write.mode("overwrite").text(path)
-    elif fmt == "json":
-        _write_document(json_lines(graph), path)
-    elif fmt == "gexf":
-        _write_document(gexf_lines(graph, **options), path)
-    elif fmt == "graphml":
-        _write_document(graphml_lines(graph), path)
+        write_document(edge_list_lines(graph, **options).orderBy("line"), path)
+    elif fmt in ("json", "gexf", "graphml"):
+        lines = {"json": json_lines, "gexf": gexf_lines, "graphml": graphml_lines}[fmt](graph, **options)
+        write_document(lines.orderBy("section", "key"), path)
     else:
         raise ValueError(f"unsupported export format {fmt!r}; use one of {', '.join(FORMATS)}")

@@ -6,22 +6,51 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.operators.networks.graph import Graph
+from mapweave.sources.exports import export_graph
 
 _VALUE = "struct<attvalue: array<struct<_for: string, _value: string>>>"
 
 
+_TYPES = {"integer": "int", "long": "bigint", "double": "double", "float": "double", "boolean": "boolean"}
+
+
+def declared_attributes(spark: SparkSession, path: str) -> dict[str, dict[str, tuple[str, str]]]:
+    """Titles and types of the attributes of nodes and edges, by their numbers: one row each, few by the format."""
+    rows = (
+        spark.read.format("xml").option("rowTag", "attributes")
+        .schema("_class string, attribute array<struct<_id: string, _title: string, _type: string>>").load(path)
+        .select("_class", F.explode("attribute").alias("a")).select("_class", "a.*").distinct().collect()
+    )
+    return {kind: {r["_id"]: (r["_title"], _TYPES.get(r["_type"], "string")) for r in rows if r["_class"] == kind} for kind in ("node", "edge")}
+
+
+def typed_graph(spark: SparkSession, path: str) -> Graph:
+    """A graph file as a graph whose attributes are columns of their declared types: it can be measured, filtered and exported."""
+    declared, back = declared_attributes(spark, path), read_gexf(spark, path)
+
+    def spread(df, kind: str, fixed: tuple[str, ...]):
+        return df.select(*fixed, *[F.col("attributes")[title].cast(t).alias(title) for title, t in declared[kind].values() if title not in fixed])
+
+    # the kind of graph stands in the first lines, in a tag of its own
+    head = spark.read.text(path).where(F.col("value").startswith("<graph ")).limit(1).collect()
+    directed = bool(head) and 'defaultedgetype="directed"' in head[0]["value"]
+    return Graph(spread(back.nodes, "node", ("node_id", "label")), spread(back.edges, "edge", ("src", "dst", "weight")), directed)
+
+
+def convert(spark: SparkSession, path: str, target: str, fmt: str) -> Graph:
+    """A GEXF file written again in another format; the graph that was read."""
+    graph = typed_graph(spark, path)
+    export_graph(graph, target, fmt)
+    return graph
+
+
 def read_gexf(spark: SparkSession, path: str) -> Graph:
     """Nodes and edges of a GEXF file or folder. Both scans split by row tag; attributes come as a map by their title.
 
-    The declarations of attributes are read first: one row for each attribute of the file, few by the format. An
-    attribute without a declaration keeps its number as name.
+    An attribute without a declaration keeps its number as name.
     """
-    declared = (
-        spark.read.format("xml").option("rowTag", "attributes")
-        .schema("_class string, attribute array<struct<_id: string, _title: string>>").load(path)
-        .select("_class", F.explode("attribute").alias("a")).select("_class", "a._id", "a._title").distinct().collect()
-    )
-    titles = {kind: {r["_id"]: r["_title"] for r in declared if r["_class"] == kind} for kind in ("node", "edge")}
+    declared = declared_attributes(spark, path)
+    titles = {kind: {number: title for number, (title, _) in known.items()} for kind, known in declared.items()}
 
     def attributes(column: str, kind: str):
         known = titles[kind]

@@ -306,14 +306,52 @@ def test_export_and_job(spark, tmp_path, fmt):
         import xml.etree.ElementTree as et
         from pathlib import Path
 
-        parts = sorted(p for p in Path(path).iterdir() if p.name.startswith("part-"))
-        et.fromstring("".join(p.read_text() for p in parts))
+        et.parse(path)
+        assert [p.name for p in Path(path).parent.iterdir() if "parts-" in p.name] == []
+    if fmt == "json":
+        import json
+
+        with open(path) as file:
+            found = json.load(file)
+        assert {n["id"] for n in found["nodes"]} == {"a&<b>", 'c"d'} and [e["weight"] for e in found["links"]] == [2.0]
     if fmt == "gexf":
         back = gexf.read_gexf(spark, path)
         assert {r["node_id"] for r in back.nodes.collect()} == {"a&<b>", 'c"d'}
         assert back.edges.first()["weight"] == 2.0
 
 
+def test_documents_of_many_parts_are_one_file_in_order(spark, tmp_path):
+    from mapweave.sources.documents import write_document
+
+    path = str(tmp_path / "deep" / "numbers.txt")
+    for n in (5000, 30, 0):  # a file that is there is replaced
+        rows = spark.range(n).repartition(7).orderBy("id").selectExpr("CASE WHEN id = 17 THEN 'é' ELSE CAST(id AS string) END AS line")
+        write_document(rows, path)
+        with open(path, encoding="utf-8") as file:
+            assert file.read().splitlines() == ["é" if i == 17 else str(i) for i in range(n)]
+
+
+def test_written_graphs_are_read_converted_and_measured(spark, tmp_path):
+    edges = [(f"q{i}", f"s{i % 7} & \"x\"", 1 / (i + 1)) for i in range(40)]
+    graph = make(spark, edges)
+    graph = Graph(graph.nodes.withColumn("domain", F.when(F.col("node_id").startswith("s"), F.col("label"))),
+                  graph.edges.withColumn("rank", F.length("src")), directed=True)
+    path = str(tmp_path / "g.gexf")
+    exports.export_graph(exports.fixed_digits(graph), path, "gexf")
+    back = gexf.convert(spark, path, str(tmp_path / "g.json"), "json")
+    assert back.directed and dict(back.edges.dtypes)["rank"] == "bigint"
+    row = lambda r: (r["src"], r["dst"], r["rank"], pytest.approx(r["weight"], abs=1e-6))
+    assert sorted(map(row, back.edges.collect()), key=str) == sorted(map(row, graph.edges.collect()), key=str)
+    assert {tuple(r) for r in back.nodes.select("node_id", "node_type", "label", "domain").collect()} == {
+        tuple(r) for r in graph.nodes.select("node_id", "node_type", "label", "domain").collect()}
+    import json
+
+    with open(tmp_path / "g.json") as file:
+        assert len(json.load(file)["links"]) == 40
+    one, two = (metrics.quick_statistics(g).first() for g in (graph, back))
+    assert one == two
+
+
 def test_empty_network_is_an_error(spark, tmp_path):
     empty = make(spark, [("a", "b")])
     empty = Graph(empty.nodes.limit(0), empty.edges.limit(0))
@@ -329,7 +367,7 @@ def test_visual_gexf(spark, tmp_path):
 
     path = str(tmp_path / "viz")
     exports.export_graph(make(spark, [("a", "b"), ("b", "c")]), path, "gexf", visual=True, colors={"website": "#010203"})
-    root = et.fromstring("".join(p.read_text() for p in sorted(Path(path).glob("part-*"))))
+    root = et.fromstring(Path(path).read_text())
     space = {"g": "http://www.gexf.net/1.2draft", "v": "http://www.gexf.net/1.2draft/viz"}
     nodes = root.findall(".//g:node", space)
     assert [n.get("id") for n in nodes] == ["a", "b", "c"]
