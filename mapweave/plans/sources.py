@@ -91,6 +91,52 @@ def a3(t):
     )
 
 
+# The same lines in files: a folder for each remainder of the file's number, a line break and quotes in some queries.
+_FILES_SQL = f"""SELECT file_id % 97 AS folder, row_number() OVER (PARTITION BY file_id % 97 ORDER BY line) - 1 AS row_number,
+      CASE WHEN line % 10 = 0 THEN query || chr(10) || '"x", ' || query ELSE query END AS query, framing, language, max_results, tld_filter, search_engine,
+      trim(query) = '' OR coalesce(max_results = 'many', FALSE) OR coalesce(CAST(nullif(max_results, 'many') AS INT) NOT BETWEEN 1 AND 100, FALSE)
+        OR coalesce(search_engine = 'altavista', FALSE) OR coalesce(tld_filter = '.dk|com', FALSE) AS bad
+    FROM ({_BULK_SQL}) WHERE file_id % 97 >= 5 OR NOT (line % 23 = 0 OR line % 5 IN (0, 1) OR line % 6 = 0 OR line % 7 = 1)"""
+
+
+def bulk_files(t) -> str:
+    """The lines written as CSV files, those of a file in order; returns their folder."""
+    lines, k = bulk_lines(t), F.col("line")
+    fine = ~((k % 23 == 0) | (k % 5).isin(0, 1) | (k % 6 == 0) | (k % 7 == 1))
+    rows = lines.withColumn("folder", F.col("file_id") % 97).filter((F.col("folder") >= 5) | fine).withColumn(
+        "query", F.when(k % 10 == 0, F.concat("query", F.lit('\n"x", '), "query")).otherwise(F.col("query")))
+    path = f"{run_folder(t.spark)}/bulk-{uuid.uuid4().hex}"
+    dealt = rows.repartition("folder").sortWithinPartitions("folder", "line").select("folder", *bulk.COLUMNS)
+    dealt.write.partitionBy("folder").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _folder():
+    return F.regexp_extract("file", "folder=([0-9]+)", 1).cast("bigint").alias("folder")
+
+
+@register(
+    "a2c_bulk_file_errors",
+    f"""SELECT folder, 'row_' || (row_number + 2) AS row_key, md5(query) AS query_hash, bad FROM ({_FILES_SQL})""",
+)
+def a2c(t):
+    checked = bulk.validate(bulk.read_bulk_csv(t.spark, bulk_files(t), range_bytes=20_000))
+    return checked.select(_folder(), "row_key", F.md5("query").alias("query_hash"), (F.size("errors") > 0).alias("bad"))
+
+
+@register(
+    "a3b_stored_bulk_rows",
+    f"""SELECT folder, row_number, trim(query) AS query, trim(coalesce(framing, 'neutral')) AS framing, coalesce(language, 'en') AS language,
+          coalesce(TRY_CAST(max_results AS BIGINT), 10) AS max_results, lower(coalesce(search_engine, 'google_custom')) AS search_engine,
+          replace(tld_filter, '|', ',') AS tlds FROM ({_FILES_SQL}) QUALIFY NOT bool_or(bad) OVER (PARTITION BY folder)""",
+)
+def a3b(t):
+    stored, _ = bulk.stored_rows(t.spark, bulk_files(t), range_bytes=20_000)
+    return stored.select(_folder(), "row_number", "query", "framing", "language", "max_results", "search_engine",
+                         F.array_join("tld_filter", ",").alias("tlds"))
+
+
 def _pages_of_results(t, size: int, item):
     """Payloads of ``size`` items: a query's results in rank order, page by page."""
     page = F.floor((F.col("rank") - 1) / size).cast("bigint")

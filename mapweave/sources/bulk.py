@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapweave.sources.csv_rows import RANGE_BYTES, read_rows, row_key
+
 # Columns, engines and defaults of a bulk query file.
 COLUMNS = ("query", "framing", "language", "max_results", "date_from", "date_to", "tld_filter", "search_engine")
 ENGINES = ("google_custom", "serper", "serpapi_google")
 DEFAULTS = {"framing": "neutral", "language": "en", "max_results": 10, "search_engine": "google_custom"}
 
 
-def read_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; optional columns that the file lacks are null. A file without ``query`` is an error."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    if "query" not in raw.columns:
-        raise ValueError("missing required column: query")
-    return raw.select(
-        *[(F.col(c) if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS]
-    )
+def read_bulk_csv(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """file, row_number (from 0), row_key and all columns as text; optional columns that a file lacks are null. A file without ``query``
+    is an error. Files are read in ranges, line breaks inside quotes included."""
+    rows = read_rows(spark, path, COLUMNS, required=("query",), range_bytes=range_bytes)
+    return rows.withColumn("row_key", row_key("row_number"))
+
+
+def validation_errors(validated: DataFrame) -> DataFrame:
+    """(file, validation_errors): the messages of every file's bad rows, a map by row key; no row for a valid file."""
+    bad = validated.filter(F.size("errors") > 0)
+    entry = F.struct("row_number", "row_key", "errors")
+    return bad.groupBy("file").agg(F.sort_array(F.collect_list(entry)).alias("bad")).select(
+        "file", F.map_from_entries(F.transform("bad", lambda r: F.struct(r["row_key"], r["errors"]))).alias("validation_errors"))
+
+
+def stored_rows(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """From files to stored rows: the normalised rows of all valid files, and (file, row_count, invalid_rows, validation_status)."""
+    checked = validate(read_bulk_csv(spark, path, range_bytes))
+    status = validation_status(checked, "file")
+    valid = status.filter("validation_status = 'valid'").select("file")
+    return normalize(checked.join(valid, "file", "left_semi")).drop("errors"), status
 
 
 def validate(rows: DataFrame) -> DataFrame:
