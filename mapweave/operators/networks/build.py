@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mapweave.functions.skew import top_n
-from mapweave.functions.urls import bare_domain, node_identity
+from mapweave.functions.urls import bare_domain, netloc, node_identity
 from mapweave.operators import tfidf
 from mapweave.operators.networks.graph import Graph
 
@@ -95,6 +95,9 @@ def _website_nodes(sites: DataFrame) -> DataFrame:
     )
 
 
+KEYWORD_ATTRIBUTES = ("language", "extraction_method", "pos_tag")
+
+
 def website_keyword_network(
     contents: DataFrame,
     keywords: DataFrame,
@@ -105,19 +108,22 @@ def website_keyword_network(
 ) -> Graph:
     """Sites linked to their ``top`` keywords by mean TF-IDF score, which is the edge weight.
 
-    By domain, every domain is a node even without keywords. By URL, only pages with keywords are.
+    By domain, every domain is a node even without keywords. By URL, only pages with keywords are. Keyword nodes carry the language,
+    extraction method, part of speech (the smallest value where rows differ) and phrase length; page nodes their url, domain and title.
     """
     chosen = keywords.filter(F.col("extraction_method") == method) if method else keywords
     site = F.col("domain") if by_domain else F.col("page_url")
     sites = contents.select("content_id", site.alias("site"))
+    carried = [c for c in KEYWORD_ATTRIBUTES if c in keywords.columns]
     grouped = (
-        chosen.select("content_id", "lemma", "frequency", "tfidf_score")
+        chosen.select("content_id", "lemma", "frequency", "tfidf_score", *carried)
         .join(sites, "content_id")
         .groupBy("site", "lemma")
         .agg(
             F.sum("frequency").alias("frequency"),
             F.avg("tfidf_score").alias("weight"),
             F.count(F.lit(1)).alias("content_count"),
+            *[F.min(c).alias(c) for c in carried],
         )
     )
     best = top_n(grouped, ["site"], [F.desc("weight"), F.col("lemma")], top)
@@ -132,14 +138,23 @@ def website_keyword_network(
             F.min_by("frequency", "weight").alias("frequency"),
             F.min("lemma").alias("lemma"),
             F.min_by("content_count", "weight").alias("content_count"),
+            *[F.min(c).alias(c) for c in carried],
         )
     )
-    terms = edges.groupBy("dst").agg(F.min("lemma").alias("label")).select(
-        F.col("dst").alias("node_id"), F.lit("keyword").alias("node_type"), "label",
-        F.lit(None).cast("string").alias("category"),
+    none = F.lit(None).cast("string")
+    terms = edges.groupBy("dst").agg(F.min("lemma").alias("label"), *[F.min(c).alias(c) for c in carried]).select(
+        F.col("dst").alias("node_id"), F.lit("keyword").alias("node_type"), "label", none.alias("category"),
+        *[(F.col(c) if c in carried else none).alias(c) for c in KEYWORD_ATTRIBUTES],
+        F.size(F.split("label", " ")).cast("bigint").alias("phrase_length"),
     )
     owners = sites.select("site").distinct() if by_domain else best.select("site").distinct()
-    return Graph(_website_nodes(owners).unionByName(terms), edges.drop("lemma"))
+    owners = _website_nodes(owners)
+    if not by_domain:
+        title = F.min("title") if "title" in contents.columns else F.min(none)
+        pages = contents.select("*", node_identity(F.concat(F.lit("website_"), "page_url")).alias("node_id")).groupBy("node_id").agg(
+            F.min("page_url").alias("url"), F.min(netloc("page_url")).alias("domain"), title.alias("title"))
+        owners = owners.join(pages, "node_id", "left")
+    return Graph(owners.unionByName(terms, allowMissingColumns=True), edges.drop("lemma", *carried))
 
 
 def website_entity_network(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mapweave.functions import urls
@@ -287,26 +289,73 @@ def table_view(
     return df
 
 
-def result_documents(results: DataFrame, queries: DataFrame, chunk: int = 100) -> DataFrame:
-    """Nested results as JSON, one row per session, query and run of ``chunk`` ranks.
+_BEFORE, _BEHIND = -(1 << 63), (1 << 63) - 1
 
-    A query or session may hold any share of the results. Each nested list is one run of ranks, so no
-    group grows with the data; the rows of a query in ``part`` order make up its whole document.
-    """
-    item = F.struct("rank", "url", "title")
-    nested = results.groupBy("query_id", F.floor((F.col("rank") - 1) / chunk).cast("bigint").alias("part")).agg(
-        F.to_json(F.sort_array(F.collect_list(item))).alias("results")
-    )
-    return queries.select("session_id", "query_id", "query_text").join(nested, "query_id", "left")
 
+def result_documents(sessions: DataFrame, queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(session_id, query_id, event, rank, result_id, line): the JSON array of all sessions, with their queries, with their results,
+    as lines that follow each other by these columns.
+
+    A session or query may hold any share of the results, so none is put together in a group: each opening, result and
+    closing is a row of its own, and sorting by ranges puts them in order. Whether an element is the first of its list, which
+    takes no comma, is joined by its own whole key, which no two rows share. ``documents.write_document`` makes a file of it.
+    """
+    def with_first(rows: DataFrame, group: str, *order: str) -> DataFrame:
+        firsts = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("k")).select(group, *[F.col(f"k.{c}").alias(c) for c in order])
+        return rows.join(firsts.withColumn("is_first", F.lit(True)), [group, *order], "left")
+
+    comma = F.when(F.col("is_first"), F.lit("")).otherwise(F.lit(","))
+    opened = lambda columns, name: F.concat(F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", ""), F.lit(f',"{name}":['))
+
+    def events(rows: DataFrame, query, event: int, line, rank=None, result=None) -> DataFrame:
+        number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint") if c is not None else F.lit(0).cast("bigint")
+        return rows.select("session_id", query.cast("bigint").alias("query_id"), F.lit(event).cast("bigint").alias("event"), number(rank).alias("rank"),
+                           number(result).alias("result_id"), line.alias("line"))
+
+    least = sessions.agg(F.min("session_id")).scalar()
+    queries = with_first(queries.join(sessions.select("session_id"), "session_id", "left_semi"), "session_id", "query_id")
+    found = with_first(results, "query_id", "rank", "result_id").join(queries.select("query_id", "session_id"), "query_id")
+    extra = [c for c in sessions.columns if c != "session_id"]
+    parts = [
+        events(sessions.withColumn("is_first", F.col("session_id") == least), F.lit(_BEFORE), 0,
+               F.concat(F.when(F.col("is_first"), F.lit("[")).otherwise(F.lit(",")), opened(["session_id", *extra], "queries"))),
+        events(queries, F.col("query_id"), 0, F.concat(comma, opened(["query_id", "query_text"], "results"))),
+        events(found, F.col("query_id"), 1, F.concat(comma, F.to_json(F.struct("rank", "url", "title"))), F.col("rank"), F.col("result_id")),
+        events(queries, F.col("query_id"), 2, F.lit("]}")),
+        events(sessions.withColumn("is_last", F.col("session_id") == sessions.agg(F.max("session_id")).scalar()), F.lit(_BEHIND), 2,
+               F.when(F.col("is_last"), F.lit("]}]")).otherwise(F.lit("]}"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+DOCUMENT_ORDER = ("session_id", "query_id", "event", "rank", "result_id")
+
+
+def content_documents(
+    contents: DataFrame, keywords: DataFrame, entities: DataFrame | None = None, analysis: DataFrame | None = None, n: int | None = None
+) -> DataFrame:
+    """Contents with their keywords (the ``n`` best, or all), entities and analysis, each as JSON.
 
-def content_documents(contents: DataFrame, keywords: DataFrame, n: int = 20) -> DataFrame:
-    """Contents with their ``n`` best keywords as JSON."""
-    best = top_n(keywords, ["content_id"], [F.desc("tfidf_score"), F.col("lemma")], n, "position")
+    Keywords and entities of a content are bounded by its text. Entities stand by frequency.
+    """
+    if n is None:
+        place = F.row_number().over(W.partitionBy("content_id").orderBy(F.desc("tfidf_score"), "lemma"))
+        best = keywords.withColumn("position", place.cast("bigint"))
+    else:
+        best = top_n(keywords, ["content_id"], [F.desc("tfidf_score"), F.col("lemma")], n, "position")
     nested = best.groupBy("content_id").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("position", "lemma", "frequency")))).alias("keywords")
     )
-    return contents.join(nested, "content_id", "left")
+    found = contents.join(nested, "content_id", "left")
+    if entities is not None:
+        listed = entities.groupBy("content_id").agg(
+            F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("o"), "text", "label", "frequency"))).alias("found"))
+        found = found.join(listed.select("content_id", F.to_json(F.transform("found", lambda e: F.struct(
+            e["text"].alias("text"), e["label"].alias("label"), e["frequency"].alias("frequency")))).alias("entities")), "content_id", "left")
+    if analysis is not None:
+        columns = [c for c in analysis.columns if c != "content_id"]
+        found = found.join(analysis.select("content_id", F.to_json(F.struct(*columns)).alias("analysis")), "content_id", "left")
+    return found
 
 
 def user_sessions(sessions: DataFrame, queries: DataFrame) -> DataFrame:

@@ -136,6 +136,20 @@ def h2b(t):
     return edges.unionByName(sites)
 
 
+@register(
+    "h2c_node_attributes",
+    with_roles(*_KW_ROLES, **_keyword_sql("page_url", 5),
+               body=f"""SELECT dst AS node_id, 'keyword' AS node_type, min(lemma) AS label, 'tfidf' AS extraction_method, min(language) AS language,
+                          1::BIGINT AS phrase_length, NULL AS url, NULL AS domain FROM edges JOIN (SELECT page_url, lemma AS l, min(k.language) AS language
+                            FROM extracted_keywords k JOIN done USING (content_id) GROUP BY ALL) ON page_url = site AND l = lemma GROUP BY dst
+                        UNION ALL SELECT DISTINCT src, 'website', site, NULL, NULL, NULL, site, {q.netloc('site')} FROM edges"""),
+)
+def h2c(t):
+    return keyword_net(t, 5, by_domain=False).nodes.select(
+        "node_id", "node_type", "label", "extraction_method", "language", "phrase_length", "url", "domain"
+    )
+
+
 def entities_table(t):
     """Entity rows per content, text and label, with the share of two extraction methods."""
     return (

@@ -1,5 +1,7 @@
 """Queries over sessions, jobs and listings."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mapweave.functions import urls
@@ -7,6 +9,8 @@ from mapweave.operators import sessions as ops
 from mapweave.plans import sqlkit as q
 from mapweave.plans.registry import register
 from mapweave.plans.roles import with_roles
+from mapweave.session import run_folder
+from mapweave.sources.documents import write_document
 
 
 def stamp(column: str):
@@ -336,34 +340,72 @@ def d22(t):
     return ops.paginate(chosen, 1, 50, "scrape_depth", "content_id")[0]
 
 
+_RESULT_JSON = "CAST(to_json(struct_pack(rank := r.rank, url := r.url, title := r.title)) AS VARCHAR)"
+
+
 @register(
     "d23_nested_documents",
     with_roles(
-        "search_queries", "search_results",
-        body="""SELECT session_id, q.query_id, query_text, part, results FROM search_queries q LEFT JOIN (
-                  SELECT query_id, CAST(floor((rank - 1) / 100) AS BIGINT) AS part,
-                    CAST(to_json(list(struct_pack(rank := rank, url := url, title := title) ORDER BY rank)) AS VARCHAR)
-                      AS results
-                  FROM search_results GROUP BY ALL) r ON q.query_id = r.query_id""",
+        "search_sessions", "search_queries", "search_results",
+        body=f"""
+        SELECT session_id, CAST('-9223372036854775808' AS BIGINT) AS query_id, 0::BIGINT AS event, 0::BIGINT AS rank, 0::BIGINT AS result_id,
+          CASE WHEN session_id = (SELECT min(session_id) FROM search_sessions) THEN '[' ELSE ',' END ||
+          '{{"session_id":' || session_id || ',"name":"' || name || '","queries":[' AS line FROM search_sessions
+        UNION ALL SELECT session_id, query_id, 0, 0, 0, CASE WHEN query_id = min(query_id) OVER (PARTITION BY session_id) THEN '' ELSE ',' END ||
+          '{{"query_id":' || query_id || ',"query_text":"' || query_text || '","results":[' FROM search_queries
+        UNION ALL SELECT session_id, q.query_id, 1, rank, result_id,
+          CASE WHEN row_number() OVER (PARTITION BY r.query_id ORDER BY rank, result_id) = 1 THEN '' ELSE ',' END || {_RESULT_JSON}
+          FROM search_results r JOIN search_queries q ON r.query_id = q.query_id
+        UNION ALL SELECT session_id, query_id, 2, 0, 0, ']}}' FROM search_queries
+        UNION ALL SELECT session_id, 9223372036854775807, 2, 0, 0,
+          CASE WHEN session_id = (SELECT max(session_id) FROM search_sessions) THEN ']}}]' ELSE ']}}' END FROM search_sessions""",
     ),
 )
 def d23(t):
-    return ops.result_documents(t.search_results, t.search_queries)
+    return ops.result_documents(t.search_sessions.select("session_id", "name"), t.search_queries, t.search_results)
+
+
+@register(
+    "d23c_document_file",
+    with_roles(
+        "search_sessions", "search_queries", "search_results",
+        body="""SELECT s.session_id, s.name, (SELECT count(*) FROM search_queries q WHERE q.session_id = s.session_id) AS n_queries,
+                  (SELECT count(*) FROM search_queries q JOIN search_results r ON r.query_id = q.query_id
+                   WHERE q.session_id = s.session_id) AS n_results FROM search_sessions s""",
+    ),
+)
+def d23c(t):
+    """The documents as one JSON file, read back by Spark's JSON source."""
+    path = f"{run_folder(t.spark)}/documents-{uuid.uuid4().hex}/sessions.json"
+    lines = ops.result_documents(t.search_sessions.select("session_id", "name"), t.search_queries, t.search_results)
+    write_document(lines.orderBy(*ops.DOCUMENT_ORDER), path)
+    schema = "session_id bigint, name string, queries array<struct<query_id bigint, results array<struct<rank bigint, url string>>>>"
+    found = t.spark.read.schema(schema).option("multiLine", True).json(path)
+    size = lambda c: F.size(c).cast("bigint")
+    return found.select("session_id", "name", size("queries").alias("n_queries"), size(F.flatten("queries.results")).alias("n_results"))
 
 
 @register(
     "d23b_content_documents",
     with_roles(
-        "extracted_keywords", "website_content",
-        body="""SELECT c.content_id, language, keywords FROM website_content c LEFT JOIN (
+        "extracted_keywords", "website_content", "mentions", "content_analysis",
+        body="""SELECT c.content_id, c.language, keywords, entities, analysis FROM website_content c LEFT JOIN (
                   SELECT content_id, CAST(to_json(list(struct_pack(position := rn, lemma := lemma, frequency := frequency)
                          ORDER BY rn)) AS VARCHAR) AS keywords
                   FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY tfidf_score DESC, lemma) AS rn
-                        FROM extracted_keywords) WHERE rn <= 5 GROUP BY content_id) k ON c.content_id = k.content_id""",
+                        FROM extracted_keywords) GROUP BY content_id) k ON c.content_id = k.content_id
+                LEFT JOIN (SELECT content_id, CAST(to_json(list(struct_pack(text := text, label := label, frequency := frequency)
+                         ORDER BY frequency DESC, text, label)) AS VARCHAR) AS entities
+                  FROM (SELECT content_id, text, label, count(*) AS frequency FROM mentions GROUP BY ALL) GROUP BY content_id) e
+                  ON c.content_id = e.content_id
+                LEFT JOIN (SELECT content_id, CAST(to_json(struct_pack(status := status, nouns_count := nouns_count, entities_count := entities_count))
+                         AS VARCHAR) AS analysis FROM content_analysis) a ON c.content_id = a.content_id""",
     ),
 )
 def d23b(t):
-    return ops.content_documents(t.website_content.select("content_id", "language"), t.extracted_keywords, 5)
+    entities = t.mentions.groupBy("content_id", "text", "label").agg(F.count(F.lit(1)).alias("frequency"))
+    analysis = t.content_analysis.select("content_id", "status", "nouns_count", "entities_count")
+    return ops.content_documents(t.website_content.select("content_id", "language"), t.extracted_keywords, entities, analysis)
 
 
 @register(

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mapweave.operators import compare, expansion, sessions, temporal
+from mapweave.operators import sessions as sessions_ops
 
 
 def results(spark, rows):
@@ -101,3 +102,35 @@ def test_generations(spark):
     choice = spark.createDataFrame([(1, "a", True)], "session_id bigint, term string, approved boolean")
     rows = expansion.next_generation(expansion.decide(stored, choice)).collect()
     assert [(r["query_text"], r["generation"]) for r in rows] == [("a", 2)]
+
+
+def test_nested_documents_are_one_json_array(spark, tmp_path):
+    import json
+
+    from mapweave.sources.documents import write_document
+
+    frame = spark.createDataFrame
+    sessions = frame([(1, 'a "x"'), (2, "b"), (7, "no queries")], "session_id bigint, name string")
+    queries = frame([(1, 10, "q"), (1, 11, "none found"), (2, 5, "é")], "session_id bigint, query_id bigint, query_text string")
+    results = frame([(10, i, i % 900 // 2, f"u{i}", "t\n") for i in range(2000)] + [(5, 9999, 1, "v", None)],
+                    "query_id bigint, result_id bigint, rank bigint, url string, title string")
+    lines = sessions_ops.result_documents(sessions, queries, results)
+    write_document(lines.repartition(9).orderBy(*sessions_ops.DOCUMENT_ORDER), str(tmp_path / "s.json"))
+    with open(tmp_path / "s.json", encoding="utf-8") as file:
+        found = json.load(file)
+    assert [(s["session_id"], s["name"], [(q["query_id"], len(q["results"])) for q in s["queries"]]) for s in found] == [
+        (1, 'a "x"', [(10, 2000), (11, 0)]), (2, "b", [(5, 1)]), (7, "no queries", [])]
+    urls = [r["url"] for r in found[0]["queries"][0]["results"]]
+    assert urls == [f"u{i}" for i in sorted(range(2000), key=lambda i: (i % 900 // 2, i))]
+
+
+def test_content_documents_hold_everything(spark):
+    frame = spark.createDataFrame
+    contents = frame([(1, "en"), (2, "da")], "content_id bigint, language string")
+    words = frame([(1, "a", 2, 0.5), (1, "b", 1, 0.9)], "content_id bigint, lemma string, frequency bigint, tfidf_score double")
+    names = frame([(1, "X", "ORG", 1), (1, "Y", "ORG", 3)], "content_id bigint, text string, label string, frequency bigint")
+    analysis = frame([(2, "completed", 4)], "content_id bigint, status string, nouns_count bigint")
+    rows = {r["content_id"]: r for r in sessions_ops.content_documents(contents, words, names, analysis).collect()}
+    assert rows[1]["keywords"] == '[{"position":1,"lemma":"b","frequency":1},{"position":2,"lemma":"a","frequency":2}]'
+    assert rows[1]["entities"] == '[{"text":"Y","label":"ORG","frequency":3},{"text":"X","label":"ORG","frequency":1}]'
+    assert rows[1]["analysis"] is None and rows[2]["analysis"] == '{"status":"completed","nouns_count":4}' and rows[2]["keywords"] is None
