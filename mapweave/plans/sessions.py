@@ -1,7 +1,9 @@
 """Queries over sessions, jobs and listings."""
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import urls
@@ -178,6 +180,24 @@ def d11(t):
     return rows.withColumns({"total": F.lit(facts["total"]).cast("bigint"), "last_page": F.lit(not facts["has_next"])})
 
 
+@register(
+    "d11b_deep_pages",
+    with_roles(
+        "search_results",
+        body="""SELECT page, result_id, domain, rank FROM (SELECT result_id, domain, rank,
+                  1 + (row_number() OVER (ORDER BY domain DESC, result_id) - 1) // 25 AS page, count(*) OVER () AS total FROM search_results)
+                WHERE page IN (1, 1 + (total - 1) // 50, 1 + (total - 1) // 25)""",
+    ),
+)
+def d11b(t):
+    """The first, a middle and the last page of one index."""
+    index = ops.PageIndex(t.search_results.select("result_id", "domain", "rank"), "domain", "result_id", descending=True, ranges=64)
+    last = 1 + (index.total - 1) // 25
+    wanted = sorted({1, 1 + (index.total - 1) // 50, last})
+    parts = [index.page(p, 25)[0].select(F.lit(p).cast("bigint").alias("page"), "result_id", "domain", "rank") for p in wanted]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register(
     "d12_keyset_page",
     with_roles("search_queries",

@@ -126,6 +126,15 @@ def materialize_bucketed(df: DataFrame, column: str) -> DataFrame:
     return saved
 
 
+def write_folders(df: DataFrame, column: str) -> str:
+    """``df`` written with a folder for each value of ``column``; its path in the run's folder."""
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    df.write.partitionBy(column).parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, replaces: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

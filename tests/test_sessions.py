@@ -134,3 +134,16 @@ def test_content_documents_hold_everything(spark):
     assert rows[1]["keywords"] == '[{"position":1,"lemma":"b","frequency":1},{"position":2,"lemma":"a","frequency":2}]'
     assert rows[1]["entities"] == '[{"text":"Y","label":"ORG","frequency":3},{"text":"X","label":"ORG","frequency":1}]'
     assert rows[1]["analysis"] is None and rows[2]["analysis"] == '{"status":"completed","nouns_count":4}' and rows[2]["keywords"] is None
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_page_index_equals_sort_and_offset(spark, descending):
+    rows = [(i, (i * 7919) % 13 if i % 10 else None, i) for i in range(997)]  # many ties, some nulls
+    df = spark.createDataFrame(rows, "id bigint, k bigint, v bigint")
+    index = sessions_ops.PageIndex(df, "k", "id", descending, ranges=8)
+    assert len(index.counts) > 3
+    for page in (1, 2, 40, 99, 100, 500):
+        got, facts = index.page(page, 10)
+        want, same = sessions_ops.paginate(df, page, 10, "k", "id", descending)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] and facts == same
+    assert sessions_ops.PageIndex(df.limit(0), "k", "id").page(3, 10)[0].count() == 0
