@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
 from mapweave.functions.skew import top_n
-from mapweave.operators import aggregates, entities, keywords, tfidf
+from mapweave.operators import aggregates, annotate, entities, keywords, tfidf
 from mapweave.operators.networks import build
 from mapweave.plans.registry import register
 from mapweave.plans.roles import STOP_SQL, content_words_sql, with_roles
@@ -58,6 +58,21 @@ def g1(t):
     )
 
 
+def _ending_tag(word: str, language: str | None) -> str:
+    return "NOUN" if word.endswith(_NOUN_ENDINGS) else "ADJ" if word.endswith(_ADJ_ENDINGS) else "VERB"
+
+
+@register(
+    "g1b_annotate_function",
+    with_roles(tokens=_TOKENS_SQL, body="SELECT doc_id, pos_idx, char_pos, token, lemma, upos, is_stop FROM tokens"),
+)
+def g1b(t):
+    """The same tokens by a tagger that SQL calls as a table function."""
+    annotate.register_annotator(t.spark, _ending_tag)
+    call = "SELECT * FROM annotate(TABLE({texts}), 'doc_id', 'text', 'lang')"
+    return t.spark.sql(call, texts=t.documents.select("doc_id", "text", "lang").repartition("doc_id")).drop("is_punct")
+
+
 def _grams_sql(n: int) -> str:
     parts = ", ".join(f"list_slice(terms, {k}, greatest(len(terms) - {n - k}, 0))" for k in range(1, n + 1))
     joined = " || ' ' || ".join(f"x[{k}]" for k in range(1, n + 1))

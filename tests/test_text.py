@@ -147,3 +147,16 @@ def test_scratch_removes_what_was_written_inside(spark):
         inside = materialize(spark.range(3))
         assert inside.count() == 3 and os.path.isdir(inside._mapweave_path)
     assert not os.path.isdir(inside._mapweave_path)
+
+
+def test_annotator_as_a_table_function(spark):
+    from mapweave.operators.annotate import register_annotator
+
+    register_annotator(spark, lambda word, language: f"{language}:{len(word)}", "tag_texts")
+    rows = spark.createDataFrame([(1, "The cat_s, été", "en"), (2, None, "da"), (3, "og 12", "da")], "doc_id bigint, body string, lang string")
+    got = spark.sql("SELECT * FROM tag_texts(TABLE({rows}), 'doc_id', 'body', 'lang')", rows=rows).collect()
+    assert sorted((r["doc_id"], r["pos_idx"], r["char_pos"], r["token"], r["upos"], r["is_stop"]) for r in got) == [
+        (1, 0, 0, "The", "en:3", True), (1, 1, 4, "cat", "en:3", False), (1, 2, 8, "s", "en:1", True), (1, 3, 11, "été", "en:3", False),
+        (3, 0, 0, "og", "da:2", True), (3, 1, 3, "12", "da:2", False)]
+    with pytest.raises(Exception, match="no column 'text'"):
+        spark.sql("SELECT * FROM tag_texts(TABLE({rows}), 'doc_id', 'text')", rows=rows).collect()
