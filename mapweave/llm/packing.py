@@ -21,10 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import cells, materialize, numbered
+from mapweave.llm.common import cells, materialize, numbered, slices
+from mapweave.llm.shingles import text_buffers
 
 WINDOW, UNIT, DEPTH, MIN_CUT, END = 2048, 8, 3, 4, 1
 
@@ -35,25 +37,76 @@ _WS = "\t-\r \x85\xa0" + "".join(f"{chr(a)}-{chr(b)}" for a, b in (
 _COARSE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
-class _Known(dict):
-    """Ids of the pieces of text seen last, as packed integers; emptied when full."""
+class _Known:
+    """Ids of pieces of text, as packed integers; those seen last are kept. When full, they become the older half; pieces that are
+    met again come back from there. New words are encoded ``together``, a line each."""
 
     def __init__(self, encode, dtype, most=150_000):
-        super().__init__()
-        self.encode, self.dtype, self.most = encode, dtype, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = np.asarray(self.encode(piece), dtype=self.dtype).tobytes()
-        if len(piece) < 64:
-            self[piece] = ids
-        return ids
+        self.encode, self.dtype, self.most, self.seen, self.older = encode, dtype, most, {}, {}
+        self.line = encode("\n")
+
+    def __call__(self, pieces: list[bytes], together: bool) -> list[bytes]:
+        found = list(map(self.seen.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        unknown = []
+        for i in new:
+            found[i] = self.older.get(pieces[i])
+            if found[i] is None:
+                unknown.append(i)
+        words = [i for i in unknown if not _BLANK[pieces[i][-1]]] if together and len(self.line) == 1 else []
+        if words:
+            # a line break between words is a token of its own, and in no word
+            ids = np.asarray(self.encode(b"\n".join([pieces[i] for i in words]).decode()), dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self.line[0])
+            packed, width = ids.tobytes(), self.dtype.itemsize
+            for i, low, high in zip(words, [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(packed)], strict=True):
+                found[i] = packed[low:high]
+        for i in unknown:
+            if found[i] is None:
+                found[i] = np.asarray(self.encode(pieces[i].decode()), dtype=self.dtype).tobytes()
+        if len(self.seen) >= self.most:
+            self.older, self.seen = self.seen, {}
+        self.seen.update((pieces[i], found[i]) for i in new if len(pieces[i]) < 64)
+        return found
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), 0x20]] = True
+
+
+def _pieces(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts without white space beyond ASCII begin: the cuts of ``_COARSE``. The last blank before a word
+    begins a piece, which a space shares with the word; the blanks before it are one piece, and so are those at a text's end."""
+    blank = _BLANK[raw]
+    begins = np.zeros(len(raw) + 1, dtype=bool)
+    begins[offsets] = True
+    inside = ~begins[1:-1]  # a byte with another of its text before it
+    words = np.flatnonzero(inside & blank[:-1] & ~blank[1:]) + 1
+    begins[1:-1] |= inside & ~blank[:-1] & blank[1:]
+    begins[words - 1] = True
+    begins[words[raw[words - 1] != 0x20]] = True
+    return np.flatnonzero(begins[:-1])
+
+
+def _wide_blanks(raw: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII."""
+    lead = np.flatnonzero((raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3)))
+    lead = lead[lead + 1 < len(raw)]
+    second = raw[lead + 1]
+    third = raw[np.minimum(lead + 2, len(raw) - 1)]
+    first = raw[lead]
+    general = (first == 0xE2) & (second == 0x80) & (((third >= 0x80) & (third <= 0x8A)) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))
+    found = ((first == 0xC2) & ((second == 0x85) | (second == 0xA0)) | (first == 0xE1) & (second == 0x9A) & (third == 0x80) | general
+             | (first == 0xE2) & (second == 0x81) & (third == 0x9F) | (first == 0xE3) & (second == 0x80) & (third == 0x80))
+    return lead[found]
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str, ranks: str | None):
-    """A function of texts to packed ids (uint16 or uint32) of a byte-level BPE vocabulary.
+    """A function of an array of texts to the packed ids (uint16 or uint32) of each, of a byte-level BPE vocabulary.
+
+    A batch is cut into pieces (``_COARSE``) by its bytes, each different piece is encoded once, and the texts' ids are gathered
+    from those. Texts with white space beyond ASCII or with a special token are encoded one by one.
 
     ``vocabulary`` is a tokenizers file by its name in the folder of public tokenizers or by its path; ``ranks`` the same
     vocabulary as merge ranks, which encode single words faster.
@@ -88,10 +141,33 @@ def encoder(vocabulary: str, ranks: str | None):
         encode = whole
     known = _Known(encode, dtype)
 
-    def packed(text: str) -> bytes:
-        if any(s in text for s in special):
+    def alone(text: str) -> bytes:
+        if any(x in text for x in special):
             return np.asarray(whole(text), dtype=dtype).tobytes()
-        return b"".join(map(known.__getitem__, _COARSE.findall(text)))
+        return b"".join(known([x.encode() for x in _COARSE.findall(text)], False))
+
+    def packed(texts: pa.Array) -> list[bytes]:
+        raw, offsets = text_buffers(texts)
+        other = np.zeros(len(texts), dtype=bool)
+        other[np.searchsorted(offsets, _wide_blanks(raw), side="right") - 1] = True
+        for x in special:
+            other |= pc.match_substring(texts, x).fill_null(False).to_numpy(zero_copy_only=False)
+        if other.any():
+            raw, offsets = text_buffers(pc.if_else(pa.array(other), "", texts))
+        starts = _pieces(raw, offsets)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
+        pieces = pieces.dictionary_encode()
+        ids = known(pieces.dictionary.to_pylist(), True)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // dtype.itemsize
+        flat, begins = np.frombuffer(b"".join(ids), dtype=dtype), np.cumsum(lengths) - lengths
+        entry = pieces.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(lengths[entry])))
+        gathered = flat[np.arange(ends[-1]) + np.repeat(begins[entry] - ends[:-1], lengths[entry])]
+        at = ends[np.searchsorted(starts, offsets)]
+        found = [gathered[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(other).tolist():
+            found[i] = alone(texts[i].as_py() or "")
+        return found
 
     return packed, dtype
 
@@ -103,17 +179,13 @@ def tokenized(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str
         packed, dtype = encoder(vocabulary, ranks)
         last = np.asarray([end], dtype=dtype).tobytes()
         for batch in batches:
-            ids, at, size = [], 0, 0
-            texts = batch.column(1)
-            for i in range(len(texts)):
-                ids.append(packed(texts[i].as_py() or "") + last)
-                size += len(ids[-1])
-                if size >= 4 << 20 or i == len(texts) - 1:
-                    yield pa.record_batch(
-                        [batch.column(0).slice(at, len(ids)), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()),
-                         pa.array([dtype.itemsize == 4] * len(ids)), pa.array(ids, pa.binary())],
-                        names=["key", "tokens", "wide", "ids"])
-                    ids, at, size = [], i + 1, 0
+            for a, b in slices(batch.column("text"), 4 << 20):
+                part = batch.slice(a, b - a)
+                ids = [x + last for x in packed(part.column("text"))]
+                yield pa.record_batch(
+                    [part.column("key"), pa.array([len(x) // dtype.itemsize for x in ids], pa.int64()),
+                     pa.array([dtype.itemsize == 4] * len(ids)), pa.array(ids, pa.binary())],
+                    names=["key", "tokens", "wide", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, tokens long, wide boolean, ids binary")
