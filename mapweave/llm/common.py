@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mapweave.session import checkpoint_root, materialize
 
-__all__ = ["cells", "documents", "let", "materialize", "numbered", "scratch_path", "slices"]
+__all__ = ["broadcast_model", "cells", "documents", "let", "materialize", "numbered", "release_models", "scratch_path", "slices"]
 
 #: Words are maximal runs of other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +28,21 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{checkpoint_root(spark)}/mapweave/{kind}-{uuid.uuid4().hex}"
 
 
+_HELD: list[Broadcast] = []
+
+
+def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
+    """A model of fixed size for all tasks, until ``release_models``."""
+    _HELD.append(spark.sparkContext.broadcast(model))
+    return _HELD[-1]
+
+
+def release_models() -> None:
+    """Removes the models that were broadcast: for callers that have written what was made with them."""
+    while _HELD:
+        _HELD.pop().destroy()
+
+
 def let(value: Column, then) -> Column:
     """``then`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import materialize
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links`` (a, b: long) to (node, label): the smallest node that can be reached. Only linked nodes have a row.
+    """``links`` (a, b: long) to (node, label): the smallest node that can be reached. Only linked nodes have a row, each once, however
+    often a link is repeated. Links with a null end and links of a node with itself link nothing; without links there are no rows.
 
     Every round all nodes of a label take the smallest label that any of them sees, then the label of that label, by the
     same step. So whole clusters meet, in any order of the ids: a path of n nodes takes about log2 n rounds. It ends
@@ -22,9 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         return state
     while True:
         near = edges.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = Observation()
         hooks = materialize(state.join(near, "node").groupBy("label").agg(F.min("near").alias("near")).select(
-            "label", F.least("label", "near").alias("hook")))
-        if hooks.where("hook < label").isEmpty():
+            "label", F.least("label", "near").alias("hook")).observe(lower, F.count_if(F.col("hook") < F.col("label")).alias("n")))
+        if not lower.get["n"]:
             return state
         # a hook is a node with a label of its own, and that label has a hook
         onward = hooks.select("label", F.col("hook").alias("node")).join(state.withColumnRenamed("label", "next"), "node")

@@ -82,8 +82,7 @@ def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _to_buckets(buckets: int):
     """Packs (set id, hashes) into one row per bucket, some millions of entries at a time.
 
-    Of a hash that several sets of a task have, one entry goes on, with the number of sets; its sets are kept apart
-    (``many``), as they are shared whatever other tasks have. So a very frequent hash takes one entry per task.
+    All entries of a hash go to one bucket, 16 bytes for each set that has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +362,7 @@ def survivors(docs: DataFrame, sets: DataFrame, text: str, words: int, percent:
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     whole = texts.mapInArrow(run, "text_hash long, n long, hashes binary").dropDuplicates(["text_hash", "n"])
     whole = materialize(classes.join(whole, ["text_hash", "n"]).drop("text_hash"))
+    table.destroy()
     return materialize(whole.drop("hashes").join(ordered_sets(whole), "id").where(F.octet_length("tokens") / 8 * 100 >= percent * F.col("n")))
 
 
@@ -410,7 +410,7 @@ def labels_of(sets: DataFrame, percent: int) -> DataFrame:
     for end in ("a", "b"):
         named = known.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
         ends = ends.join(named, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-    joined = components(ends.where("a <> b").distinct())
+    joined = components(ends.where("a <> b"))
     both = known.join(joined.withColumnRenamed("label", "_low").withColumnRenamed("node", "label"), "label", "left").select(
         F.col("node").alias("id"), F.coalesce("_low", "label").alias("label"))
     # sets that were alone until now
@@ -422,11 +422,10 @@ def classified(docs: DataFrame, key: str, text: str, words: int, percent: int) -
     """key, text_hash, n and component_id of every row."""
     sets = materialize(shingled(docs, key, text, words, percent).withColumn("row_no", F.monotonically_increasing_id()))
     near = survivors(docs, sets, text, words, percent)
-    labels = labels_of(near, percent)
-    classes = near.select("id", "s1", "s2", "n").join(labels, "id")
+    classes = materialize(near.select("id", "s1", "s2", "n").join(labels_of(near, percent), "id"))
     # every row's class, then the smallest key of the class, then of its component
     smallest = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("least"))
-    joined = smallest.join(classes, ["s1", "s2", "n"], "left")
+    joined = materialize(smallest.join(classes, ["s1", "s2", "n"], "left"))
     of_label = joined.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("lowest"))
     named = joined.join(of_label, "label", "left").select("s1", "s2", "n", F.coalesce("lowest", "least").alias("component_id"))
     rows = sets.select("key", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
@@ -444,7 +443,7 @@ def first_of_components(docs: DataFrame, key: str, text: str, words: int, percen
     Texts without words stay, repeated rows of one key and text are one row. Rows without a key go if their component has a key; in a
     component without any key every different text stays. Only what goes is joined to the texts.
     """
-    rows = classified(docs, key, text, words, percent).where("n > 0")
+    rows = materialize(classified(docs, key, text, words, percent).where("n > 0"))
     gone = materialize(rows.where(~F.col("key").eqNullSafe(F.col("component_id"))).select("key", "text_hash").distinct())
     again = materialize(rows.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").agg(
         F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"))

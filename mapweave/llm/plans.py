@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import fingerprints, langid, media, mixing, ngramjoin, packing, pii, ranked, runs, secretscan, toxicity, urlrules, warc
@@ -76,33 +76,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", URL_RULES)
 
 
-def _fold(modulus: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
-
-
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(_fold(4) == 2, F.lit(False)))
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(toxicity.held_out(4) == 2, F.lit(False)))
     rows = labelled_sample(docs.where("NOT held_out").select("doc_id", "text", "lang"), "lang", "doc_id", langid.PER_LANGUAGE)
     found = langid.identify(docs, "doc_id", "text", langid.fit([(r["text"], r["lang"]) for r in rows]))
-    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
-
-
-def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model | None:
-    """Fitted on labelled rows of ``docs`` outside the held-out fold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(_fold(5) != 0)
-    picked = labelled_sample(labels, "toxic", "doc_id", toxicity.PER_LABEL)
-    sample = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int").dropDuplicates(["doc_id"])
-    # at most 1.5 * PER_LABEL rows a label
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    return toxicity.fit_in_task(rows, "doc_id", "text", "toxic")
+    return found.select("doc_id", F.coalesce(toxicity.held_out(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query("op5_toxicity_cnn")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = toxicity.score(docs, "doc_id", "text", toxicity_model(docs, spark, sf_dir))
-    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.score(docs, "doc_id", "text", toxicity.fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", F.coalesce(toxicity.held_out(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op6_minhash_fingerprints")

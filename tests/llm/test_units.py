@@ -144,8 +144,38 @@ def test_encoder_agrees_with_the_tokenizers_library():
     rng = random.Random(5)
     letters = [chr(c) for c in (32, 32, 10, 9, 13, 11, 12, 28, 31, 133, 160, 8195, 12288, 8203, 97, 98, 65, 39, 115, 49, 46, 33, 233, 20013, 128512)]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 16))) for _ in range(1500)]
-    for text in [*texts, "<|endoftext|> a", "can't  stop\n\n x"]:
-        assert np.frombuffer(packed(text), dtype=dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    texts += ["", None, "<|endoftext|> a", "can't  stop\n\n x", " ", "\n", "a ", " a", "b" * 300, "x\u2028y \u3000 z\xa0"]
+    for batch in (texts, texts[3:4], []):
+        got = packed(pa.array(batch, pa.string()))
+        assert [np.frombuffer(x, dtype=dtype).tolist() for x in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in batch]
+
+
+def test_encoder_agrees_on_whole_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed, dtype = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert [np.frombuffer(x, dtype=dtype).tolist() for x in packed(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_train_on_their_strongest_words(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(0, 1, (toxicity.BUCKETS + 1, toxicity.DIM)).astype(np.float32),
+                           [rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+                           rng.normal(0, 1, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.0)
+    model.vectors[toxicity.BUCKETS] = 0
+    words = toxicity._features(pa.array([" ".join(f"w{i * i % 611}" for i in range(400))]))[0]
+    want = model.responses(words, np.array([0, len(words)]))
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 50)
+    best, places, rows = model.strongest(words)
+    assert (best >= want - 1e-5).all()  # a part's end is padded, too
+    for k, width in enumerate(toxicity.WIDTHS):
+        for c in range(toxicity.FILTERS):
+            at = places[0, k * toxicity.FILTERS + c]
+            again = sum(model.vectors[rows[at + j]].sum(axis=0) @ model.filters[k][j][:, c] for j in range(width))
+            assert again == pytest.approx(best[0, k * toxicity.FILTERS + c], abs=1e-3)
 
 
 def test_water_fill():
