@@ -3,6 +3,13 @@ are mixed to target weights, and the mix is packed into windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the shared checkpoint
 folder and reads again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Edge cases, by stage. A null or empty text scores as harmless, is no near copy, has nothing to redact, gives no words to the
+mix, so it ends with the mixing stage. Long texts are worked on whole. A null doc_id stays as it is: such rows are near copies only of
+each other's texts and go where a document with an id has the same text. Repeated rows of one id and text become one row in
+near_copies, whose ties go to the smallest doc_id. A null source is a source of its own, a null lang or n_chars has no say. Labels that are
+missing teach nothing; without labels of both kinds nothing is toxic. Empty tables give no rows. Columns that documents has
+beside its own pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import mixing, ngramjoin, packing, pii, toxicity
-from mapweave.llm.common import documents, materialize
-from mapweave.llm.plans import toxicity_model
+from mapweave.llm.common import documents, materialize, release_models
 from mapweave.session import recorded, remove_tables
 
 _Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,13 +29,14 @@ _left: list[str] = []
 
 
 def stage(fn: _Stage) -> _Stage:
-    """When a stage begins, what the one before has returned is written: the tables that it was made of go. The first stage
-    begins a run of its own, and leaves those of the last stage of another run, whose result may still be wanted."""
+    """When a stage begins, what the one before has returned is written: the tables and models that it was made of go. The
+    first stage begins a run of its own, and leaves those of the last stage of another run, whose result may still be wanted."""
 
     @wraps(fn)
     def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if fn.__name__ != STAGES[0][1].__name__:
             remove_tables(spark, _left)
+            release_models()
         with recorded() as paths:
             found = fn(spark, docs, sf_dir)
         _left[:] = paths
@@ -41,7 +48,7 @@ def stage(fn: _Stage) -> _Stage:
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model is fitted on labelled documents of the given tables."""
-    model = toxicity_model(docs, spark, sf_dir)
+    model = toxicity.fit_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_below(docs, "text", model, 0.5)
 
 
