@@ -12,7 +12,7 @@ from mapweave.plans import sqlkit as q
 from mapweave.plans.registry import register
 from mapweave.plans.roles import with_roles
 from mapweave.session import run_folder
-from mapweave.sources.documents import write_document
+from mapweave.sources.documents import read_document, write_document
 
 
 def stamp(column: str):
@@ -395,14 +395,13 @@ def d23(t):
     ),
 )
 def d23c(t):
-    """The documents as one JSON file, read back by Spark's JSON source."""
+    """The documents as one JSON file, read back by ranges of its lines."""
     path = f"{run_folder(t.spark)}/documents-{uuid.uuid4().hex}/sessions.json"
     lines = ops.result_documents(t.search_sessions.select("session_id", "name"), t.search_queries, t.search_results)
     write_document(lines.orderBy(*ops.DOCUMENT_ORDER), path)
-    schema = "session_id bigint, name string, queries array<struct<query_id bigint, results array<struct<rank bigint, url string>>>>"
-    found = t.spark.read.schema(schema).option("multiLine", True).json(path)
-    size = lambda c: F.size(c).cast("bigint")
-    return found.select("session_id", "name", size("queries").alias("n_queries"), size(F.flatten("queries.results")).alias("n_results"))
+    found = ops.read_result_documents(read_document(t.spark, path))
+    return found.groupBy("session_id").agg(
+        F.max("name").alias("name"), F.count_if(F.col("kind") == "query").alias("n_queries"), F.count_if(F.col("kind") == "result").alias("n_results"))
 
 
 @register(

@@ -124,6 +124,30 @@ def test_nested_documents_are_one_json_array(spark, tmp_path):
     assert urls == [f"u{i}" for i in sorted(range(2000), key=lambda i: (i % 900 // 2, i))]
 
 
+def test_nested_documents_are_read_by_ranges(spark, tmp_path):
+    from mapweave.sources.documents import read_document, write_document
+
+    frame = spark.createDataFrame
+    sessions = frame([(1, 'a "x"'), (2, "b"), (7, "no queries")], "session_id bigint, name string")
+    queries = frame([(1, 10, "q"), (1, 11, "none found"), (2, 5, "é")], "session_id bigint, query_id bigint, query_text string")
+    results = frame([(10, i, i, f"u{i}", '{"session_id":3}\n') for i in range(2000)] + [(5, 9999, None, "v", None)],
+                    "query_id bigint, result_id bigint, rank bigint, url string, title string")
+    path = str(tmp_path / "s.json")
+    write_document(sessions_ops.result_documents(sessions, queries, results).orderBy(*sessions_ops.DOCUMENT_ORDER), path)
+    bound = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # a query goes through many blocks
+    try:
+        lines = read_document(spark, path)
+        assert lines.select("block").distinct().count() > 9
+        rows = sessions_ops.read_result_documents(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bound)
+    of = lambda kind: [r for r in rows if r["kind"] == kind]
+    assert sorted((r["session_id"], r["name"]) for r in of("session")) == [(1, 'a "x"'), (2, "b"), (7, "no queries")]
+    assert sorted((r["session_id"], r["query_id"], r["query_text"]) for r in of("query")) == [(1, 10, "q"), (1, 11, "none found"), (2, 5, "é")]
+    assert sorted((r["session_id"], r["query_id"], r["url"]) for r in of("result")) == sorted([(1, 10, f"u{i}") for i in range(2000)] + [(2, 5, "v")])
+
+
 def test_content_documents_hold_everything(spark):
     frame = spark.createDataFrame
     contents = frame([(1, "en"), (2, "da")], "content_id bigint, language string")
