@@ -35,11 +35,13 @@ def c1(t):
     return t.pages.select("page_id", pg.clean_html(decoys()).alias("html"))
 
 
-# The given pages hold no removed blocks besides scripts and styles, so their text is plain tag removal.
+# The given pages hold no removed blocks besides scripts and styles, so their text is plain tag removal. References are read as HTML reads them:
+# these names also count without a semicolon (titles of the given pages are cut inside "&amp;").
 _TEXT_SQL = r"""SELECT page_id, html, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split_regex(
       regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>'),
-      lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-        '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), ' +', ' ', 'g'))
+      lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'),
+        '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), ' +', ' ', 'g'))
       AS text FROM pages"""
 
 
@@ -49,8 +51,9 @@ def c2(t):
 
 
 def _unescape_sql(x):
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = f"replace({x}, '{a}', '{b}')"
+    """References as HTML reads them: names without "#" also count without a semicolon."""
+    for a, b in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;?", " "), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
     return x
 
 

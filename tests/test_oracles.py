@@ -46,3 +46,15 @@ def test_query_equals_sql(spark, duck, name):
 def test_every_sql_has_a_query_and_the_flagship_runs(spark):
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert entry_point.entry(spark).count() == 1
+
+
+def test_page_sql_reads_references_without_semicolon(spark, duck, tmp_path):
+    """Titles that end in a cut reference, as some pages of the larger tables have them."""
+    pages = [(i, f"https://e.org/{i}", f"<html><head><title>R &amp; D &lt;{i}&quot;&{cut}</title></head><body><h1>x</h1><p>a &copy b &middot c &{cut}</p></body></html>")
+             for i, cut in enumerate(["amp", "am", "lt", "gt", "quot", "amp;", "amp", "amp"])]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    for name in ("c2_extract_text", "c3_title", "c4_meta_description", "c7b_content_page_text"):
+        df = entry_point.queries()[name](spark, str(tmp_path))
+        sql = f"WITH pages AS (SELECT * FROM '{tmp_path}/pages.parquet/*.parquet') SELECT {', '.join(df.columns)} FROM ({entry_point.oracle_sql()[name]})"
+        assert sorted(map(tuple, df.collect())) == sorted(duck.execute(sql).fetchall())
