@@ -64,20 +64,40 @@ class Range(InputPartition):
     row: int = 0
 
 
+@dataclass
+class Share(InputPartition):
+    """Ranges that follow each other, read by one task."""
+    ranges: list[Range]
+
+
 def _ranges(files: Sequence[tuple[str, int]], size: int) -> list[Range]:
     return [Range(name, at, min(total, at + size)) for name, total in files for at in range(0, total, size)]
 
 
+def _shares(ranges: Sequence[Range], tasks: int) -> list[Share]:
+    """Short ranges and files are dealt together: a share has a ``tasks``-th of all bytes, RANGE_BYTES at most, or is one range."""
+    bound = min(RANGE_BYTES, -(-sum(r.stop - r.start for r in ranges) // tasks))
+    found, room = [], 0
+    for r in ranges:
+        if not found or r.stop - r.start > room:
+            found.append(Share([]))
+            room = bound
+        found[-1].ranges.append(r)
+        room -= r.stop - r.start
+    return found or [Share([])]
+
+
 class _Scan(DataSourceReader):
     def __init__(self, options):
-        self.path, self.size = options["path"], int(options["rangeBytes"])
+        self.path, self.size, self.tasks = options["path"], int(options["rangeBytes"]), int(options.get("tasks", 1))
+
+    def partitions(self) -> list[Share]:
+        return _shares(_ranges(list_files(self.path), self.size), self.tasks)
 
-    def partitions(self) -> list[Range]:
-        return _ranges(list_files(self.path), self.size) or [Range("", 0, 0)]
+    def read(self, share: Share) -> Iterator[tuple]:
+        return map(self._scanned, share.ranges)
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        if not part.file:
-            return
+    def _scanned(self, part: Range) -> tuple:
         fs, _ = _filesystem(self.path)
         with fs.open_input_file(part.file) as file:
             ahead = min(2, part.start)
@@ -86,16 +106,20 @@ class _Scan(DataSourceReader):
         plain, inside = (len(record_ends(data, q, before)) for q in (False, True))
         ended = not part.start or before[-1:] == b"\n"
         empty = before[-1:] == b"\r" and before[:-1] in (b"", b"\n") and data[:1] == b"\n"
-        yield part.file, part.start, part.stop, data.count(b'"'), plain, inside, not (ended or empty)
+        return part.file, part.start, part.stop, data.count(b'"'), plain, inside, not (ended or empty)
 
 
 class _Rows(DataSourceReader):
     def __init__(self, options):
-        self.path, self.plan = options["path"], json.loads(options["plan"])
+        self.path, self.plan, self.tasks = options["path"], json.loads(options["plan"]), int(options.get("tasks", 1))
         self.columns, self.headers = json.loads(options["columns"]), json.loads(options["headers"])
 
-    def partitions(self) -> list[Range]:
-        return [Range(*r) for r in self.plan] or [Range("", 0, 0)]
+    def __getstate__(self) -> dict:
+        """What a task gets: its own share comes beside it, the plan of all ranges stays."""
+        return {**self.__dict__, "plan": None}
+
+    def partitions(self) -> list[Share]:
+        return _shares([Range(*r) for r in self.plan], self.tasks)
 
     def _records(self, part: Range) -> bytes:
         """The bytes of the records that begin in the range."""
@@ -125,20 +149,20 @@ class _Rows(DataSourceReader):
                 tail, state, at = tail + more, (more.count(b'"') + state) % 2, at + len(more)
         return data[begin:] + tail
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.file:
-            return
-        text = self._records(part).decode("utf-8-sig" if part.start == 0 else "utf-8", "replace")
-        place = [self.headers[part.file].index(c) if c in self.headers[part.file] else None for c in self.columns]
-        kept, row = [], part.row
-        for record in csv.reader(io.StringIO(text, newline="")):
-            if record:
-                if row > 0:  # row 0 names the columns
-                    kept.append((part.file, row - 1, *[(record[i] or None) if i is not None and i < len(record) else None for i in place]))
-                row += 1
-            if len(kept) >= 10_000:
-                yield self._batch(kept)
-                kept = []
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for part in share.ranges:
+            text = self._records(part).decode("utf-8-sig" if part.start == 0 else "utf-8", "replace")
+            place = [self.headers[part.file].index(c) if c in self.headers[part.file] else None for c in self.columns]
+            row = part.row
+            for record in csv.reader(io.StringIO(text, newline="")):
+                if record:
+                    if row > 0:  # row 0 names the columns
+                        kept.append((part.file, row - 1, *[(record[i] or None) if i is not None and i < len(record) else None for i in place]))
+                    row += 1
+                if len(kept) >= 10_000:
+                    yield self._batch(kept)
+                    kept = []
         if kept:
             yield self._batch(kept)
 
@@ -194,8 +218,9 @@ def read_rows(spark: SparkSession, path: str, columns: Sequence[str], required:
         missing = [c for c in required if c not in header]
         if missing:
             raise ValueError(f"{name}: missing required columns: {', '.join(missing)}")
+    tasks = 2 * spark.sparkContext.defaultParallelism
     # a few numbers for each range
-    scanned = spark.read.format("csv_scan").option("path", path).option("rangeBytes", range_bytes).load().orderBy("file", "start").collect()
+    scanned = spark.read.format("csv_scan").option("path", path).option("rangeBytes", range_bytes).option("tasks", tasks).load().orderBy("file", "start").collect()
     plan, at, quoted, row = [], None, 0, 0
     for r in scanned:
         if r["file"] != at:
@@ -204,7 +229,7 @@ def read_rows(spark: SparkSession, path: str, columns: Sequence[str], required:
         plan.append([r["file"], r["start"], r["stop"], bool(quoted), row + int(bool(quoted) or r["amid"])])
         row += r["inside"] if quoted else r["plain"]
         quoted = (quoted + r["quotes"]) % 2
-    reader = spark.read.format("csv_rows").option("path", path).option("plan", json.dumps(plan))
+    reader = spark.read.format("csv_rows").option("path", path).option("plan", json.dumps(plan)).option("tasks", tasks)
     return reader.option("columns", json.dumps(list(columns))).option("headers", json.dumps(headers)).load()
 
 

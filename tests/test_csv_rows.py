@@ -63,3 +63,18 @@ def test_files_of_a_folder_with_errors_by_row(spark, tmp_path):
     (tmp_path / "up" / "c.csv").write_text("framing\nx\n")
     with pytest.raises(ValueError, match="missing required columns: query"):
         bulk.read_bulk_csv(spark, str(tmp_path / "up"))
+
+
+def test_short_ranges_share_tasks_and_tasks_do_not_get_the_plan(spark, tmp_path):
+    import pickle
+
+    lines = [f'"q\n{i}",{i % 9}' for i in range(3000)]
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("query,max_results\n" + "\n".join(lines) + "\n")
+    found = csv_rows.read_rows(spark, str(tmp_path), ("query", "max_results"), range_bytes=50)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism + 1
+    rows = sorted((r["file"][-5:], r["row_number"], r["query"], r["max_results"]) for r in found.collect())
+    assert rows == [(f, i, f"q\n{i}", str(i % 9)) for f in ("a.csv", "b.csv") for i in range(3000)]
+    plan = [["f", i, i + 1, False, 0] for i in range(5000)]
+    reader = csv_rows._Rows({"path": "p", "plan": json.dumps(plan), "columns": "[]", "headers": "{}"})
+    assert len(pickle.dumps(reader)) < 1000 and sum(len(s.ranges) for s in reader.partitions()) == 5000
