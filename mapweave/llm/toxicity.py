@@ -2,9 +2,10 @@
 
 A word (a run of letters or bytes above 127, A-Z lower-cased) is the sum of the vectors of its hash and of the hashes of
 its first four and five bytes. Filters of widths 1 to 3 slide over the words of the whole text, the largest response of
-each filter goes into a logistic layer. Trained in numpy (Adagrad) on a bounded sample of labelled rows; only where a
-filter is largest does a word get a gradient. On rows that training left out, a threshold is chosen for each language and
-moved to 0.5. The language of a text is guessed from its own frequent words, never from a column.
+each filter goes into a logistic layer. All labelled rows teach: Spark counts the buckets of both labels, shards of rows are
+trained beside each other (numpy, Adagrad; only where a filter is largest does a word get a gradient) and their changes are
+averaged, round by round. On every sixth row, which training leaves out, a threshold is chosen for each language and moved
+to 0.5. The language of a text is guessed from its own frequent words, never from a column.
 
 Texts without words, null ones included, get the score of a text of padding. Without labels of both kinds every score is
 0. Repeated rows get equal scores; an empty table gives no rows.
@@ -12,22 +13,25 @@ Texts without words, null ones included, get the score of a text of padding. Wit
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import broadcast_model, slices
-from mapweave.llm.sampling import labelled_sample
 from mapweave.llm.shingles import hash_words
+from mapweave.session import materialize_bucketed, recorded, remove_tables
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 12, 8, (1, 2, 3)
-PER_LABEL = 3000  # bound of the sample that training sees
+SHARD_ROWS = 3000  # labelled rows that are trained on one after the other; more rows are more shards
+EPOCHS = (3, 2)  # passes over a shard in each round; after a round the shards' changes are averaged
+FILTER_BITS = 1 << 26  # 8 MB; tells labelled keys from most others
+HELD = 6  # every sixth row calibrates
+STEP = 1 << 24  # changes are summed in whole steps of 1 / STEP, so that sums depend on no order
+LOGIT_BINS = 256  # bins of a logit's unit that thresholds are told apart by
 CHUNK_WORDS = 1 << 16
 CAUTION = 1.5  # standard errors that a bucket's first weight is held back by
 #: Frequent words that tell the four languages apart, for the choice of a threshold only.
@@ -162,43 +166,49 @@ def _parts(at: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int]]]:
         i = j
 
 
-def positive_of(labels: np.ndarray) -> int:
-    return int((labels == 1).sum())
-
-
-def fit(rows: list[tuple[str | None, int]], epochs: int = 5, rate: float = 0.1, batch: int = 16, seed: int = 3) -> Model | None:
-    """A model of rows (text, 0 or 1), or None unless both labels occur. Every sixth row calibrates."""
-    labels = np.array([int(y) for _, y in rows])
-    if len(set(labels.tolist())) < 2:
-        return None
+def _untrained(seed: int) -> Model:
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    held = order[::6] if len(rows) >= 60 else order[:0]
-    train = np.setdiff1d(order, held)
-    made = [_features(pa.array([t or ""], pa.string()))[0].astype(np.int32) for t, _ in rows]
     vectors = rng.normal(0, 0.1, (BUCKETS + 1, DIM)).astype(np.float32)
     vectors[BUCKETS] = 0
-    model = Model(vectors, [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
-                  rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)
-    # the first filter begins as a detector: each bucket's log-odds between the labels, less its standard errors
-    seen = {y: np.zeros(BUCKETS + 1) for y in (0, 1)}
-    for i in train:
-        seen[int(labels[i])][np.unique(made[i])] += 1
+    return Model(vectors, [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
+                 rng.normal(0, 0.3, FILTERS * len(WIDTHS)), 0.0)
+
+
+def _start(seen: np.ndarray, rows: tuple[int, int], seed: int) -> Model:
+    """A model whose first filter begins as a detector: each bucket's log-odds between the labels, less its standard errors.
+
+    ``seen`` has the rows of label 0 and of label 1 that hold each bucket, ``rows`` all of them."""
+    model = _untrained(seed)
     one, none = seen[1] + 0.5, seen[0] + 0.5
-    odds = np.log(one / (positive_of(labels[train]) + 1)) - np.log(none / (len(train) - positive_of(labels[train]) + 1))
+    odds = np.log(one / (rows[1] + 1)) - np.log(none / (rows[0] + 1))
     sure = np.maximum(np.abs(odds) - CAUTION * np.sqrt(1 / one + 1 / none), 0) * np.sign(odds)
     sure[BUCKETS] = 0
     model.vectors[:, 0] = sure
     model.filters[0][0, :, 0] = 0
     model.filters[0][0, 0, 0] = 1
     model.layer[0] = 1
-    past = {"v": np.full(vectors.shape, 1e-3, dtype=np.float32), "l": np.full(model.layer.shape, 1e-2), "b": 1e-2,
+    return model
+
+
+def _seen(made: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    seen = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    for words, y in zip(made, labels, strict=True):
+        seen[int(y)][np.unique(words)] += 1
+    return seen
+
+
+def _made(texts: list[str | None]) -> list[np.ndarray]:
+    return [_features(pa.array([t or ""], pa.string()))[0].astype(np.int32) for t in texts]
+
+
+def _train(model: Model, made: list[np.ndarray], labels: np.ndarray, rows: tuple[int, int], epochs: int, rng: np.random.Generator,
+           rate: float = 0.1, batch: int = 16) -> None:
+    """Passes over ``made`` that change ``model``. ``rows``: rows of label 0 and 1 in all shards, which weigh the labels."""
+    past = {"v": np.full(model.vectors.shape, 1e-3, dtype=np.float32), "l": np.full(model.layer.shape, 1e-2), "b": 1e-2,
             "f": [np.full(f.shape, 1e-2, dtype=np.float32) for f in model.filters]}
-    positive = max(1, positive_of(labels[train]))
-    weight = np.where(labels == 1, (len(train) - positive) / positive if positive < len(train) else 1.0, 1.0)
-    weight = np.clip(weight, 1.0, 10.0)
+    weight = np.clip(np.where(labels == 1, rows[0] / max(1, rows[1]) if rows[0] else 1.0, 1.0), 1.0, 10.0)
     for _ in range(epochs):
-        shuffled = rng.permutation(train)
+        shuffled = rng.permutation(len(made))
         for b in range(0, len(shuffled), batch):
             pick, group, room = shuffled[b: b + batch], [], 0
             groups = []
@@ -250,21 +260,137 @@ def fit(rows: list[tuple[str | None, int]], epochs: int = 5, rate: float = 0.1,
                     total[ids == BUCKETS] = 0
                     past["v"][ids] += total**2
                     model.vectors[ids] -= rate * total / np.sqrt(past["v"][ids])
+
+
+def fit(rows: list[tuple[str | None, int]], seed: int = 3) -> Model | None:
+    """A model of rows (text, 0 or 1) in one shard, or None unless both labels occur. Every sixth row calibrates."""
+    labels = np.array([int(y) for _, y in rows])
+    if len(set(labels.tolist())) < 2:
+        return None
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(rows))
+    held = order[::HELD] if len(rows) >= 10 * HELD else order[:0]
+    train = np.setdiff1d(order, held)
+    made, own = _made([rows[i][0] for i in train]), labels[train]
+    known = (int((own == 0).sum()), int((own == 1).sum()))
+    model = _start(_seen(made, own), known, seed)
+    for epochs in EPOCHS:
+        _train(model, made, own, known, epochs, rng)
     if len(held):
-        _calibrate(model, [rows[i][0] or "" for i in held], labels[held])
+        words, at = _features(pa.array([rows[i][0] or "" for i in held], pa.string()))
+        _calibrate(model, _logit_counts(model, words, at, labels[held], _language_table()))
     return model
 
 
-def fit_in_task(sample: DataFrame, key: str, text: str, label: str) -> Model | None:
-    """``fit`` in one task, on a sample of bounded size; only the model, of fixed size, comes to the driver."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for f in frames for r in zip(f["key"], f["text"], f["label"], strict=True)]
-        rows.sort(key=lambda r: r[0])
-        yield pd.DataFrame({"model": [pickle.dumps(fit([(t, int(y)) for _, t, y in rows]))]})
-
-    rows = sample.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).repartition(1)
-    found = rows.mapInPandas(run, "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else None
+def _flat(model: Model) -> np.ndarray:
+    """All numbers of a model in rows of DIM: first the vectors, then filters, layer and bias."""
+    rest = np.concatenate([*[f.ravel() for f in model.filters], model.layer, [model.bias]])
+    rest = np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)
+    return np.concatenate([model.vectors.astype(np.float64), rest])
+
+
+def _moved(model: Model, flat: np.ndarray) -> Model:
+    """The model with the numbers of ``flat``."""
+    rest, filters = flat[BUCKETS + 1:].ravel(), []
+    for f in model.filters:
+        filters.append(rest[: f.size].reshape(f.shape).astype(np.float32))
+        rest = rest[f.size:]
+    n = len(model.layer)
+    return Model(flat[: BUCKETS + 1].astype(np.float32), filters, rest[:n].copy(), float(rest[n]))
+
+
+def _shard(table: pa.Table) -> tuple[list[str | None], np.ndarray]:
+    """Texts and labels of a shard by ascending key; of several rows of one key the largest text and label count."""
+    best: dict[int, tuple[str | None, int]] = {}
+    for key, text, y in zip(*[table[c].to_pylist() for c in ("key", "text", "label")], strict=True):
+        known = best.get(key)
+        if known is not None and (text is None or (known[0] is not None and known[0].encode() > text.encode())):
+            text = known[0]
+        best[key] = (text, max(y, known[1]) if known else y)
+    rows = [best[k] for k in sorted(best)]
+    return [t for t, _ in rows], np.array([y for _, y in rows], dtype=np.int64)
+
+
+def fit_all(rows: DataFrame, shards: int, seed: int = 3) -> Model | None:
+    """A model of all ``rows`` (key, text, label), which become ``shards`` parts by a hash of the key. None unless both labels occur.
+
+    The driver gets sums of fixed size: two counts a bucket, a model a round, counts of logits by bin and language."""
+    spark = rows.sparkSession
+    place = F.xxhash64(F.lit(seed), "key")
+    with recorded() as paths:
+        saved = materialize_bucketed(rows.select("key", "text", "label", F.pmod(place, F.lit(shards)).cast("int").alias("shard")), "shard")
+    try:
+        n = {r[0]: r[1] for r in saved.groupBy("label").count().collect()}
+        if not n.get(0) or not n.get(1):
+            return None
+        # a key's fold does not follow from its shard
+        fold = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(HELD))
+        held = saved.where(fold == 0) if n[0] + n[1] >= 10 * HELD else None
+        train = saved.where(fold != 0) if held is not None else saved
+        return _fit_shards(spark, train, held, seed)
+    finally:
+        remove_tables(spark, paths)
+
+
+_COLUMNS = [f"d{i}" for i in range(DIM)]
+
+
+def _learner(shared, known: tuple[int, int], epochs: int, seed: tuple[int, int]):
+    """What a shard's training changes in the shared model, in whole steps, by row of ``_flat``."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        texts, labels = _shard(table)
+        old = _flat(shared.value)
+        own = _moved(shared.value, old)
+        _train(own, _made(texts), labels, known, epochs, np.random.default_rng((*seed, table["shard"][0].as_py())))
+        change = np.rint((_flat(own) - old) * STEP).astype(np.int64)
+        moved = change.any(axis=1)
+        moved[BUCKETS + 1:] = True
+        at = np.flatnonzero(moved)
+        return pa.table({"bucket": pa.array(at, pa.int32()), **{c: change[at, i] for i, c in enumerate(_COLUMNS)}})
+
+    return learn
+
+
+def _fit_shards(spark, train: DataFrame, held: DataFrame | None, seed: int) -> Model:
+    def count(table: pa.Table) -> pa.Table:
+        texts, labels = _shard(table)
+        seen = _seen(_made(texts), labels)
+        seen[:, BUCKETS] = np.bincount(labels, minlength=2)[:2]  # of all rows
+        at = np.flatnonzero(seen.any(axis=0))
+        return pa.table({"bucket": pa.array(at, pa.int32()), "zeros": seen[0][at], "ones": seen[1][at]})
+
+    counts = train.groupBy("shard").applyInArrow(count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros"), F.sum("ones"))
+    seen = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    at, *both = [c.to_numpy() for c in counts.toArrow().columns]
+    seen[:, at] = both
+    known = (int(seen[0][BUCKETS]), int(seen[1][BUCKETS]))
+    seen[:, BUCKETS] = 0
+    model = _start(seen, known, seed)
+    for turn, epochs in enumerate(EPOCHS):
+        shared = spark.sparkContext.broadcast(model)
+
+        changes = train.groupBy("shard").applyInArrow(_learner(shared, known, epochs, (seed, turn)), "bucket int, " + ", ".join(f"{c} long" for c in _COLUMNS))
+        # a bucket's change is the mean over the shards that changed it
+        means = changes.groupBy("bucket").agg(*[(F.sum(c) / F.count(F.lit(1)) / STEP).cast("float").alias(c) for c in _COLUMNS]).toArrow()
+        flat = _flat(model)
+        flat[means["bucket"].to_numpy()] += np.stack([means[c].to_numpy() for c in _COLUMNS], axis=1)
+        shared.destroy()
+        model = _moved(model, flat)
+    if held is not None:
+        shared = spark.sparkContext.broadcast((model, _language_table()))
+
+        def logits(table: pa.Table) -> pa.Table:
+            texts, labels = _shard(table)
+            words, at = _features(pa.array([t or "" for t in texts], pa.string()))
+            return pa.table(_logit_counts(shared.value[0], words, at, labels, shared.value[1]))
+
+        found = held.groupBy("shard").applyInArrow(logits, "language int, bin int, zeros long, ones long")
+        found = found.groupBy("language", "bin").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+        if found.num_rows:
+            _calibrate(model, {c: found[c].to_numpy() for c in found.column_names})
+        shared.destroy()
+    return model
 
 
 def held_out(modulus: int, key: str = "doc_id") -> Column:
@@ -273,35 +399,64 @@ def held_out(modulus: int, key: str = "doc_id") -> Column:
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of a bounded sample of ``docs`` (doc_id, text) by ``labels`` (doc_id, toxic) outside the held-out fold. Of several
+    """A model of all rows of ``docs`` (doc_id, text) that have ``labels`` (doc_id, toxic) outside the held-out fold. Of several
     labels or texts of one doc_id the largest counts."""
-    known = labels.select("doc_id", "toxic").where(held_out(5) != 0)
-    picked = labelled_sample(known, "toxic", "doc_id", PER_LABEL)
-    sample = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic int")
-    # at most 1.5 * PER_LABEL rows a label
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
-    return fit_in_task(rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "doc_id", "text", "toxic")
-
-
-def _calibrate(model: Model, texts: list[str], labels: np.ndarray, least: int = 20) -> None:
-    """Thresholds by language: the middle of the widest range of logits with the fewest errors."""
-    words, at = _features(pa.array(texts, pa.string()))
-    logits, language = model.logits(words, at), _guess(words, at, _language_table())
-
-    def threshold(z: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(z, kind="stable")
-        z, y = z[order], y[order]
-        wrong = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum() - np.concatenate([[0], np.cumsum(1 - y)]))
-        edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-        room = np.concatenate([[1.0], np.diff(z), [1.0]])
-        least_wrong = np.flatnonzero(wrong == wrong.min())
-        return float(edges[least_wrong[np.argmax(room[least_wrong])]])
-
-    model.shift[:] = threshold(logits, labels)
+    outside = held_out(5) != 0
+    known = labels.select("doc_id", "toxic").where(outside & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    rows = _with_bits(docs.select("doc_id", "text").where(outside), known).join(known.hint("merge"), "doc_id")
+    shards = max(1, -(-known.count() // SHARD_ROWS))
+    return fit_all(rows.select(F.col("doc_id").alias("key"), "text", (F.col("toxic") > 0).cast("int").alias("label")), shards)
+
+
+def _with_bits(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose bit some row of ``known`` has: most texts without a label are not moved. A bitmap of
+    fixed size, which only saves work; the join behind it is exact."""
+    parts = known.select((F.col("bit") + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts:  # bucket p = 1, 2, ... holds 4096 bytes
+        table[(r["part"] - 1) * 4096: r["part"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = broadcast_model(docs.sparkSession, table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch["bit"].to_numpy()
+            yield batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7)) & 1 == 1)).select(["doc_id", "text"])
+
+    rows = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    return rows.mapInArrow(run, docs.schema)
+
+
+def _logit_counts(model: Model, words: np.ndarray, at: np.ndarray, labels: np.ndarray, table: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of each label by guessed language and bin of their logit."""
+    bins = np.rint(np.clip(model.logits(words, at), -60, 60) * LOGIT_BINS).astype(np.int64)
+    pairs, inverse = np.unique(np.stack([_guess(words, at, table), bins]), axis=1, return_inverse=True)
+    ones = np.bincount(inverse.ravel(), weights=labels, minlength=pairs.shape[1]).astype(np.int64)
+    every = np.bincount(inverse.ravel(), minlength=pairs.shape[1]).astype(np.int64)
+    return {"language": pairs[0].astype(np.int32), "bin": pairs[1].astype(np.int32), "zeros": every - ones, "ones": ones}
+
+
+def _threshold(bins: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float:
+    """The middle of the widest range of logits with the fewest errors."""
+    values, inverse = np.unique(bins, return_inverse=True)
+    zeros, ones = (np.bincount(inverse, weights=w) for w in (zeros, ones))
+    z = values / LOGIT_BINS
+    wrong = np.concatenate([[0], np.cumsum(ones)]) + zeros.sum() - np.concatenate([[0], np.cumsum(zeros)])
+    edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    room = np.concatenate([[1.0], np.diff(z), [1.0]])
+    least_wrong = np.flatnonzero(wrong == wrong.min())
+    return float(edges[least_wrong[np.argmax(room[least_wrong])]])
+
+
+def _calibrate(model: Model, counts: dict[str, np.ndarray], least: int = 20) -> None:
+    """Thresholds by language, of the rows that ``_logit_counts`` counted."""
+    parts = [counts[c] for c in ("bin", "zeros", "ones")]
+    model.shift[:] = _threshold(*parts)
     for number in range(1, len(LANGUAGES)):
-        own = language == number
-        if own.sum() >= least and 0 < labels[own].sum() < own.sum():
-            model.shift[number] = threshold(logits[own], labels[own])
+        bins, zeros, ones = (p[counts["language"] == number] for p in parts)
+        if zeros.sum() + ones.sum() >= least and zeros.sum() and ones.sum():
+            model.shift[number] = _threshold(bins, zeros, ones)
     model.scale = 1.0
 
 

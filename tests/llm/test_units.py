@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from mapweave.llm import langid, media, mixing, ngramjoin, packing, shingles, toxicity, urlrules
+from mapweave.llm.sampling import labelled_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -257,3 +258,23 @@ def test_long_texts_are_scored_in_parts(monkeypatch):
     whole = model.scores(texts, toxicity._language_table())
     monkeypatch.setattr(toxicity, "CHUNK_WORDS", 32)
     assert np.allclose(whole, model.scores(texts, toxicity._language_table()), atol=1e-5)
+
+
+def test_all_labelled_rows_teach(spark):
+    """Words that only rows outside of a bounded sample hold are learned, whatever the layout."""
+    n, rare = 7_000, ["grubix", "vomtar", "skelpo", "dranuk", "wizzel"]
+    toxic = [f"scum {'tree' if i % 2 else 'house'} {i % 7}" for i in range(n)]
+    numbers = spark.createDataFrame([(i, 1) for i in range(n)] + [(n + i, 0) for i in range(n)], "doc_id long, toxic int")
+    taken = {r["doc_id"] for r in labelled_sample(numbers, "toxic", "doc_id", 3000)}
+    outside = [i for i in range(n) if i not in taken]
+    for k, word in enumerate(rare):
+        for i in outside[k * 15: k * 15 + 15]:
+            toxic[i] = f"nice day {word} house"
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(n + i, "nice day tree house", 0) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_labelled(docs, labels)
+    found = model.scores(pa.array([f"nice day {w} house" for w in rare] + ["nice day tree house", "nice day house"]), toxicity._language_table())
+    assert (found[:5] > 0.5).all() and (found[5:] < 0.5).all(), found
+    again = toxicity.fit_labelled(docs.repartition(3), labels.repartition(5))
+    assert np.array_equal(toxicity._flat(model), toxicity._flat(again)) and np.array_equal(model.shift, again.shift)
