@@ -400,3 +400,24 @@ def test_ids_of_nodes_and_edges_are_unique(spark):
     assert len(nodes) == len(set(nodes)) == 5
     assert len({e[:2] for e in edges}) == len(edges) == 4
     assert ("website_a_b.org", "entity_GPE_New_York", 1.0) in edges
+
+
+def test_gexf_files_are_read_by_ranges(spark, tmp_path):
+    """Elements in lines of their own are read by many tasks; files in any other form give the same rows."""
+    graph = make(spark, [(f"a{i} <&>\"'", f"b{i % 7}") for i in range(300)])
+    path, other = str(tmp_path / "g.gexf"), str(tmp_path / "other.gexf")
+    exports.export_graph(graph, path, "gexf", visual=True, colors={"website": "#010203"})
+    with open(path) as lines, open(other, "w") as spread:
+        spread.write(lines.read().replace("<attvalues>", "\n  <attvalues>").replace("<attribute ", "\n<attribute "))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        back = gexf.read_gexf(spark, path)
+        assert back.nodes.rdd.getNumPartitions() > 1 and back.edges.rdd.getNumPartitions() > 1
+        slow = gexf.read_gexf(spark, other)
+        for near, far in ((back.nodes, slow.nodes), (back.edges, slow.edges)):
+            found = sorted(map(str, near.collect()))
+            assert found == sorted(map(str, far.collect())) and len(found) >= 300
+        assert gexf.declared_attributes(spark, path) == gexf.declared_attributes(spark, other)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
