@@ -174,3 +174,32 @@ def test_ngrams_move_texts_not_grams(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, \d+\)", plan) == ["doc_id"] and plan.count("Exchange") == 1
     assert {(r["gram"], r["n"]) for r in found.where("doc_id = 7").collect()} >= {("alpha beta", 2), ("gamma alpha beta", 1)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_made_once_and_after_the_deal(spark):
+    docs = spark.createDataFrame([(1, "sun moon sun"), (2, ""), (3, None)], "doc_id bigint, text string")
+    counts = tfidf.term_counts(docs, "doc_id", tx.content_words("text"))
+    assert _plan(counts).count("split(") == 1
+    assert sorted(map(tuple, counts.collect())) == [(1, 3, "moon", 1), (1, 3, "sun", 2)]
+
+
+@pytest.mark.parametrize("common", [1, 40, 10**6])
+@pytest.mark.parametrize("weight", [0.0, 1.0, 1.5])
+def test_best_terms_are_those_of_the_full_ranking(spark, common, weight):
+    rows = [(i, " ".join(f"w{i * j * j % (7 + i % 40)}" for j in range(i % 23)) + " rare" * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, "Ünique ünique"), (62, "!")], "doc_id bigint, text string")
+    words = tfidf.with_bigrams(tx.content_words("text"))
+    got = tfidf.best_terms(docs, "doc_id", words, 4, weight, common=common)
+    full = tfidf.top_terms(tfidf.tfidf(docs, "doc_id", words, weight), "doc_id", 4)
+    key = lambda r: (r["doc_id"], r["position"])
+    assert sorted(got.collect(), key=key) == sorted(full.select(got.columns).collect(), key=key)
+    assert got.columns == full.columns
+
+
+def test_no_documents_have_no_best_terms(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert tfidf.best_terms(docs, "doc_id", tx.content_words("text"), 3).count() == 0
