@@ -171,3 +171,16 @@ def test_page_index_equals_sort_and_offset(spark, descending):
         want, same = sessions_ops.paginate(df, page, 10, "k", "id", descending)
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] and facts == same
     assert sessions_ops.PageIndex(df.limit(0), "k", "id").page(3, 10)[0].count() == 0
+
+
+def test_session_results_move_no_texts(spark):
+    from mapweave.plans import roles
+
+    t = roles.Tables(spark, "/root/testdata/sf0.001")
+    roles._WRITTEN.clear()
+    found = roles.ROLES["session_results"](t)
+    assert not any(place[2] == "search_results" for place in roles._WRITTEN)  # not read from a wide table that is written first
+    queries = t.search_queries.drop("search_engine")
+    same = t.search_results.join(queries, "query_id").select(found.columns)
+    assert found.exceptAll(same).count() == same.exceptAll(found).count() == 0
+    assert found.count() == same.count() > 0
