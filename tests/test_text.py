@@ -203,3 +203,11 @@ def test_best_terms_are_those_of_the_full_ranking(spark, common, weight):
 def test_no_documents_have_no_best_terms(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert tfidf.best_terms(docs, "doc_id", tx.content_words("text"), 3).count() == 0
+
+
+def test_texts_are_cut_once_in_batches(spark):
+    rows = [(1, "a²b _x_ ٣٤ 𝔘𝔫 Ⅷ"), (2, " "), (3, None), (4, "...")]
+    found = keywords.tokens(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert _plan(found).count("_places(") == 1 and "regexp_extract_all" not in _plan(found)
+    assert [(r["doc_id"], r["char_pos"], r["token"]) for r in found.orderBy("pos_idx").collect()] == [
+        (1, 0, "a²b"), (1, 5, "x"), (1, 8, "٣٤"), (1, 11, "𝔘𝔫"), (1, 14, "Ⅷ")]
