@@ -282,11 +282,25 @@ def fit(rows: list[tuple[str | None, int]], seed: int = 3) -> Model | None:
     return model
 
 
+def _rest(model: Model) -> np.ndarray:
+    """Filters, layer and bias of a model in rows of DIM."""
+    rest = np.concatenate([*[f.ravel() for f in model.filters], model.layer, [model.bias]])
+    return np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)
+
+
 def _flat(model: Model) -> np.ndarray:
     """All numbers of a model in rows of DIM: first the vectors, then filters, layer and bias."""
-    rest = np.concatenate([*[f.ravel() for f in model.filters], model.layer, [model.bias]])
-    rest = np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)
-    return np.concatenate([model.vectors.astype(np.float64), rest])
+    return np.concatenate([model.vectors.astype(np.float64), _rest(model)])
+
+
+def _changes(new: Model, old: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``_flat`` that differ (those after the vectors always), and by how many whole steps. No table of all vectors is made for it."""
+    moved = np.flatnonzero((new.vectors != old.vectors).any(axis=1))
+    tail = _rest(new) - _rest(old)
+    vectors = np.rint((new.vectors[moved].astype(np.float64) - old.vectors[moved]) * STEP).astype(np.int64)
+    kept = vectors.any(axis=1)
+    at = np.concatenate([moved[kept], BUCKETS + 1 + np.arange(len(tail))])
+    return at, np.concatenate([vectors[kept], np.rint(tail * STEP).astype(np.int64)])
 
 
 def _moved(model: Model, flat: np.ndarray) -> Model:
@@ -340,14 +354,11 @@ def _learner(shared, known: tuple[int, int], epochs: int, seed: tuple[int, int])
 
     def learn(table: pa.Table) -> pa.Table:
         texts, labels = _shard(table)
-        old = _flat(shared.value)
-        own = _moved(shared.value, old)
+        old = shared.value
+        own = Model(old.vectors.copy(), [f.copy() for f in old.filters], old.layer.copy(), old.bias)
         _train(own, _made(texts), labels, known, epochs, np.random.default_rng((*seed, table["shard"][0].as_py())))
-        change = np.rint((_flat(own) - old) * STEP).astype(np.int64)
-        moved = change.any(axis=1)
-        moved[BUCKETS + 1:] = True
-        at = np.flatnonzero(moved)
-        return pa.table({"bucket": pa.array(at, pa.int32()), **{c: change[at, i] for i, c in enumerate(_COLUMNS)}})
+        at, change = _changes(own, old)
+        return pa.table({"bucket": pa.array(at, pa.int32()), **{c: change[:, i] for i, c in enumerate(_COLUMNS)}})
 
     return learn
 

@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -278,3 +280,22 @@ def test_all_labelled_rows_teach(spark):
     assert (found[:5] > 0.5).all() and (found[5:] < 0.5).all(), found
     again = toxicity.fit_labelled(docs.repartition(3), labels.repartition(5))
     assert np.array_equal(toxicity._flat(model), toxicity._flat(again)) and np.array_equal(model.shift, again.shift)
+
+
+def test_a_shard_learns_without_tables_of_all_numbers():
+    model, rng = toxicity._untrained(3), np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 500, 40)) for _ in range(60)]
+    table = pa.table({"key": range(60), "text": texts, "label": [i % 2 for i in range(60)], "shard": [0] * 60})
+    learn = toxicity._learner(SimpleNamespace(value=model), (30, 30), 2, (3, 0))
+    tracemalloc.start()
+    found = learn(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * model.vectors.nbytes
+    own = toxicity._moved(model, toxicity._flat(model))
+    toxicity._train(own, toxicity._made(texts), np.arange(60) % 2, (30, 30), 2, np.random.default_rng((3, 0, 0)))
+    change = np.rint((toxicity._flat(own) - toxicity._flat(model)) * toxicity.STEP).astype(np.int64)
+    moved = change.any(axis=1)
+    moved[toxicity.BUCKETS + 1:] = True
+    assert found["bucket"].to_pylist() == np.flatnonzero(moved).tolist()
+    assert np.array_equal(np.stack([found[c].to_numpy() for c in toxicity._COLUMNS], axis=1), change[moved])
