@@ -1,10 +1,12 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
 from mapweave.operators import entities, keywords, tfidf
+from mapweave.session import materialize
 
 
 def test_tfidf_of_a_small_corpus(spark):
@@ -200,6 +202,38 @@ def test_best_terms_are_those_of_the_full_ranking(spark, common, weight):
     assert got.columns == full.columns
 
 
+def test_words_are_counted_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "PART_BYTES", 8)
+    rows = [(1, "en", "The sun, a SUN and Sonne"), (2, "de", "Der Mond und the moon Mond"), (3, None, "le the 1² x_yy"), (4, "xx", None),
+            (5, "fr", " "), (6, "fr", "le Soleil ÉTÉ été, ٣٤ 𝔘𝔫 Ⅷa"), (7, "en", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    for language in (None, "lang"):
+        terms = tx.content_words("text", language)
+        counted = docs.select("doc_id", tfidf.word_counts("text", language).alias("c"), terms.alias("ts"))
+        for r in counted.collect():
+            assert r["c"]["n_terms"] == len(r["ts"] or [])
+            assert sorted(map(tuple, r["c"]["counts"])) == sorted(Counter(r["ts"] or []).items())
+        plain = tfidf.best_terms(docs, "doc_id", terms, 3)
+        found = tfidf.best_terms(docs, "doc_id", terms, 3, counted=tfidf.word_counts("text", language))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select(found.columns).collect()))
+    empty = docs.limit(0).select(tfidf.word_counts("text").alias("c"))
+    assert empty.count() == 0
+
+
+def test_as_many_frequencies_are_sent_as_may_be(spark):
+    spread = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 3), ("e", 2), ("f", 2)], "term string, df bigint")
+    found = {common: tfidf._least(spread, 6, common) for common in (2, 4, 5, 7)}
+    assert found == {2: 6, 4: 5, 5: 3, 7: 2}
+
+
+def test_candidates_are_chosen_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(tfidf, "materialize", lambda df: written.append(df) or materialize(df))
+    docs = spark.createDataFrame([(1, "sun moon sun"), (2, "moon star")], "doc_id bigint, text string")
+    best = tfidf.best_terms(docs, "doc_id", tx.content_words("text"), 3)
+    assert sum("chosen(" in _plan(df) for df in written) == 1 and "chosen(" not in _plan(best)
+
+
 def test_no_documents_have_no_best_terms(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert tfidf.best_terms(docs, "doc_id", tx.content_words("text"), 3).count() == 0
