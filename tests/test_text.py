@@ -245,3 +245,38 @@ def test_texts_are_cut_once_in_batches(spark):
     assert _plan(found).count("_places(") == 1 and "regexp_extract_all" not in _plan(found)
     assert [(r["doc_id"], r["char_pos"], r["token"]) for r in found.orderBy("pos_idx").collect()] == [
         (1, 0, "a²b"), (1, 5, "x"), (1, 8, "٣٤"), (1, 11, "𝔘𝔫"), (1, 14, "Ⅷ")]
+
+
+def test_terms_meet_their_frequency_without_joined_or_sorted_rows(spark):
+    docs = spark.createDataFrame([(1, "sun moon sun"), (2, "moon star"), (3, None)], "doc_id bigint, text string")
+    for cut in (None, tfidf.content_cut("text", bigrams=True)):
+        plan = _plan(tfidf.tfidf(docs, "doc_id", tfidf.with_bigrams(tx.content_words("text")), cut=cut))
+        assert plan.count("Exchange") == 2 and "Join" not in plan and "Sort" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("bigrams", [False, True])
+def test_frequencies_do_not_depend_on_blocks_and_parts(spark, monkeypatch, bigrams):
+    monkeypatch.setattr(tfidf, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(tfidf, "ROWS", 3)
+    texts = [" ".join(f"w{i * j * j % (7 + i % 40)}" for j in range(i % 23)) + " the rare" * (i % 5) for i in range(60)]
+    texts += [None, "", "!", "Ünique ünique the ünique", "a sun", "moon " * 300, "moon moon", "٣٤ 𝔘𝔫 Ⅷa"]
+    docs = spark.createDataFrame([(f"d{i}", text) for i, text in enumerate(texts)], "doc_id string, text string")
+    words = tx.content_words("text")
+    words = tfidf.with_bigrams(words) if bigrams else words
+    listed = {r["doc_id"]: Counter(r["ts"] or []) for r in docs.select("doc_id", words.alias("ts")).collect()}
+    df = Counter(term for counts in listed.values() for term in counts)
+    expected = sorted(
+        (d, term, n, counts.total(), df[term], pytest.approx(n / counts.total() * (math.log((len(texts) + 1) / (df[term] + 1)) + 1)))
+        for d, counts in listed.items() for term, n in counts.items()
+    )
+    for cut in (None, tfidf.content_cut("text", bigrams)):
+        found = tfidf.tfidf(docs, "doc_id", words, cut=cut)
+        assert found.columns == ["doc_id", "term", "n", "n_terms", "df", "tfidf"]
+        assert sorted(map(tuple, found.collect())) == expected
+        assert tfidf.tfidf(docs.limit(0), "doc_id", words, cut=cut).count() == 0
+
+
+def test_null_terms_count_in_the_length_only(spark):
+    docs = spark.createDataFrame([(1, ["sun", None, "sun"]), (2, None), (3, []), (4, [None])], "doc_id int, terms array<string>")
+    found = tfidf.tfidf(docs, "doc_id", F.col("terms"))
+    assert [tuple(r)[:5] for r in found.collect()] == [(1, "sun", 2, 3, 1)]
