@@ -280,3 +280,12 @@ def test_null_terms_count_in_the_length_only(spark):
     docs = spark.createDataFrame([(1, ["sun", None, "sun"]), (2, None), (3, []), (4, [None])], "doc_id int, terms array<string>")
     found = tfidf.tfidf(docs, "doc_id", F.col("terms"))
     assert [tuple(r)[:5] for r in found.collect()] == [(1, "sun", 2, 3, 1)]
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "sun moon sun"), (1, "sun moon sun"), (1, "sun"), (None, "moon"), (2, "moon star")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = [(None, "moon", 1, 1, 3), (1, "moon", 2, 3, 3), (1, "sun", 1, 1, 1), (1, "sun", 4, 3, 1), (2, "moon", 1, 2, 3), (2, "star", 1, 2, 1)]
+    for cut in (None, tfidf.content_cut("text")):
+        found = tfidf.tfidf(docs, "doc_id", tx.content_words("text"), cut=cut)
+        assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == sorted(expected, key=str)
